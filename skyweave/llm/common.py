@@ -187,7 +187,7 @@ def shingles(words: np.ndarray, w: int) -> np.ndarray:
 def bit_filter(ids: DataFrame, col: str, bits: int = 24) -> np.ndarray:
     """A bitmap of ``2**bits`` bits (its size bound) that has the hash of every id; others may pass as well."""
     slot = F.xxhash64(F.col(col)).bitwiseAND(F.lit((1 << bits) - 1))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 AS int)))").alias("b"))
     out = np.zeros(1 << (bits - 5), np.uint32)
     for r in words.toLocalIterator():
         out[r["w"]] = r["b"]
