@@ -62,6 +62,17 @@ def bounded_sample(df: DataFrame, max_rows: int, *cols: str, seed: int = 7) -> D
     return df.where(hash_fraction(*cols, seed=seed) < F.lit(max_rows / n))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, y, t): id, label (0 or 1) and text of about ``max_rows`` labelled documents at most.
+
+    The labels are sampled first; at that bound their ids are broadcast to find the texts in one pass. Null ids and
+    labels teach nothing.
+    """
+    y = F.col(label_col)
+    chosen = bounded_sample(labels.where(y.isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), y.cast("int").alias("y")), max_rows, "k")
+    return stored(docs.select(F.col(key).alias("__k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("__k") == F.col("k")).select("k", "y", "t"))
+
+
 def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], dict], out: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Append to each row what ``fn(texts)`` computes, batch by batch; ``keep`` limits the columns passed on."""
     bounded_batches(docs.sparkSession)

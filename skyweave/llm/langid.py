@@ -95,8 +95,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     each of MAX_LANGUAGES languages. Without labelled rows the filter has no language.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(key).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    rows = bounded_sample(rows, max_rows, "k")
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(key).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    rows = bounded_sample(rows, max_rows, "k").where(F.col("t").isNotNull())
     counted = rows.select("lang", "t").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     langs = sorted(totals)

@@ -83,7 +83,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         maps, dropped = [], []
         for at in b.column(2).to_pylist():
-            keep = np.ones(max(at) + 1, bool)
+            keep = np.ones(max(at) // 8 * 8 + 8, bool)
             keep[at] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
             dropped.append(len(set(at)))

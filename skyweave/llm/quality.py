@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _CHUNK, _SPACE, bounded_batches, bounded_sample, map_text, mix, word_hashes
+from .common import _CHUNK, _SPACE, bounded_batches, labelled_rows, map_text, mix, word_hashes
 
 BITS = 18
 WORD_SIZES = (1, 2)
@@ -117,15 +117,14 @@ def _learn(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"f": at, "w": w[at]})
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict:
-    """Weights, the mean of the learners', from rows of text and label (0 or 1; null labels teach nothing).
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict:
+    """Weights, the mean of the learners', from documents and their labels (0 or 1; null labels teach nothing).
 
     A learner holds about ``max_rows / LEARNERS`` rows; the driver gets at most 2 ** BITS + 1 weights. Without
     labelled rows all scores are 0.5.
     """
-    bounded_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(key).alias("k"), F.col(label_col).cast("int").alias("y"), F.coalesce(text_col, F.lit("")).alias("t"))
-    rows = bounded_sample(rows, max_rows, "k").withColumn("r", F.xxhash64("k", "t")).withColumn("learner", F.pmod("r", F.lit(LEARNERS)))
+    bounded_batches(docs.sparkSession)
+    rows = labelled_rows(docs, labels, label_col, max_rows, key, text_col).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("r", F.xxhash64("k", "t")).withColumn("learner", F.pmod("r", F.lit(LEARNERS)))
     learners = rows.select("learner").distinct().count()
     w = np.zeros((1 << BITS) + 1)
     if learners:

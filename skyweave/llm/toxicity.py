@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, bounded_sample, map_text, mix
+from .common import bounded_batches, labelled_rows, map_text, mix
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -76,16 +76,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["f", "n0", "n1"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict:
-    """Weights of the features and the bias, from rows of text and label (0 or 1; null labels teach nothing).
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict:
+    """Weights of the features and the bias, from documents and their labels (0 or 1; null labels teach nothing).
 
     The driver gets at most two counts for each of 2 ** BITS features, and the chosen features of about
     ``max_rows`` rows. With one label only, or no row, the bias alone answers.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     bounded_batches(spark)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(key).alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"))
-    rows = bounded_sample(rows, max_rows, "k").repartition(4 * spark.sparkContext.defaultParallelism, "k").select("y", "t")
+    rows = labelled_rows(docs, labels, label_col, max_rows, key, text_col).select("y", "t")
     counted = rows.mapInArrow(_count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > 2).toPandas()
     y_n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = y_n.get(0, 0), y_n.get(1, 0)
