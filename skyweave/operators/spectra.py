@@ -67,7 +67,7 @@ def power(one: DataFrame, two: DataFrame | None, n: int, box: float, edges: list
         p = p / (w * w)
     if edges is None:
         base = 2 * np.pi / box
-        number = F.rint(k / F.lit(base)).cast("int")
+        number = F.rint(F.col("k") / F.lit(base)).cast("int")
         keep = (F.col("k") > 0) & (F.col("k") <= np.pi * n / box)
     else:
         number = sum(((F.col("k") >= float(e)).cast("int") for e in edges), F.lit(0)) - 1
