@@ -79,27 +79,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> dict:
     """Weights of the features and the bias, from documents and their labels (0 or 1; null labels teach nothing).
 
-    The driver gets at most two counts for each of 2 ** BITS features, and the chosen features of about
-    ``max_rows`` rows. With one label only, or no row, the bias alone answers.
+    The driver gets FEATURES log-count ratios at most, and two bytes for each chosen feature of about ``max_rows``
+    rows. With one label only, or no row, the bias alone answers.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = labelled_rows(docs, labels, label_col, max_rows, key, text_col).select("y", "t")
-    counted = rows.mapInArrow(_count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > 2).toPandas()
     y_n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = y_n.get(0, 0), y_n.get(1, 0)
     w = np.zeros(1 << BITS, np.float32)
     bias = float(np.log((n1 + SMOOTH) / (n0 + SMOOTH)))
     if not n0 or not n1:
         return {"w": w, "bias": bias}
-    f, c0, c1 = (counted[c].to_numpy() for c in ("f", "n0", "n1"))
-    p1, p0 = (c1 + SMOOTH) / (n1 + 2 * SMOOTH), (c0 + SMOOTH) / (n0 + 2 * SMOOTH)
-    ratio = np.log(p1 / p0)
+    counted = rows.mapInArrow(_count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") > 2)
+    c0, c1 = F.col("n0"), F.col("n1")
     p = (c0 + c1 + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
-    evidence = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
-    best = np.lexsort((f, -evidence))[:FEATURES]
-    best = np.sort(best[evidence[best] > 3])
-    f, ratio = f[best], ratio[best]
+    evidence = F.abs(c1 / n1 - c0 / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
+    ratio = F.log((c1 + SMOOTH) / (n1 + 2 * SMOOTH) / ((c0 + SMOOTH) / (n0 + 2 * SMOOTH)))
+    best = counted.select("f", evidence.alias("evidence"), ratio.alias("ratio")).where("evidence > 3").orderBy(F.desc("evidence"), "f").limit(FEATURES).toArrow().sort_by("f")
+    f, ratio = best["f"].to_numpy(), best["ratio"].to_numpy()
     place = np.full(1 << BITS, -1, np.int32)
     place[f] = np.arange(len(f))
     told = spark.sparkContext.broadcast(place)
@@ -108,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         mark = _mark()
         for b in batches:
             got = [told.value[features(t, mark)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(x[x >= 0]) for x in got], pa.list_(pa.int32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(x[x >= 0]).astype("<u2").tobytes() for x in got], pa.binary())], names=["y", "x"])
 
-    data = rows.mapInArrow(chosen, "y int, x array<int>").groupBy("y", "x").count().orderBy("y", "x").collect()
-    y, weight = np.array([r["y"] for r in data], float), np.array([r["count"] for r in data], float)
-    owner = np.repeat(np.arange(len(data)), [len(r["x"]) for r in data])
-    col = np.array([i for r in data for i in r["x"]], np.int64)
+    data = rows.mapInArrow(chosen, "y int, x binary").groupBy("y", "x").count().toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
+    y, weight, x = data["y"].to_numpy().astype(float), data["count"].to_numpy().astype(float), data["x"].to_pylist()
+    owner = np.repeat(np.arange(len(x)), [len(b) // 2 for b in x])
+    col = np.frombuffer(b"".join(x), "<u2").astype(np.int64)
     w[f], bias = _regress(y, weight / weight.sum(), owner, col, ratio, bias)
     return {"w": w, "bias": float(bias)}
 
