@@ -48,6 +48,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def hash_fraction(*cols: str, seed: int = 0):
     """A column in [0, 1) that depends on the given columns only."""
     h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
@@ -78,7 +86,7 @@ def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], dict], out: li
     bounded_batches(docs.sparkSession)
     named = {f.name.lower() for f in out}
     passed = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
-    text = "__text"
+    text = free_name(docs, "__text")
     schema = T.StructType([docs.schema[c] for c in passed] + out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, word_hashes
+from .common import bounded_batches, free_name, mix, word_hashes
 
 #: Token positions that seeds hash. Seven masks of weight five; items shorter than a mask are hashed whole.
 MASKS = ("11111", "110111", "1101011", "10110011", "11001101", "101010011", "1100101001")
@@ -134,5 +134,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item; rows with a null id are kept."""
-    bad = overlaps(docs, benchmark, id_col=id_col, **kwargs).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")
+    name = free_name(docs, "__bad")
+    bad = overlaps(docs, benchmark, id_col=id_col, **kwargs).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, bounded_batches, cut, mix, shingles, stored, word_hashes
+from .common import bit_filter, bounded_batches, cut, free_name, mix, shingles, stored, word_hashes
 from .components import components
 
 WORDS = 4
@@ -233,5 +233,6 @@ def one_of_each(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id
     Of rows that share an id each is kept; of a component the document with the smallest id stays.
     """
     c = components_by_jaccard(docs, words, percent, id_col, text_col)
-    gone = c.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = c.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

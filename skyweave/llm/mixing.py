@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,6 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    packed = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    got = mix(packed, keep=["__row"], **kwargs)
-    return got.where(F.col("copies") > 0).select(F.explode(F.array_repeat("__row", F.col("copies").cast("int"))).alias("r")).select("r.*")
+    name = free_name(docs, "__row")
+    packed = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+    got = mix(packed, keep=[name], **kwargs)
+    return got.where(F.col("copies") > 0).select(F.explode(F.array_repeat(name, F.col("copies").cast("int"))).alias("r")).select("r.*")
