@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import decontam, jaccard, mixing, token_output, toxicity
-from skyweave.llm.common import stored
+from skyweave.llm.common import free_name, stored
 from skyweave.llm.queries import fold, tokenizer_path
 
 #: Near duplicates share four of five shingles of so many words.
@@ -19,8 +19,9 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(fold(4) != 2))
-    scored = toxicity.score(docs, model, score_as="__toxic")
-    return scored.where(F.col("__toxic") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "__toxic")
+    scored = toxicity.score(docs, model, score_as=name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
