@@ -27,6 +27,8 @@ SEGMENT_IDS = 6 << 20
 END = 0
 #: Word pieces whose ids a worker remembers.
 REMEMBERED = 400_000
+#: New pieces that are encoded as the lines of one text.
+LINES = 256
 SEGMENT = "part int, segment int, n_docs long, n_ids long, data binary"
 
 #: Pieces that byte-level BPE never joins: a run without white space with one space before it, or white space.
@@ -50,11 +52,23 @@ def _encode(t, texts: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _encode_lines(t, pieces: list[str]) -> list[bytes]:
+    """The ids of pieces that aren't white space, from one text; each by itself if the line feed isn't one id."""
+    feed = t.encode("\n", add_special_tokens=False).ids
+    ids = np.array(t.encode("\n".join(pieces), add_special_tokens=False).ids, "<u4")
+    cuts = np.flatnonzero(ids == feed[0]) if len(feed) == 1 else ids[:0]
+    if len(cuts) != len(pieces) - 1:
+        return _encode(t, pieces)
+    raw, cuts = ids.tobytes(), cuts.tolist()
+    return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in cuts)], [*cuts, len(ids)], strict=True)]
+
+
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit integers.
 
-    Texts are cut where byte-level BPE can't join, and each distinct piece is encoded once and remembered. Texts
-    with a special token's string, or with characters on which the two notions of white space differ, are encoded whole.
+    Texts are cut where byte-level BPE can't join, and each distinct piece is encoded once and remembered. New pieces
+    are encoded many in one text, a line each, and the ids cut at the line feeds'. Texts with a special token's string,
+    or with characters on which the two notions of white space differ, are encoded whole.
     """
     w = _tokenizer(path)
     t, known = w["t"], w["ids"]
@@ -64,9 +78,13 @@ def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     for x in texts:
         x = x or ""
         pieces.append(None if _ODD.search(x) or (w["special"] and w["special"].search(x)) else _PIECE.findall(x))
-    new = list({p for own in pieces if own for p in own if p not in known})
-    for at in range(0, len(new), 4096):
-        known.update(zip(new[at : at + 4096], _encode(t, new[at : at + 4096]), strict=True))
+    new = {p for own in pieces if own for p in own if p not in known}
+    blank = [p for p in new if p.isspace()]
+    known.update(zip(blank, _encode(t, blank), strict=True))
+    lines = list(new.difference(blank))
+    for at in range(0, len(lines), LINES):
+        part = lines[at : at + LINES]
+        known.update(zip(part, _encode_lines(t, part), strict=True))
     return [_encode(t, [x or ""])[0] if own is None else b"".join(map(known.__getitem__, own)) for x, own in zip(texts, pieces, strict=True)]
 
 
