@@ -112,3 +112,10 @@ def central_rank(catalogue: DataFrame) -> DataFrame:
     order = Window.orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
     rank = (F.sum(F.col("is_central").cast("long")).over(order) - 1).alias("central_rank")
     return catalogue.select("row_id", "is_central", rank, F.when(F.col("host_row") >= 0, F.col("host_row")).otherwise(F.col("row_id")).alias("parent_row"))
+
+
+def finite(rows: DataFrame, *cols: str) -> DataFrame:
+    """Rows whose columns are neither null, NaN nor infinite."""
+    for c in cols:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+    return rows
