@@ -1,8 +1,9 @@
 """Repeated passages by sparse suffix arrays.
 
 Of all suffixes of a document those at minimiser positions are retained: places that the content selects, so that
-copies of a passage select the same ones. Retained suffixes are sorted across all documents, neighbours are
-compared, and matches are extended to the left and right of the retained position.
+copies of a passage select the same ones. Retained suffixes are sorted across all documents; of those that share
+their head, every window of MIN_WORDS words around it is compared by its hash, within the sorted run or, where that is
+long or cut by a partition's end, over the cluster.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shingles, stored, word_hashes
+from .common import _STEP, bounded_batches, mix, shingles, stored, word_hashes
 
 #: Words that a reported passage has at least.
 MIN_WORDS = 50
@@ -26,11 +27,14 @@ HEAD = MIN_WORDS - WINDOW + 1
 #: Words beyond the head, and before the position, by which a match is extended from one position. Passages longer
 #: than that have several retained positions, whose matches overlap.
 REACH = MIN_WORDS - HEAD
+#: Contexts that are compared at once. Windows of longer runs of one head meet by their hashes.
+RUN = 4096
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NONE = np.iinfo(np.int64).max
 
 _SUFFIX = "head long, doc_id long, text_key long, pos int"
 _CONTEXT = "head long, right binary, left binary, doc_id long, text_key long, pos int, n_left int, n_right int"
-_SPAN = "doc_id long, text_key long, start long, end long, match_doc long"
-_FOUND = f"{_SPAN}, edge struct<{', '.join(x.strip().replace(' ', ':', 1) for x in _CONTEXT.split(','))}>"
+_FOUND = "doc_id long, text_key long, start long, end long, match_doc long, window long"
 
 
 def retained(words: np.ndarray) -> np.ndarray:
@@ -91,69 +95,106 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=names)
 
 
-def _shared(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of rows."""
-    same = np.concatenate([one == two, np.zeros((len(one), 1), bool)], axis=1)
-    return np.minimum(same.argmin(axis=1), np.minimum(n_one, n_two))
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... REACH words of each row."""
+    out = np.zeros((len(words), REACH + 1), np.uint64)
+    for i in range(REACH):
+        out[:, i + 1] = out[:, i] * _STEP + words[:, i] + np.uint64(1)
+    return mix(out)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), REACH)
+def _windows(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of MIN_WORDS words that has the head in it, by its words left of the head; and which exist."""
+    left, right = (_prefixes(np.frombuffer(b"".join(x[c].to_pylist()), ">u4").reshape(len(x), REACH).astype(np.uint64)) for c in ("left", "right"))
+    k = np.arange(REACH + 1)
+    ok = (k <= x["n_left"].to_numpy()[:, None]) & (REACH - k <= x["n_right"].to_numpy()[:, None])
+    head = x["head"].to_numpy().view(np.uint64)[:, None]
+    return mix(head + left * _LEFT + right[:, ::-1] * _RIGHT), ok
 
 
-def _neighbours(x: pa.Table) -> tuple[np.ndarray, ...]:
-    """Row, and the matching row, of neighbours that agree in MIN_WORDS words, with the words to either side."""
-    head, doc = x["head"].to_numpy(), x["doc_id"].to_numpy()
-    right, left = (_words(x[c].combine_chunks()) for c in ("right", "left"))
-    n_left, n_right = x["n_left"].to_numpy(), x["n_right"].to_numpy()
-    found = []
-    by_left = np.lexsort((*(left[:, i] for i in reversed(range(REACH))), head))  # the other neighbours: alike to the left
-    for order in (np.arange(len(head)), by_left):
-        h, d = head[order], doc[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-        start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        before, after = start[run] - 1, np.append(start[1:], len(h))[run]
-        for near in (before, after):  # the nearest suffixes of other documents
-            ok = np.flatnonzero((near >= 0) & (near < len(h)))
-            ok = ok[h[near[ok]] == h[ok]]
-            a, b = order[ok], order[near[ok]]
-            l, r = _shared(left[a], left[b], n_left[a], n_left[b]), _shared(right[a], right[b], n_right[a], n_right[b])
-            enough = l + HEAD + r >= MIN_WORDS
-            found.append((a[enough], b[enough], l[enough], r[enough]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+def _decide(x: pa.Table, unsure: np.ndarray) -> pa.RecordBatch:
+    """Spans of windows that other documents of the table have as well.
 
-
-def _compare(edges: bool):
-    """Spans of matching neighbours. With ``edges`` a partition's first and last suffix are passed on as well."""
+    Of ``unsure`` rows, whose head others outside the table may share, windows are passed on by hash: each that is
+    in one document here, and of the others the two least ids.
+    """
+    doc, key, pos = (x[c].to_numpy() for c in ("doc_id", "text_key", "pos"))
+    hashes, ok = _windows(x)
+    row, k = np.nonzero(ok)
+    flat = hashes[ok]
+    order = np.argsort(flat)
+    row, k, flat = row[order], k[order], flat[order]
+    kinds = (("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("match_doc", pa.int64()), ("window", pa.int64()))
+    if not len(flat):
+        return pa.RecordBatch.from_arrays([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
+    d = doc[row]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    size = np.diff(np.append(first, len(flat)))
+    least = np.minimum.reduceat(d, first)
+    several = np.maximum.reduceat(d, first) != least
+    other = np.minimum.reduceat(np.where(d == np.repeat(least, size), _NONE, d), first)
+    # spans: stretches of windows, side by side, that are shared
+    match = np.full((len(x), REACH + 3), _NONE)
+    shared = np.zeros(match.shape, bool)
+    shared[row, k + 1] = np.repeat(several, size)
+    match[row, k + 1] = np.where(d == np.repeat(least, size), np.repeat(other, size), np.repeat(least, size))
+    edge = np.flatnonzero(np.diff(shared.ravel()))  # before each stretch, and its last
+    begin, last = edge[::2] + 1, edge[1::2]
+    at, lo, hi = begin // shared.shape[1], begin % shared.shape[1] - 1, last % shared.shape[1] - 1
+    best = np.minimum.reduceat(match.ravel(), np.stack([begin, last + 1], 1).ravel())[::2] if len(begin) else begin
+    place = pos[at].astype(np.int64)
+    # windows that are not decided here
+    late = unsure[row] & ~np.repeat(several, size)
+    told = np.flatnonzero(several & unsure[row[first]])
+    ids = np.concatenate([d[late], least[told], other[told]])
+    window = np.concatenate([flat[late], flat[first[told]], flat[first[told]]]).view(np.int64)
+    start = (pos[row[late]] - k[late]).astype(np.int64)
+    none = pa.nulls(2 * len(told), pa.int64())
+    rest = pa.nulls(len(ids), pa.int64())
+    parts = (
+        (pa.array(doc[at]), pa.array(ids)),
+        (pa.array(key[at]), pa.array(key[row[late]]), none),
+        (pa.array(place - hi), pa.array(start), none),
+        (pa.array(place - lo + MIN_WORDS), rest),
+        (pa.array(best), rest),
+        (pa.nulls(len(at), pa.int64()), pa.array(window)),
+    )
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in parts], names=[n for n, _ in kinds])
+
+
+def _compare(most: int):
+    """Of sorted contexts the shared windows. Runs of one head that are longer than ``most``, and a partition's first
+    and last run, are decided in part and their other windows passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        first: pa.Table | None = None
-        kinds = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("match_doc", pa.int64())]
-
-        def spans(x: pa.Table) -> pa.RecordBatch:
-            a, b, l, r = _neighbours(x)
-            doc, key, pos = (x[c].to_numpy() for c in ("doc_id", "text_key", "pos"))
-            start = pos[a].astype(np.int64) - l
-            edge = pa.nulls(len(a), pa.struct(list(x.schema)))
-            return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(key[a]), pa.array(start), pa.array(start + l + HEAD + r), pa.array(doc[b]), edge], names=[*(n for n, _ in kinds), "edge"])
+        held: list[pa.RecordBatch] = []
+        count = 0
+        part: list[int] = []  # heads of runs that are not all in one table
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count
+            x = pa.Table.from_batches(held).combine_chunks()
+            head = x["head"].to_numpy()
+            tail = int((head == head[-1]).argmax())
+            if last or not tail:
+                part.append(int(head[-1]))
+                tail = len(x)
+            now, x = x.slice(0, tail), x.slice(tail)
+            yield _decide(now, np.isin(head[:tail], np.array(part)))
+            del part[:-1]  # sorted: only the latest may go on
+            held, count = x.to_batches(), len(x)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            x = pa.Table.from_batches([b])
-            first = x.slice(0, 1) if first is None else first
-            if held is not None:
-                x = pa.concat_tables([held, x])
-            yield spans(x)
-            # the last of a head's run, some of them, meet the next batch
-            held = x.slice(max(0, len(x) - 64))
-        if edges and first is not None:
-            x = pa.concat_tables([first, held.slice(len(held) - 1)]).combine_chunks()
-            none = [pa.nulls(len(x), t) for _, t in kinds]
-            edge = pa.StructArray.from_arrays([x[c].combine_chunks() for c in x.column_names], fields=list(x.schema))
-            yield pa.RecordBatch.from_arrays([*none, edge], names=[*(n for n, _ in kinds), "edge"])
+            if not part:
+                part.append(b.column(0)[0].as_py())
+            held.append(b)
+            count += b.num_rows
+            if count >= most:
+                yield from ready(False)
+        if held:
+            yield from ready(True)
 
     return run
 
@@ -177,11 +218,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "text_key", "start", "end", "match_doc"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, match_doc): passages of MIN_WORDS words or more also in other documents.
 
     Words are runs without ASCII white space, A-Z lower-cased. Every document with such a passage is reported, the
-    first one too; overlapping passages are one; ``match_doc`` is the smallest id among the neighbours that a
+    first one too; overlapping passages are one; ``match_doc`` is the smallest id among those that a
     passage was matched with. Repeats within one document don't count. Rows that share an id are one document (equal
     rows are reported once). Null ids, null, empty and shorter texts have no passage; no rows, no passages.
     """
@@ -193,10 +234,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spots = suffixes.mapInArrow(_repeated, _SUFFIX).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("spots"))
     around = rows.join(spots, ["doc_id", "text_key"]).select("doc_id", "text_key", "t", "spots").mapInArrow(_contexts, _CONTEXT)
     order = ["head", "right", "left", "doc_id", "text_key", "pos"]
-    found = stored(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(True), _FOUND))
-    # first and last suffixes of partitions, two for each, meet across partitions
-    edges = found.where(F.col("edge").isNotNull()).select("edge.*").coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare(False), _FOUND)
-    spans = found.where(F.col("edge").isNull()).unionByName(edges).select("doc_id", "text_key", "start", "end", "match_doc")
+    found = stored(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(run), _FOUND))
+    late = found.where(F.col("window").isNotNull())
+    known = late.groupBy("window").agg(F.array_sort(F.collect_set("doc_id")).alias("docs")).where(F.size("docs") > 1)
+    other = F.when(F.col("docs")[0] == F.col("doc_id"), F.col("docs")[1]).otherwise(F.col("docs")[0])
+    late = late.where(F.col("start").isNotNull()).join(known, "window").select("doc_id", "text_key", "start", (F.col("start") + MIN_WORDS).alias("end"), other.alias("match_doc"))
+    spans = found.where(F.col("window").isNull()).select("doc_id", "text_key", "start", "end", "match_doc").unionByName(late)
     per = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "match_doc")).alias("spans"))
     merged = per.mapInArrow(_merge, "doc_id long, text_key long, start long, end long, match_doc long")
     return merged.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), "match_doc")

@@ -61,6 +61,21 @@ def test_passages_inside_other_text(spark):
     assert got == passages(texts)
 
 
+def test_passages_behind_a_common_head(spark):
+    """Few of the many documents with a common run of words share the words before it or behind it as well."""
+    common, n = words(40, 7), 1300
+    texts = {i: words(40, 1000 + i) + common + words(40, 5000 + i) for i in range(n)}
+    for i in range(0, 200, 2):
+        other = n - 1 - i
+        texts[other][28 + i % 5 : 40] = texts[i][28 + i % 5 : 40]  # some have less than 50 words in common
+        texts[other - 1][80 : 86 + i % 8] = texts[i + 1][80 : 86 + i % 8]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    want = passages(texts)
+    assert len(want) > 100
+    for rows in (suffix_dedup.repeated_passages(docs).collect(), suffix_dedup.repeated_passages(docs, run=100).collect()):
+        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == want
+
+
 def overlapping(doc: list[str], item: list[str], window: int = decontam.WINDOW) -> float:
     """The largest share of agreeing words of a window of the item at any alignment."""
     best, length = 0.0, min(window, len(item))
