@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, free_name, mix, word_hashes
@@ -28,6 +28,11 @@ _BITS = 24
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def folded(col: str) -> Column:
+    """Text without case, in letters of any script: one upper-case letter for all that share it."""
+    return F.upper(F.lower(F.col(col)))
+
+
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """Seed hash at every position at which the mask fits."""
     n = len(words) - len(mask) + 1
@@ -79,17 +84,17 @@ def _best_window(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int)
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, start, item_start, n_tokens, n_match): windows of benchmark items found in documents.
 
-    Tokens are runs without ASCII white space, A-Z lower-cased. One row for each row of ``docs``, item and alignment
+    Tokens are runs without ASCII white space; the case of letters, of any script, doesn't count. One row for each row of ``docs``, item and alignment
     in which the item's best window of ``window`` tokens (the whole item, if shorter) agrees in ``min_match`` of
     them; ``start`` is the document token at which that window begins. Null and empty texts, and null item ids,
     match nothing; rows with a null document id are reported with it. Equal rows are reported each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.where(F.col(item_col).isNotNull() & (F.octet_length(item_text) > 0)).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    items = benchmark.where(F.col(item_col).isNotNull() & (F.octet_length(item_text) > 0)).select(F.col(item_col).cast("long").alias("i"), folded(item_text).cast("binary").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("t"))
+    rows = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).cast("long").alias("d"), folded(text_col).cast("binary").alias("t"))
     schema = "doc_id long, item_id long, start long, item_start long, n_tokens long, n_match long"
 
     def scan(told):

@@ -103,6 +103,15 @@ def test_decontamination(spark):
     assert {x["doc_id"] for x in decontam.clean(d, b).collect()} == set(docs) - {i for i, _ in got}
 
 
+def test_decontamination_ignores_case(spark):
+    items = ["ñandú élan ciónmiírr über straße ça où señal", "быстрая лиса прыгает через ленивую собаку", "ο μικρός πρίγκιπας ζει στον αστεροειδή του"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [t for x in items for t in (f"one {x} two", f"one {x.upper()} two", f"one {x.title()} two")]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"], x["n_match"]) for x in decontam.overlaps(d, b).collect()) == [(i, i // 3, len(items[i // 3].split())) for i in range(9)]
+    assert decontam.clean(d, b).count() == 0
+
+
 def test_token_files(spark):
     t = Tokenizer.from_file(queries.tokenizer_path())
     start = 0
