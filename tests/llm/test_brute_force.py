@@ -103,6 +103,17 @@ def test_decontamination(spark):
     assert {x["doc_id"] for x in decontam.clean(d, b).collect()} == set(docs) - {i for i, _ in got}
 
 
+def test_decontamination_of_short_items(spark):
+    items = {n: words(n, 70 + n, 3000) for n in range(1, 10)}
+    docs = [words(9, 10 * n + j, 3000) + [f"other{j}" if i in (j, k) else x for i, x in enumerate(item)] + words(9, 500 + n, 3000) for n, item in items.items() for j in range(n) for k in (j, 0)]
+    docs += [words(6, n, 3000) + item[:-1] for n, item in items.items()] + [item[1:] + words(6, n, 3000) for n, item in items.items()]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for least in (decontam.MIN_MATCH, 0.6):
+        got = {(x["doc_id"], x["item_id"]) for x in decontam.overlaps(d, b, min_match=least).collect()}
+        assert got == {(i, j) for i, w in enumerate(docs) for j, x in items.items() if overlapping(w, x) >= least}
+
+
 def test_decontamination_ignores_case(spark):
     items = ["ñandú élan ciónmiírr über straße ça où señal", "быстрая лиса прыгает через ленивую собаку", "ο μικρός πρίγκιπας ζει στον αστεροειδή του"]
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
