@@ -15,10 +15,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, free_name, mix, word_hashes
+from .common import bounded_batches, free_name, map_text, mix, word_hashes
 
 #: Token positions that seeds hash. Seven masks of weight five; short windows that they don't cover get their own.
 MASKS = ("11111", "110111", "1101011", "10110011", "11001101", "101010011", "1100101001")
@@ -98,65 +100,90 @@ def _best_window(doc: np.ndarray, item: np.ndarray, diagonal: int, window: int)
     return int(got[at]), at, length
 
 
+def _hits(x: dict, texts: list[bytes | None], window: int, min_match: float) -> Iterator[tuple[int, ...]]:
+    """(text, item, start, item_start, n_tokens, n_match) of an index's items in texts."""
+    bits = np.unpackbits(x["bits"]).astype(bool)
+    words, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    doc_of = np.repeat(np.arange(len(texts)), counts)
+    hits = []
+    for m in x["masks"]:
+        s = _seeds(words, m)
+        at = np.flatnonzero(bits[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
+        at = at[doc_of[at] == doc_of[at + len(m) - 1]]
+        lo, hi = np.searchsorted(x["seed"], s[at], "left"), np.searchsorted(x["seed"], s[at], "right")
+        n = hi - lo
+        at = np.repeat(at, n)
+        k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(at))
+        d = doc_of[at]
+        hits.append(np.stack([d, x["item"][k], at - (ends - counts)[d] - x["at"][k]], 1))
+    for d, i, diagonal in np.unique(np.concatenate(hits), axis=0).tolist() if hits else ():
+        item = x["words"][x["start"][i] : x["start"][i] + x["n"][i]]
+        got, at, length = _best_window(words[ends[d] - counts[d] : ends[d]], item, diagonal, window)
+        if got >= min_match * length:
+            yield d, int(x["id"][i]), diagonal + at, at, length, got
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, window: int, min_match: float) -> Iterator[Broadcast]:
+    """Indexes of the benchmark's blocks."""
+    items = benchmark.where(F.col(item_col).isNotNull() & (F.octet_length(item_text) > 0)).select(F.col(item_col).cast("long").alias("i"), folded(item_text).cast("binary").alias("t"))
+    size = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
+        index = _index([(r["i"], bytes(r["t"])) for r in block], window, min_match)
+        if index is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, start, item_start, n_tokens, n_match): windows of benchmark items found in documents.
 
-    Tokens are runs without ASCII white space; the case of letters, of any script, doesn't count. One row for each row of ``docs``, item and alignment
-    in which the item's best window of ``window`` tokens (the whole item, if shorter) agrees in ``min_match`` of
-    them. None is missed in windows below 31 tokens at the default, by enumeration, and below 10 at any ``min_match``;
-    of others those are found that agree in all tokens of a mask. ``start`` is the document token at which that window begins. Null and empty texts, and null item ids,
-    match nothing; rows with a null document id are reported with it. Equal rows are reported each.
+    Tokens are runs without ASCII white space; the case of letters, of any script, doesn't count. One row for each row
+    of ``docs``, item and alignment in which the item's best window of ``window`` tokens (the whole item, if shorter)
+    agrees in ``min_match`` of them. None is missed in windows below 31 tokens at the default, by enumeration, and below
+    10 at any ``min_match``; of others those are found that agree in all tokens of a mask. ``start`` is the document
+    token at which that window begins. Null and empty texts, and null item ids, match nothing; rows with a null document
+    id are reported with it. Equal rows are reported each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.where(F.col(item_col).isNotNull() & (F.octet_length(item_text) > 0)).select(F.col(item_col).cast("long").alias("i"), folded(item_text).cast("binary").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
     rows = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).cast("long").alias("d"), folded(text_col).cast("binary").alias("t"))
     schema = "doc_id long, item_id long, start long, item_start long, n_tokens long, n_match long"
 
     def scan(told):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = told.value
-            bits = np.unpackbits(x["bits"]).astype(bool)
             for b in batches:
-                ids, texts = b.column(0), b.column(1).to_pylist()
-                words, counts = word_hashes(texts)
-                ends = np.cumsum(counts)
-                doc_of = np.repeat(np.arange(len(texts)), counts)
-                hits = []
-                for m in x["masks"]:
-                    s = _seeds(words, m)
-                    at = np.flatnonzero(bits[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-                    at = at[doc_of[at] == doc_of[at + len(m) - 1]]
-                    lo, hi = np.searchsorted(x["seed"], s[at], "left"), np.searchsorted(x["seed"], s[at], "right")
-                    n = hi - lo
-                    at = np.repeat(at, n)
-                    k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(at))
-                    d = doc_of[at]
-                    hits.append(np.stack([d, x["item"][k], at - (ends - counts)[d] - x["at"][k]], 1))
-                out = []
-                for d, i, diagonal in np.unique(np.concatenate(hits), axis=0).tolist() if hits else ():
-                    item = x["words"][x["start"][i] : x["start"][i] + x["n"][i]]
-                    got, at, length = _best_window(words[ends[d] - counts[d] : ends[d]], item, diagonal, window)
-                    if got >= min_match * length:
-                        out.append((ids[d].as_py(), int(x["id"][i]), diagonal + at, at, length, got))
+                ids = b.column(0)
+                out = [(ids[d].as_py(), *rest) for d, *rest in _hits(told.value, b.column(1).to_pylist(), window, min_match)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=["doc_id", "item_id", "start", "item_start", "n_tokens", "n_match"])
 
         return run
 
     found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        index = _index([(r["i"], bytes(r["t"])) for r in block], window, min_match)
-        if index is not None:
-            got = rows.mapInArrow(scan(spark.sparkContext.broadcast(index)), schema)
-            found = got if found is None else found.unionByName(got)
+    for told in _blocks(benchmark, item_col, item_text, window, min_match):
+        got = rows.mapInArrow(scan(told), schema)
+        found = got if found is None else found.unionByName(got)
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item; rows with a null id are kept."""
-    name = free_name(docs, "__bad")
-    bad = overlaps(docs, benchmark, id_col=id_col, **kwargs).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item; rows with a null id are kept.
+
+    Each row is judged by its own text: one that shares its id with a contaminated row stays.
+    """
+    text, bad = free_name(docs, "__folded"), free_name(docs, "__bad")
+
+    def marks(told):
+        def fn(texts: list) -> dict:
+            out = np.zeros(len(texts), bool)
+            out[[d for d, *_ in _hits(told.value, texts, window, min_match)]] = True
+            return {bad: out}
+
+        return fn
+
+    left = docs.withColumn(text, folded(text_col).cast("binary"))
+    for told in _blocks(benchmark, item_col, item_text, window, min_match):
+        marked = map_text(left, text, marks(told), [T.StructField(bad, T.BooleanType())], [*docs.columns, text])
+        left = marked.where(~F.col(bad) | F.col(f"`{id_col}`").isNull()).drop(bad)
+    return left.drop(text)

@@ -62,6 +62,18 @@ def test_decontamination(spark, odd, nothing):
     assert decontam.overlaps(nothing, items).count() == 0 and decontam.clean(odd, items.where("false")).count() == N
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, COPY, "x"), (1, "clean", "y"), (1, None, "z"), (2, COPY, "x"), (2, "", "y")], "doc_id long, text string, __bad string")
+    items = spark.createDataFrame([(1, COPY), (2, "something else in five words")], "item_id long, text string")
+    held, decontam.BLOCK_BYTES = decontam.BLOCK_BYTES, 40  # several blocks
+    try:
+        kept = decontam.clean(docs, items)
+    finally:
+        decontam.BLOCK_BYTES = held
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "clean", "y"), (1, None, "z"), (2, "", "y")], key=str)
+
+
 def test_jaccard(odd, nothing):
     got = jaccard.components_by_jaccard(odd)
     assert got.count() == N
