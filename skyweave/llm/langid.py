@@ -1,12 +1,14 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One filter for all languages: a slot is a word with a bit for each language. The AND of an n-gram's slots gives, in
-one look-up, the mask of all languages that contain it. A text's mask bits are counted by language, corrected for
-the share of n-grams that a language's bits let through by chance, and the largest count decides.
+One filter for all languages: a slot is a word with a bit for each language, and further words beyond 64 languages.
+The AND of an n-gram's slots gives, in one look-up, the mask of all languages that contain it. A text's mask bits are
+counted by language, corrected for the share of n-grams that a language's bits let through by chance, and the largest
+count decides.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,11 @@ MIN_SHARE = 2e-5
 #: Slots a contained n-gram, and look-ups.
 SLOTS_PER_GRAM = 12
 LOOKUPS = 3
-#: Languages of one filter; the most frequent ones of the training rows.
-MAX_LANGUAGES = 64
+#: Languages of one table of the filter, a bit each; more languages take more tables.
+TABLE_LANGUAGES = 64
 UNKNOWN = "und"
 _CHARS = 1 << 20
-_LETTER = np.array([chr(i).isalpha() for i in range(0x20000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,35 +94,38 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """The filter, from rows of text and language; rows with a null text or language teach nothing.
 
     Built from about ``max_rows`` rows at most. What reaches the driver is bounded by 1 / MIN_SHARE n-grams for
-    each of MAX_LANGUAGES languages. Without labelled rows the filter has no language.
+    each language, 8 bytes each. Without labelled rows the filter has no language.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(key).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     rows = bounded_sample(rows, max_rows, "k").where(F.col("t").isNotNull())
     counted = rows.select("lang", "t").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    least = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r["lang"]: r["total"] for r in least.orderBy(F.desc("total"), "lang").collect()}
     langs = sorted(totals)
-    per: dict[str, list[int]] = {x: [] for x in langs}
-    if langs:
-        least = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(max(2.0, MIN_SHARE * n)))])
-        for r in counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toLocalIterator():
-            per[r["lang"]].append(r["gram"])
+    per = {x: array("q") for x in langs}
+    for r in counted.join(F.broadcast(least), "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.lit(MIN_SHARE) * F.col("total"))).select("lang", "gram").toLocalIterator():
+        per[r["lang"]].append(r["gram"])
     counted.unpersist()
     size = 1 << max(10, int(np.ceil(np.log2(SLOTS_PER_GRAM * max([1, *map(len, per.values())])))))
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint64
-    table = np.zeros(size, kind)
-    for i, lang in enumerate(langs):
-        bit = np.zeros(size, bool)
-        for s in _slots(np.array(per[lang], np.int64).view(np.uint64), size):
-            bit[s] = True
-        table[bit] |= kind(1 << i)
-    passed = [float((table >> kind(i) & kind(1)).mean()) ** LOOKUPS for i in range(len(langs))]
-    return {"langs": langs, "table": table, "by_chance": passed, "default": max(totals, key=totals.get) if totals else UNKNOWN}
+    tables, passed = [], []
+    for at in range(0, len(langs), TABLE_LANGUAGES):
+        table = np.zeros(size, kind)
+        own = langs[at : at + TABLE_LANGUAGES]
+        for i, lang in enumerate(own):
+            bit = np.zeros(size, bool)
+            for s in _slots(np.array(per[lang], np.int64).view(np.uint64), size):
+                bit[s] = True
+            table[bit] |= kind(1 << i)
+        passed += [float((table >> kind(i) & kind(1)).mean()) ** LOOKUPS for i in range(len(own))]
+        tables.append(table)
+    return {"langs": langs, "tables": tables, "by_chance": passed, "default": max(totals, key=totals.get) if totals else UNKNOWN}
 
 
 def predict(model: dict, texts: list[str | None]) -> dict:
     """lang_pred and score of each text; see ``identify``."""
-    langs, table, by_chance = model["langs"], model["table"], np.array(model["by_chance"])
+    langs, tables, by_chance = model["langs"], model["tables"], np.array(model["by_chance"])
     names, scores = [], []
     for lo, hi in _runs(texts):
         own = texts[lo:hi]
@@ -130,11 +135,13 @@ def predict(model: dict, texts: list[str | None]) -> dict:
         for k in SIZES:
             h, owner = _grams(chars, edges, k)
             seen += np.bincount(owner, minlength=len(own))
-            mask = None
-            for s in _slots(h, len(table)):
-                mask = table[s] if mask is None else mask & table[s]
-            for i in range(len(langs)):
-                count[i] += np.bincount(owner, (mask >> table.dtype.type(i)) & table.dtype.type(1), len(own))
+            for j, table in enumerate(tables):
+                mask = None
+                for s in _slots(h, len(table)):
+                    mask = table[s] if mask is None else mask & table[s]
+                at = j * TABLE_LANGUAGES
+                for i in range(len(langs[at : at + TABLE_LANGUAGES])):
+                    count[at + i] += np.bincount(owner, (mask >> table.dtype.type(i)) & table.dtype.type(1), len(own))
         empty = np.diff(edges) == 0
         for j in range(len(own)):
             if empty[j] or not langs:

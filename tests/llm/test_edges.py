@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyweave.llm import decontam, jaccard, langid, line_dedup, mixing, quality, queries, suffix_dedup, token_output, topk, toxicity
 
-from .conftest import COPY, odd_rows
+from .conftest import COPY, odd_rows, words
 
 N = len(odd_rows())
 
@@ -31,6 +31,14 @@ def test_language_id(odd, nothing):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.fit(nothing)).collect()} == {"und"}
 
 
+def test_many_languages_and_late_letters(spark):
+    rows = [(i, " ".join(words(200 - i, i, 30)).replace("w", chr(0x4E00 + i)).translate({48 + j: 97 + (i * 7 + j) % 26 for j in range(10)}), f"l{i:02}") for i in range(70)]
+    rows.append((70, "".join(chr(0x20000 + j % 40) for j in range(300)), "ext"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs)).collect()
+    assert len(got) == 71 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, odd, nothing, module, label):
     y = labels(spark, [(3, 0, 0, "x"), (4, 1, 1, "x"), (5, 1, 1, None), (None, 1, 1, None), (2, None, None, None), (8, 0, 0, "x")])
