@@ -109,9 +109,14 @@ def selection_stats(selected: DataFrame, subhalos: DataFrame, halos: DataFrame)
 
 def central_rank(catalogue: DataFrame) -> DataFrame:
     """Position among centrals in row order, -1 before the first; the parent is the host's row, or the row itself."""
-    order = Window.orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    rank = (F.sum(F.col("is_central").cast("long")).over(order) - 1).alias("central_rank")
-    return catalogue.select("row_id", "is_central", rank, F.when(F.col("host_row") >= 0, F.col("host_row")).otherwise(F.col("row_id")).alias("parent_row"))
+    local = catalogue.repartitionByRange("row_id").withColumn("__part", F.spark_partition_id())
+    local = local.persist()  # partition numbers and rows of one evaluation
+    centrals = F.sum(F.col("is_central").cast("long"))
+    sums = local.groupBy("__part").agg(centrals.alias("s"))
+    base = sums.select("__part", F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__s"))
+    own = centrals.over(Window.partitionBy("__part").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0))
+    rank = (F.coalesce(own + F.col("__s"), own, F.col("__s")) - 1).alias("central_rank")
+    return local.join(F.broadcast(base), "__part").select("row_id", "is_central", rank, F.when(F.col("host_row") >= 0, F.col("host_row")).otherwise(F.col("row_id")).alias("parent_row"))
 
 
 def finite(rows: DataFrame, *cols: str) -> DataFrame:

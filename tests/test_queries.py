@@ -1,7 +1,9 @@
 """Every registered query of the stacking engine, against its SQL where it has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from skyweave.operators import selection
 from skyweave.plans import registry
 
 SQL = registry.oracle_sql()
@@ -15,3 +17,16 @@ def test_same_as_sql(name, same_as_sql):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_runs(name, spark):
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_central_rank_in_several_tasks(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS row_id").selectExpr("row_id", "row_id % 3 = 1 AS is_central", "IF(row_id % 3 = 1, -1, 1) AS host_row")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = selection.central_rank(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, held)
+    assert sorted((r["row_id"], r["central_rank"]) for r in got) == [(i, (i + 2) // 3 - 1) for i in range(1000)]
+    assert len({r["task"] for r in got}) > 1
