@@ -8,19 +8,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of text that one Arrow batch carries; keeps a Python worker's memory bounded by a few long texts.
-BATCH_ROWS = 512
+#: Bytes of text that are worked on at once (a longer text by itself).
+SLICE_BYTES = 2 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the Arrow batch size for text columns, unless the session already has a lower one."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about SLICE_BYTES in the columns ``texts`` each, without a copy."""
+    for b in batches:
+        total = np.zeros(b.num_rows, np.int64)
+        for i in texts:
+            total += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(total) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +90,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows:
 
 def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], dict], out: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Append to each row what ``fn(texts)`` computes, batch by batch; ``keep`` limits the columns passed on."""
-    bounded_batches(docs.sparkSession)
     named = {f.name.lower() for f in out}
     passed = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     text = free_name(docs, "__text")
@@ -93,8 +99,8 @@ def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], dict], out: li
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
-            got = fn(b.column(b.schema.get_field_index(text)).to_pylist())
+        for b in slices(batches, len(passed)):
+            got = fn(b.column(len(passed)).to_pylist())
             cols = [b.column(i) for i in range(len(passed))]
             cols += [pa.array(got[f.name], type=arrow.field(f.name).type, from_pandas=True) for f in out]
             cols = [c.cast(arrow.field(i).type) for i, c in enumerate(cols)]

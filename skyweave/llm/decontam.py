@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_name, map_text, mix, word_hashes
+from .common import free_name, map_text, mix, slices, word_hashes
 
 #: Token positions that seeds hash. Seven masks of weight five; short windows that they don't cover get their own.
 MASKS = ("11111", "110111", "1101011", "10110011", "11001101", "101010011", "1100101001")
@@ -147,13 +147,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     id are reported with it. Equal rows are reported each.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).cast("long").alias("d"), folded(text_col).cast("binary").alias("t"))
     schema = "doc_id long, item_id long, start long, item_start long, n_tokens long, n_match long"
 
     def scan(told):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, 1):
                 ids = b.column(0)
                 out = [(ids[d].as_py(), *rest) for d, *rest in _hits(told.value, b.column(1).to_pylist(), window, min_match)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=["doc_id", "item_id", "start", "item_start", "n_tokens", "n_match"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, bounded_batches, cut, free_name, mix, shingles, stored, word_hashes
+from .common import bit_filter, cut, free_name, mix, shingles, slices, stored, word_hashes
 from .components import components
 
 WORDS = 4
@@ -58,7 +58,7 @@ def _describe(w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "sig1", "sig2", "chunk", "counts"]
         seen = np.zeros(SLOTS, np.uint32)
-        for b in batches:
+        for b in slices(batches, 1):
             sets = _sets(b.column(1).to_pylist(), w)
             sig = [_signature(s) for s in sets]
             for s in sets:
@@ -87,7 +87,7 @@ def _prefixes(w: int, percent: int, told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = told.value
         rare = max(4, 2 * int(np.median(counts)))
-        for b in batches:
+        for b in slices(batches, 1):
             mins, few, prefix, n, sig = [], [], [], [], []
             for s in _sets(b.column(1).to_pylist(), w):
                 c = counts[_slot(s)]
@@ -171,7 +171,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, w: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = told.value
-        for b in batches:
+        for b in slices(batches, 1):
             at = b.column(2).to_numpy()
             b = b.filter(pa.array((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in _sets(b.column(1).to_pylist(), w)], pa.list_(pa.int64()))], names=["doc_id", "s"])
@@ -191,7 +191,6 @@ def components_by_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PE
     empty table gives no rows. Repeated links count once; equal sets are always linked.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     known = stored(rows.mapInArrow(_describe(words), "doc_id long, n long, sig1 long, sig2 long, chunk int, counts binary"))
     counts = np.zeros(SLOTS, np.uint32)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, bounded_sample, map_text, mix
+from .common import bounded_sample, map_text, mix, slices
 
 SIZES = (3, 4)
 #: Rows of labelled text that the filter is built from, at most (about, by a hash of the id).
@@ -75,7 +75,7 @@ def _runs(texts: list):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 1):
         langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [texts[i] for i in np.flatnonzero(langs == lang)]
@@ -96,7 +96,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     Built from about ``max_rows`` rows at most. What reaches the driver is bounded by 1 / MIN_SHARE n-grams for
     each language, 8 bytes each. Without labelled rows the filter has no language.
     """
-    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(key).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     rows = bounded_sample(rows, max_rows, "k").where(F.col("t").isNotNull())
     counted = rows.select("lang", "t").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()

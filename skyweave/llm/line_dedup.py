@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import cut, slices
 
 #: A line key has at least so many code points to count as repeatable.
 MIN_POINTS = 20
@@ -36,7 +36,7 @@ def _long_enough(key: bytes, points: int) -> bool:
 
 def _hash_lines(points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             h1, h2, doc, text_key, pos = [], [], [], [], []
             for d, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own: dict[bytes, list[int]] = {}
@@ -97,7 +97,6 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tells rows apart that share an id (they count as one document; equal rows get equal bitmaps). Rows with a null
     id, and null or empty texts, neither lose lines nor count. An empty table gives no bitmaps.
     """
-    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= min_points)).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("t"))
     lines = rows.mapInArrow(_hash_lines(min_points), "h1 long, h2 long, doc_id long, text_key long, pos array<int>")
@@ -133,7 +132,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     rows = with_bitmaps(docs, bitmaps, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("t"), "keep", "n_dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             got = [kept_lines(t, k) for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), b.column(3), pa.array([t for _, t in got], pa.binary())], names=["doc_id", "n_lines", "n_dropped", "t"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _CHUNK, _SPACE, bounded_batches, labelled_rows, map_text, mix, word_hashes
+from .common import _CHUNK, _SPACE, labelled_rows, map_text, mix, word_hashes
 
 BITS = 18
 WORD_SIZES = (1, 2)
@@ -123,7 +123,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     A learner holds about ``max_rows / LEARNERS`` rows; the driver gets at most 2 ** BITS + 1 weights. Without
     labelled rows all scores are 0.5.
     """
-    bounded_batches(docs.sparkSession)
     rows = labelled_rows(docs, labels, label_col, max_rows, key, text_col).withColumn("t", F.coalesce("t", F.lit(""))).withColumn("r", F.xxhash64("k", "t")).withColumn("learner", F.pmod("r", F.lit(LEARNERS)))
     learners = rows.select("learner").distinct().count()
     w = np.zeros((1 << BITS) + 1)

@@ -1,10 +1,10 @@
 """An adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Every block starts from an empty model. The ids of the last two and of the last position each predict an id, with a
-confidence; recency in the block predicts it at order 0. What came true (a prediction, the distance to the id's last
-place as a power of four, or nothing) is coded with frequencies mixed from two adaptive tables: one by the
-predictions' confidences and one by what came true before. A distance within its power of four, or a new id, follows
-evenly. Blocks are coded side by side, a step of all blocks at a time.
+A block starts from an empty model and lies in lanes, stretches of its ids that are coded side by side and learn from
+each other. At each step the ids of the last two positions and of the last one each predict an id, and a table of the
+block's counts predicts at order 0. Which of them comes true is coded with frequencies mixed from three adaptive
+estimates: of the predictions' trusts, of what came true before, and of both together. An id that neither context
+predicted follows by its order-0 frequency, and one too rare for that evenly.
 """
 
 from __future__ import annotations
@@ -14,235 +14,247 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block.
-BLOCK = 2048
-MAGIC = b"SWB1"
-#: Ids are below this.
-LIMIT = 1 << 24
-_SLOTS = 1 << 11
-#: What can come true: a prediction, a distance from 4 ** i to 4 ** (i + 1) - 1, a new id.
-_ORDER2, _ORDER1, _NEAR, _NEW = 0, 1, 2, 8
-_CLASSES = 9
+#: Ids of a block, about: a segment is cut evenly into as many blocks as come nearest.
+BLOCK = 1 << 20
+#: Lanes of a block at most, and the fewest ids of a lane.
+LANES, LEAST = 4096, 64
+MAGIC = b"SWB2"
+#: Blocks of larger ids are coded by their ranks among the block's distinct ids.
+WIDE = 1 << 18
+_ORDER2, _ORDER1, _ORDER0 = range(3)
+#: Contexts of a class: the trust in both predictions (0 to 3), whether they agree, and the class before.
 _TRUSTS = 32
-_GAIN, _MOST = 32, 6000
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-_U32 = np.uint32
-_STARTS = (4 ** np.arange(_CLASSES)).astype(_U32)
-_POWER = np.zeros(BLOCK + 1, np.int64)
-_POWER[1:] = np.searchsorted(_STARTS, np.arange(1, BLOCK + 1), "right") - 1
-
-
-class _Mixture:
-    """Adaptive frequencies of the classes in each of a number of contexts, for many blocks."""
-
-    def __init__(self, lanes: int, contexts: int) -> None:
-        self.freq = np.ones((lanes * contexts, _CLASSES), np.uint16)
-        self.total = np.full(lanes * contexts, _CLASSES, np.uint16)
-        self.base = np.arange(lanes) * contexts
-
-    def of(self, context: np.ndarray) -> np.ndarray:
-        self.row = self.base[: len(context)] + context
-        return self.freq[self.row]
-
-    def learn(self, what: np.ndarray) -> None:
-        self.freq.reshape(-1)[self.row * _CLASSES + what] += _GAIN
-        total = self.total[self.row] + _GAIN
-        self.total[self.row] = total
-        if total.max() > _MOST:
-            full = self.row[total > _MOST]
-            self.freq[full] = (self.freq[full] + 1) >> 1
-            self.total[full] = self.freq[full].sum(axis=1)
+_CONTEXTS = 3 * _TRUSTS
+_BITS2, _BITS1 = 18, 16
+#: Parts that an interval is cut into for a class and for an order-0 id, and parts left to rare ids.
+_CLASS_BITS, _ID_BITS = 12, 17
+_RARE = 1 << 12
+_U32, _U64 = np.uint32, np.uint64
+_WORD, _LOW, _MASK = _U64(32), _U64(1 << 32), _U64((1 << 32) - 1)
+_BLOCK_HEAD = struct.Struct("<IIIIII")
 
 
 class _Model:
-    """The state of the predictions of many blocks."""
-
-    def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes) * _SLOTS
-        self.two = np.zeros(lanes * _SLOTS, _U32)
-        self.one = np.zeros(lanes * _SLOTS, _U32)
-        self.by_trust, self.by_last = _Mixture(lanes, _TRUSTS), _Mixture(lanes, _CLASSES)
-        self.a = np.zeros(lanes, _U32)
-        self.b = np.zeros(lanes, _U32)
-        self.last = np.full(lanes, _NEW)
-
-    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predicted ids at order 2 and 1 of the first k lanes, and cumulative frequencies, a row for each class."""
-        h1 = self.b[:k] * _U32(0x9E3779B1)
-        self.s1 = self.base[:k] + (h1 >> _U32(21))
-        self.s2 = self.base[:k] + (((self.a[:k] * _U32(0x85EBCA6B)) ^ h1) * _U32(0xC2B2AE35) >> _U32(21))
-        self.e2, self.e1 = self.two[self.s2], self.one[self.s1]
-        p2, p1 = self.e2 >> _U32(2), self.e1 >> _U32(2)
-        trust = (self.e2 & _U32(3)) * _U32(8) + (self.e1 & _U32(3)) * _U32(2) + (p1 == p2)
-        mixed = self.by_trust.of(trust) + self.by_last.of(self.last[:k])
-        cum = np.zeros((_CLASSES + 1, k), _U32)
-        for c in range(_CLASSES):
-            np.add(cum[c], mixed[:, c], out=cum[c + 1])
-        return p2, p1, cum
-
-    def update(self, k: int, ids: np.ndarray, what: np.ndarray) -> None:
-        self.by_trust.learn(what)
-        self.by_last.learn(what)
-        known = ids << _U32(2)
-        for table, slot, entry in ((self.two, self.s2, self.e2), (self.one, self.s1, self.e1)):
-            trust = entry & _U32(3)
-            table[slot] = np.where(entry - trust == known, known | np.minimum(trust + _U32(1), _U32(3)), np.where(trust > 0, entry - _U32(1), known))
-        self.a[:k], self.b[:k], self.last[:k] = self.b[:k], ids, what
-
-
-class _Coder:
-    """The interval of each block, and how it is brought back to 16 bits at least, a byte at a time."""
-
-    def __init__(self, lanes: int) -> None:
-        self.low, self.range = np.zeros(lanes, _U32), np.full(lanes, 0xFFFFFFFF, _U32)
-
-    def _narrow(self, lanes: slice | np.ndarray, start: np.ndarray, part: np.ndarray, size) -> None:
-        low, rng = self.low[lanes] + start * part, part * size
-        todo, x, r = None, low, rng
-        while True:
-            same = (x ^ (x + r)) < _TOP
-            go = np.flatnonzero(same | (r < _BOTTOM))
-            if not len(go):
-                break
-            todo = go if todo is None else todo[go]
-            x, r, same = x[go], r[go], same[go]
-            r = np.where(same, r, (_U32(0) - x) & (_BOTTOM - _U32(1)))
-            self._shift(todo if isinstance(lanes, slice) else lanes[todo], x)
-            x, r = x << _U32(8), r << _U32(8)
-            low[todo], rng[todo] = x, r
-        self.low[lanes], self.range[lanes] = low, rng
-
-
-class _Encoder(_Coder):
-    def __init__(self, lanes: int, room: int) -> None:
-        super().__init__(lanes)
-        self.out, self.at, self.room = np.zeros(lanes * room, np.uint8), np.arange(lanes) * room, room
-
-    def _shift(self, own: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[own]
-        self.out[at] = low >> _U32(24)
-        self.at[own] = at + 1
-
-    def code(self, lanes: slice | np.ndarray, start: np.ndarray, size, total) -> None:
-        self._narrow(lanes, start, self.range[lanes] // total, size)
-
-    def finish(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            self.out[self.at] = (self.low >> _U32(shift)) & _U32(255)
-            self.at += 1
-        return [self.out[i * self.room : end].tobytes() for i, end in enumerate(self.at.tolist())]
-
-
-class _Decoder(_Coder):
-    def __init__(self, blocks: list[bytes]) -> None:
-        super().__init__(len(blocks))
-        room = max(map(len, blocks)) + 8
-        data = np.zeros((len(blocks), room), np.uint8)
-        for i, x in enumerate(blocks):
-            data[i, : len(x)] = np.frombuffer(x, np.uint8)
-        self.data, self.at = data.reshape(-1), np.arange(len(blocks)) * room + 4
-        self.end = np.arange(len(blocks)) * room + room - 1
-        self.read = np.zeros(len(blocks), _U32)
-        for i in range(4):
-            self.read = (self.read << _U32(8)) | data[:, i]
-
-    def _shift(self, own: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[own]
-        self.read[own] = (self.read[own] << _U32(8)) | self.data[np.minimum(at, self.end[own])]
-        self.at[own] = at + 1
-
-    def target(self, lanes: slice | np.ndarray, total) -> np.ndarray:
-        self.part = self.range[lanes] // total
-        return np.minimum((self.read[lanes] - self.low[lanes]) // self.part, total - _U32(1))
-
-    def take(self, lanes: slice | np.ndarray, start: np.ndarray, size) -> None:
-        self._narrow(lanes, start, self.part, size)
-
-
-def _last_places(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Steps since the id's last occurrence in its block, 0 if it is new there."""
-    key = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * LIMIT + ids
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    back = np.zeros(len(ids), np.int32)
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    return back
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The ids in blocks of BLOCK, each coded from an empty model."""
-    if not len(ids):
-        return []
-    lanes = -(-len(ids) // BLOCK)
-    lengths = np.full(lanes, BLOCK)
-    lengths[-1] = len(ids) - (lanes - 1) * BLOCK
-    grid, back = np.zeros((2, lanes * BLOCK), _U32)
-    grid[: len(ids)], back[: len(ids)] = ids, _last_places(ids.astype(np.int64), lengths)
-    grid, back = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T), np.ascontiguousarray(back.reshape(lanes, BLOCK).T)
-    m, e, one, page = _Model(lanes), _Encoder(lanes, 8 * BLOCK // 2 + 64), _U32(1), _U32(4096)
-    for t in range(int(lengths[0])):
-        k = lanes if t < lengths[-1] else lanes - 1
-        x, d = grid[t, :k], back[t, :k]
-        p2, p1, cum = m.predict(k)
-        what = np.where(d > 0, _NEAR + _POWER[d], _NEW)
-        what[p1 == x] = _ORDER1
-        what[p2 == x] = _ORDER2
-        at = what * k + np.arange(k)
-        start = cum.reshape(-1)[at]
-        e.code(slice(0, k), start, cum.reshape(-1)[at + k] - start, cum[-1])
-        m.update(k, x, what)
-        near = np.flatnonzero((what >= _NEAR) & (what < _NEW))
-        if len(near):
-            first = _STARTS[what[near] - _NEAR]
-            e.code(near, d[near] - first, one, first * _U32(3))
-        new = np.flatnonzero(what == _NEW)
-        if len(new):
-            e.code(new, x[new] >> _U32(12), one, page)
-            e.code(new, x[new] & _U32(4095), one, page)
-    return e.finish()
-
-
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    """The ids of blocks, which must be in an order of falling length."""
-    if not blocks:
-        return np.zeros(0, _U32)
-    lanes = len(blocks)
-    grid = np.zeros((int(lengths[0]), lanes), _U32)
-    m, x, one, page = _Model(lanes), _Decoder(blocks), _U32(1), _U32(4096)
-    for t in range(int(lengths[0])):
-        k = int(np.searchsorted(-lengths, -t, "left"))
-        p2, p1, cum = m.predict(k)
-        want = x.target(slice(0, k), cum[-1])
-        what = np.add.reduce(cum[1:] <= want, axis=0, dtype=np.int64)
-        at = what * k + np.arange(k)
-        start = cum.reshape(-1)[at]
-        x.take(slice(0, k), start, cum.reshape(-1)[at + k] - start)
-        ids = np.where(what == _ORDER2, p2, p1)
-        near = np.flatnonzero((what >= _NEAR) & (what < _NEW))
-        if len(near):
-            first = _STARTS[what[near] - _NEAR]
-            got = x.target(near, first * _U32(3))
-            x.take(near, got, one)
-            ids[near] = grid.reshape(-1)[(t - (first + got).astype(np.int64)) * lanes + near]
-        new = np.flatnonzero(what == _NEW)
-        if len(new):
-            high = x.target(new, page)
-            x.take(new, high, one)
-            low = x.target(new, page)
-            x.take(new, low, one)
-            ids[new] = (high << _U32(12)) | low
-        grid[t, :k] = ids
-        m.update(k, ids, what)
-    return np.concatenate([grid[:n, i] for i, n in enumerate(lengths.tolist())])
+    """What a block has taught so far. Coder and decoder take the same steps."""
+
+    def __init__(self, lanes: int, steps: int, alphabet: int) -> None:
+        self.alphabet = alphabet
+        self.two, self.one = np.zeros(1 << _BITS2, _U32), np.zeros(1 << _BITS1, _U32)  # id << 2 | trust
+        self.a, self.b = np.zeros(lanes, _U32), np.zeros(lanes, _U32)
+        self.last = np.full(lanes, _ORDER0 * _TRUSTS)
+        self.ids, self.taken = np.zeros((steps, lanes), _U32), np.full((steps, lanes), -1, np.int16)
+        self.seen, self.missed = np.zeros((_CONTEXTS, 3)), np.zeros(alphabet)
+        self.weighed = self.counted = 0
+        self.slot, self.spot = np.zeros(1 << _ID_BITS, _U32), np.zeros(alphabet + 1, _U64)
+
+    def _weigh(self) -> None:
+        """Mix the classes' frequencies of every context."""
+        seen = self.seen.reshape(3, _TRUSTS, 3)
+        both = seen + 0.02
+        trusts = seen.sum(axis=0, keepdims=True) + np.array([0.1, 0.1, 0.4])
+        last = seen.sum(axis=1, keepdims=True) + 0.2
+        n = both.sum(axis=2, keepdims=True)
+        sure = n / (n + 20)  # the more a context has seen, the more it counts
+        p = sure * both / n + (1 - sure) * (0.8 * trusts / trusts.sum(axis=2, keepdims=True) + 0.2 * last / last.sum(axis=2, keepdims=True))
+        f = np.floor(p * ((1 << _CLASS_BITS) - 3)).astype(np.int64) + 1
+        f[..., _ORDER0] += (1 << _CLASS_BITS) - f.sum(axis=2)
+        start = np.cumsum(f, axis=2) - f
+        self.class_spot = ((start << 32) | f).reshape(-1).astype(_U64)
+        self.second, self.third = (start[..., c].reshape(-1).astype(_U64) for c in (_ORDER1, _ORDER0))
+
+    def _rank(self) -> None:
+        """Order-0 frequencies from the counts; ids that get none share what is left."""
+        f = np.floor(self.missed * (((1 << _ID_BITS) - _RARE) / max(1.0, self.missed.sum()))).astype(np.int64)
+        seen = np.flatnonzero(f)
+        size = f[seen]
+        end = np.cumsum(size)
+        top = int(size.sum())
+        self.slot[:top] = np.repeat(seen, size)
+        self.top, self.rare = _U64(top), _U64((top << 32) | ((1 << _ID_BITS) - top))
+        self.spot[:] = self.rare
+        self.spot[seen] = ((end - size) << 32) | size
+        self.spot[-1] = 1 << _ID_BITS  # of an id that a context predicted: all parts
+
+    def learn(self, t: int) -> None:
+        """Before step t: take in the steps so far, in ever longer strides."""
+        if t < 16 or t % 8 == 0:
+            at = self.taken[self.weighed : t].reshape(-1)
+            self.seen += np.bincount(at[at >= 0], minlength=3 * _CONTEXTS).reshape(-1, 3)
+            self.weighed = t
+            self._weigh()
+        if t & (t - 1) == 0 or t % 128 == 0:
+            at = self.taken[self.counted : t]
+            self.missed += np.bincount(self.ids[self.counted : t][(at >= 0) & (at % 3 == _ORDER0)], minlength=self.alphabet)
+            self.counted = t
+            self._rank()
+
+    def predict(self, k: int) -> None:
+        """Of the first k lanes: the predicted ids, and their contexts' numbers."""
+        h = self.b[:k] * _U32(0x9E3779B1)
+        self.slot1 = (h >> _U32(32 - _BITS1)).astype(np.intp)
+        self.slot2 = (((self.a[:k] * _U32(0x85EBCA6B)) ^ h) * _U32(0xC2B2AE35) >> _U32(32 - _BITS2)).astype(np.intp)
+        self.entry2, self.entry1 = self.two.take(self.slot2), self.one.take(self.slot1)
+        self.id2, self.id1 = self.entry2 >> _U32(2), self.entry1 >> _U32(2)
+        self.trust2, self.trust1 = self.entry2 & _U32(3), self.entry1 & _U32(3)
+        self.context = self.last[:k] + ((self.trust2 << _U32(3)) + (self.trust1 << _U32(1)) + (self.id1 == self.id2))
+
+    def update(self, t: int, k: int, ids: np.ndarray, what: np.ndarray, taken: np.ndarray) -> None:
+        """What comes true is trusted more, what doesn't less; what isn't trusted is replaced."""
+        new = ids << _U32(2)
+        for table, slot, entry, known, trust in ((self.two, self.slot2, self.entry2, self.id2, self.trust2), (self.one, self.slot1, self.entry1, self.id1, self.trust1)):
+            table[slot] = np.where(known == ids, entry + (trust != 3), np.where(trust > 0, entry - _U32(1), new))
+        self.a[:k], self.b[:k] = self.b[:k], ids
+        np.multiply(what, _TRUSTS, out=self.last[:k])
+        self.ids[t, :k], self.taken[t, :k] = ids, taken
+
+
+def _shape(n: int) -> tuple[int, int, int]:
+    """Steps and lanes of a block, and the last lane's ids."""
+    steps = -(-n // max(1, min(LANES, n // LEAST)))
+    lanes = -(-n // steps)
+    return steps, lanes, n - (lanes - 1) * steps
+
+
+class _Writer:
+    """The lanes' intervals, and the words that they have settled."""
+
+    def __init__(self, lanes: int, steps: int) -> None:
+        self.low, self.range = np.zeros(lanes, _U64), np.full(lanes, 2**64 - 1, _U64)
+        self.room = 2 * steps + 4
+        self.out, self.at = np.zeros(lanes * self.room, _U32), np.arange(lanes) * self.room + 1
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        spot = self.at[lanes] - 1
+        while len(spot):
+            self.out[spot] += _U32(1)
+            spot = spot[self.out[spot] == 0] - 1
+
+    def narrow(self, lanes: np.ndarray | slice, move: np.ndarray, size: np.ndarray) -> None:
+        low = self.low[lanes] + move
+        over, short = np.flatnonzero(low < move), np.flatnonzero(size < _LOW)
+        if len(over):
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
+        if len(short):
+            own = short if isinstance(lanes, slice) else lanes[short]
+            spot, x = self.at[own], low[short]
+            self.out[spot] = x >> _WORD
+            self.at[own] = spot + 1
+            low[short], size[short] = x << _WORD, size[short] << _WORD
+        self.low[lanes], self.range[lanes] = low, size
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each lane, and all words: to the last comes one that lies in the interval with zeros behind it."""
+        end = self.low + _MASK
+        self._carry(np.flatnonzero(end < self.low))
+        self.out[self.at] = end >> _WORD
+        n = self.at - np.arange(len(self.at)) * self.room
+        row = np.arange(self.room)
+        return n, self.out.reshape(-1, self.room)[(row > 0) & (row <= n[:, None])]
+
+
+class _Reader:
+    def __init__(self, n: np.ndarray, words: np.ndarray) -> None:
+        lanes, room = len(n), int(n.max()) + 3
+        data = np.zeros((lanes, room), _U32)
+        data[np.arange(room) < n[:, None]] = words
+        self.data, self.at = data.reshape(-1), np.arange(lanes) * room
+        self.end = self.at + room - 1
+        self.code, self.range = (self.data[self.at].astype(_U64) << _WORD) | self.data[self.at + 1], np.full(lanes, 2**64 - 1, _U64)
+        self.at += 2
+
+    def narrow(self, lanes: np.ndarray | slice, code: np.ndarray, size: np.ndarray) -> None:
+        short = np.flatnonzero(size < _LOW)
+        if len(short):
+            own = short if isinstance(lanes, slice) else lanes[short]
+            spot = self.at[own]
+            code[short], size[short] = (code[short] << _WORD) | self.data[spot], size[short] << _WORD
+            self.at[own] = np.minimum(spot + 1, self.end[own])
+        self.code[lanes], self.range[lanes] = code, size
+
+
+def encode_block(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each lane, and all words, of ids below ``alphabet``."""
+    steps, lanes, last = _shape(len(ids))
+    grid = np.zeros(lanes * steps, _U32)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    m, w, evenly = _Model(lanes, steps, alphabet), _Writer(lanes, steps), _U64(alphabet)
+    for t in range(steps):
+        k = lanes if t < last else lanes - 1
+        x = grid[t, :k]
+        m.learn(t)
+        m.predict(k)
+        what = np.where(m.id2 == x, _ORDER2, np.where(m.id1 == x, _ORDER1, _ORDER0))
+        taken = m.context * 3 + what
+        spot = m.class_spot.take(taken)
+        part = w.range[:k] >> _U64(_CLASS_BITS)
+        move = part * (spot >> _WORD)
+        part = (part * (spot & _MASK)) >> _U64(_ID_BITS)
+        spot = m.spot.take(np.where(what == _ORDER0, x, alphabet))
+        w.narrow(slice(0, k), move + part * (spot >> _WORD), part * (spot & _MASK))
+        rare = np.flatnonzero((spot == m.rare) & (what == _ORDER0))
+        if len(rare):
+            part = w.range[rare] // evenly
+            w.narrow(rare, part * x[rare], part)
+        m.update(t, k, x, what, taken)
+    return w.finish()
+
+
+def decode_block(n: int, alphabet: int, lane_words: np.ndarray, words: np.ndarray) -> np.ndarray:
+    steps, lanes, last = _shape(n)
+    m, r, evenly, one = _Model(lanes, steps, alphabet), _Reader(lane_words, words), _U64(alphabet), _U64(1)
+    for t in range(steps):
+        k = lanes if t < last else lanes - 1
+        m.learn(t)
+        m.predict(k)
+        code, part = r.code[:k], r.range[:k] >> _U64(_CLASS_BITS)
+        v = code // part
+        what = (v >= m.second.take(m.context)).astype(np.intp) + (v >= m.third.take(m.context))
+        taken = m.context * 3 + what
+        spot = m.class_spot.take(taken)
+        code = code - part * (spot >> _WORD)
+        part = (part * (spot & _MASK)) >> _U64(_ID_BITS)
+        v = code // part
+        miss = what == _ORDER0
+        ids = m.slot.take(v.astype(np.intp), mode="clip")
+        spot = m.spot.take(np.where(miss, ids, alphabet))
+        rare = np.flatnonzero(miss & (v >= m.top))
+        spot[rare] = m.rare
+        r.narrow(slice(0, k), code - part * (spot >> _WORD), part * (spot & _MASK))
+        ids = np.where(miss, ids, np.where(what == _ORDER2, m.id2, m.id1))
+        if len(rare):
+            part = r.range[rare] // evenly
+            code = r.code[rare]
+            ids[rare] = got = np.minimum(code // part, evenly - one)
+            r.narrow(rare, code - part * got, part)
+        m.update(t, k, ids, what, taken)
+    return np.ascontiguousarray(m.ids.T).reshape(-1)[:n]
+
+
+def _blocks(n: int) -> np.ndarray:
+    """Where the blocks of n ids begin, and the end."""
+    count = max(1, round(n / BLOCK)) if n else 0
+    return np.arange(count + 1) * n // max(1, count)
+
+
+def _encoded(ids: np.ndarray) -> bytes:
+    """A block: sizes, checksums of its bytes and of its ids, the distinct ids if they are wide, lanes and words."""
+    alphabet, names = int(ids.max()) + 1, b""
+    check = zlib.crc32(ids.astype("<u4").tobytes())
+    if alphabet > WIDE:
+        known, ids = np.unique(ids, return_inverse=True)
+        alphabet, names = len(known), zlib.compress(known.astype("<u4").tobytes())
+    lane_words, words = encode_block(ids, alphabet)
+    body = names + lane_words.astype("<u2").tobytes() + words.astype("<u4").tobytes()
+    return _BLOCK_HEAD.pack(len(ids), alphabet, len(names), len(lane_words), zlib.crc32(body), check) + struct.pack("<I", len(body)) + body
 
 
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A segment: a magic, sizes, the documents' ids and lengths, and of each block its length, checksum and bytes."""
-    blocks = encode_blocks(ids)
+    """A segment: a magic, sizes, the documents' ids and lengths, and the blocks."""
     docs = struct.pack(f"<{len(counts)}?", *(d is None for d in doc_ids)) + struct.pack(f"<{len(counts)}q", *(d or 0 for d in doc_ids)) + counts.astype("<u4").tobytes()
     head = zlib.compress(docs)
-    table = b"".join(struct.pack("<II", zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()), len(x)) for i, x in enumerate(blocks))
-    return MAGIC + struct.pack("<IQII", len(counts), len(ids), len(head), zlib.crc32(head)) + head + table + b"".join(blocks)
+    edges = _blocks(len(ids))
+    return MAGIC + struct.pack("<IQII", len(counts), len(ids), len(head), zlib.crc32(head)) + head + b"".join(_encoded(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True))
 
 
 def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -257,14 +269,19 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     head, at = zlib.decompress(head), at + size
     none, known = struct.unpack_from(f"<{n}?", head), struct.unpack_from(f"<{n}q", head, n)
     counts = np.frombuffer(head, "<u4", n, 9 * n).astype(np.int64)
-    lanes = -(-total // BLOCK)
-    table = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(-1, 2)
-    edges = at + 8 * lanes + np.concatenate(([0], np.cumsum(table[:, 1], dtype=np.int64)))
-    lengths = np.full(lanes, BLOCK, np.int64)
-    if lanes:
-        lengths[-1] = total - (lanes - 1) * BLOCK
-    ids = decode_blocks([data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], lengths)
-    for i in range(lanes):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != table[i, 0]:
+    found = [np.zeros(0, _U32)]
+    for i in range(len(_blocks(total)) - 1):
+        own, alphabet, name_bytes, lanes, coded, plain = _BLOCK_HEAD.unpack_from(data, at)
+        (size,) = struct.unpack_from("<I", data, at + _BLOCK_HEAD.size)
+        at += _BLOCK_HEAD.size + 4
+        body, at = data[at : at + size], at + size
+        if zlib.crc32(body) != coded:
+            raise ValueError(f"the checksum of block {i} is wrong")
+        lane_words = np.frombuffer(body, "<u2", lanes, name_bytes).astype(np.int64)
+        ids = decode_block(own, alphabet, lane_words, np.frombuffer(body, "<u4", offset=name_bytes + 2 * lanes))
+        if name_bytes:
+            ids = np.frombuffer(zlib.decompress(body[:name_bytes]), "<u4")[ids]
+        if zlib.crc32(ids.astype("<u4").tobytes()) != plain:
             raise ValueError(f"the checksum of block {i} is wrong")
-    return [None if x else d for x, d in zip(none, known, strict=True)], counts, ids
+        found.append(ids)
+    return [None if x else d for x, d in zip(none, known, strict=True)], counts, np.concatenate(found)

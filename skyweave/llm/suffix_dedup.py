@@ -16,7 +16,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, bounded_batches, mix, shingles, stored, word_hashes
+from .common import _STEP, mix, shingles, slices, stored, word_hashes
 
 #: Words that a reported passage has at least.
 MIN_WORDS = 50
@@ -48,7 +48,7 @@ def retained(words: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 2):
         words, counts = word_hashes(b.column(2).to_pylist())
         ends = np.cumsum(counts)
         head, row, pos = [], [], []
@@ -80,7 +80,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each candidate position the words around: to the right beyond the head, to the left nearest first."""
     names = ["head", "right", "left", "doc_id", "text_key", "pos", "n_left", "n_right"]
-    for b in batches:
+    for b in slices(batches, 2):
         words, counts = word_hashes(b.column(2).to_pylist())
         ends = np.cumsum(counts)
         out: list[list] = [[] for _ in names]
@@ -226,7 +226,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passage was matched with. Repeats within one document don't count. Rows that share an id are one document (equal
     rows are reported once). Null ids, null, empty and shorter texts have no passage; no rows, no passages.
     """
-    bounded_batches(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= 2 * MIN_WORDS - 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("t"))
     order = ["head", "doc_id", "text_key", "pos"]

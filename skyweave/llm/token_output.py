@@ -7,7 +7,6 @@ blocks that are coded and checksummed on their own (see ``range_coder``).
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,107 +17,77 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shared_dir
-from .range_coder import pack, unpack
+from .common import shared_dir, slices
+from .pieces import Pieces
+from .range_coder import BLOCK, pack, unpack
 
 #: Ids after which a segment ends, with the document then at hand.
-SEGMENT_IDS = 6 << 20
+SEGMENT_IDS = BLOCK
 #: The id behind each document.
 END = 0
-#: Word pieces whose ids a worker remembers.
-REMEMBERED = 400_000
-#: New pieces that are encoded as the lines of one text.
-LINES = 256
 SEGMENT = "part int, segment int, n_docs long, n_ids long, data binary"
+_WORKER: dict[str, Pieces] = {}
 
-#: Pieces that byte-level BPE never joins: a run without white space with one space before it, or white space.
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space to Python that isn't white space to the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
-_WORKER: dict = {}
 
-
-def _tokenizer(path: str) -> dict:
+def _tokenizer(path: str) -> Pieces:
     if path not in _WORKER:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        whole = [re.escape(a.content) for a in t.get_added_tokens_decoder().values()]
-        _WORKER[path] = {"t": t, "ids": {}, "special": re.compile("|".join(whole)) if whole else None}
+        _WORKER[path] = Pieces(path)
     return _WORKER[path]
 
 
-def _encode(t, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _encode_lines(t, pieces: list[str]) -> list[bytes]:
-    """The ids of pieces that aren't white space, from one text; each by itself if the line feed isn't one id."""
-    feed = t.encode("\n", add_special_tokens=False).ids
-    ids = np.array(t.encode("\n".join(pieces), add_special_tokens=False).ids, "<u4")
-    cuts = np.flatnonzero(ids == feed[0]) if len(feed) == 1 else ids[:0]
-    if len(cuts) != len(pieces) - 1:
-        return _encode(t, pieces)
-    raw, cuts = ids.tobytes(), cuts.tolist()
-    return [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in cuts)], [*cuts, len(ids)], strict=True)]
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes side by side, and where each begins and the last ends; a null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)), edges - edges[0]
 
 
-def token_ids(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers.
-
-    Texts are cut where byte-level BPE can't join, and each distinct piece is encoded once and remembered. New pieces
-    are encoded many in one text, a line each, and the ids cut at the line feeds'. Texts with a special token's string,
-    or with characters on which the two notions of white space differ, are encoded whole.
-    """
-    w = _tokenizer(path)
-    t, known = w["t"], w["ids"]
-    if len(known) > REMEMBERED:
-        known.clear()
-    pieces: list[list[str] | None] = []
-    for x in texts:
-        x = x or ""
-        pieces.append(None if _ODD.search(x) or (w["special"] and w["special"].search(x)) else _PIECE.findall(x))
-    new = {p for own in pieces if own for p in own if p not in known}
-    blank = [p for p in new if p.isspace()]
-    known.update(zip(blank, _encode(t, blank), strict=True))
-    lines = list(new.difference(blank))
-    for at in range(0, len(lines), LINES):
-        part = lines[at : at + LINES]
-        known.update(zip(part, _encode_lines(t, part), strict=True))
-    return [_encode(t, [x or ""])[0] if own is None else b"".join(map(known.__getitem__, own)) for x, own in zip(texts, pieces, strict=True)]
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts of an Arrow array, and how many each has."""
+    return _tokenizer(path).ids_of(*_bytes(texts))
 
 
 def segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of SEGMENT, in ascending document order within and across partitions."""
-    bounded_batches(docs.sparkSession)
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        docs, ids, size = [], [], 0
+        docs: list = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        size = 0
 
         def row() -> pa.RecordBatch:
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            data = pack(docs, counts, np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([data], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "data"])
-
-        for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), token_ids(b.column(1).to_pylist(), tokenizer_path), strict=True):
-                docs.append(d)
-                ids.append(x + end)
-                size += len(x) // 4 + 1
+            data = pack(docs, np.concatenate(counts), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["part", "segment", "n_docs", "n_ids", "data"])
+
+        for b in slices(batches, 1):
+            found, n = token_ids(b.column(1), tokenizer_path)
+            ends = np.cumsum(n)
+            found, n, names = np.insert(found, ends, END), n + 1, b.column(0).to_pylist()
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):  # documents up to the segment's end
+                before = int(ends[at - 1]) if at else 0
+                to = min(int(np.searchsorted(ends, before + SEGMENT_IDS - size)) + 1, len(n))
+                docs += names[at:to]
+                counts.append(n[at:to])
+                ids.append(found[before : ends[to - 1]])
+                size += int(ends[to - 1]) - before
+                at = to
                 if size >= SEGMENT_IDS:
                     yield row()
-                    number, docs, ids, size = number + 1, [], [], 0
+                    number, docs, counts, ids, size = number + 1, [], [], [], 0
         if docs:
             yield row()
 
-    order = [F.col("d").asc_nulls_first(), F.col("t").asc_nulls_first()]
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    # equal ids in one partition; their texts' order then makes reruns agree
-    return rows.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, SEGMENT)
+    # rows of one id lie by their texts' hashes, and equal ones by where they came from: no id is all in one task
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("r"))
+    order = [F.col("d").asc_nulls_first(), "h", "r"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("d", "t").mapInArrow(run, SEGMENT)
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **kwargs) -> str:
@@ -136,7 +105,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, and with ``with_ids`` its ids.
 
     ``start`` counts the ids of all documents before it; documents come in ascending id, null first, and equal ids by
-    text, null first. ``n_tokens`` and the checksum include the end id. A null or empty text is its end id alone. A
+    a hash of their texts. ``n_tokens`` and the checksum include the end id. A null or empty text is its end id alone. A
     block whose checksum is wrong raises ValueError. A folder without documents gives no rows.
     """
     found = read_segments(spark, folder)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, labelled_rows, map_text, mix
+from .common import labelled_rows, map_text, mix, slices
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -69,7 +69,7 @@ def _mark() -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training texts that have each feature, by label, of this partition."""
     mark, seen = _mark(), np.zeros((2, 1 << BITS), np.int64)
-    for b in batches:
+    for b in slices(batches, 1):
         for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen[y, features(t, mark)] += 1
     at = np.flatnonzero(seen.any(axis=0))
@@ -83,7 +83,6 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     rows. With one label only, or no row, the bias alone answers.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = labelled_rows(docs, labels, label_col, max_rows, key, text_col).select("y", "t")
     y_n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = y_n.get(0, 0), y_n.get(1, 0)
@@ -104,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = _mark()
-        for b in batches:
+        for b in slices(batches, 1):
             got = [told.value[features(t, mark)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(x[x >= 0]).astype("<u2").tobytes() for x in got], pa.binary())], names=["y", "x"])
 

@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -137,8 +139,40 @@ def test_token_files(spark):
 def test_ids_of_cut_texts(text):
     from skyweave.llm.token_output import token_ids
 
+    for path in (queries.tokenizer_path(), public_tokenizers.path("word_bpe_49k.json")):  # the second can't be cut
+        t = Tokenizer.from_file(path)
+        ids, counts = token_ids(pa.array([text, None, text[::-1]]), path)
+        want = [t.encode(x, add_special_tokens=False).ids for x in (text, "", text[::-1])]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
+def test_ids_of_random_texts():
+    from skyweave.llm.token_output import token_ids
+
+    path, r = queries.tokenizer_path(), random.Random(4)
+    t, signs = Tokenizer.from_file(path), [*"ab c'sdTLlve  \n\t.,!1 2_-(é×ñß÷日本ж\xa0\u3000 ́²½\x1c\x85", "'s", "'ll", "<|endoftext|>", "  ", "\n\n", "🙂", "’", "ǆ"]
+    texts = ["".join(r.choices(signs if i % 3 else signs[:24], k=r.randrange(60))) for i in range(4000)]
+    ids, counts = token_ids(pa.array(texts), path)
+    for x, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    from skyweave.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 1 << 10)
+    p, t = pieces.Pieces(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    for i in range(12):
+        text = " ".join(words(200, i, 100_000))
+        ids, _ = p.ids_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and p.parts.n <= 1 << 10
+
+
+def test_coded_ids_are_smaller_than_deflated_ones(spark):
     t = Tokenizer.from_file(queries.tokenizer_path())
-    assert np.frombuffer(token_ids([text], queries.tokenizer_path())[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids = np.concatenate([np.array([*e.ids, 0], np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)])
+    assert len(range_coder.pack([0], np.array([len(ids)]), ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
