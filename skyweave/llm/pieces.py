@@ -1,8 +1,8 @@
 """Ids of byte-level BPE for many texts at once: each distinct piece of text is encoded once and remembered.
 
-Texts are cut where such a tokenizer can't join: its pattern always ends a match there. The cuts, a hash of every
-piece and the look-ups are array operations over a buffer of texts; only new pieces go to the tokenizer. What the
-look-ups found is compared with the buffer byte by byte, so a hash that two pieces share changes no ids.
+Texts are cut where such a tokenizer can't join: its pattern always ends a match there. The cuts, the pieces' bytes as
+words of eight and the look-ups by their hash are array operations over a buffer of texts; only new pieces go to the
+tokenizer. What a look-up found is compared word by word, so a hash that two pieces share changes no ids.
 """
 
 from __future__ import annotations
@@ -13,23 +13,21 @@ import re
 import numpy as np
 
 #: Pieces that are remembered; then the memory is emptied. Longer ones than so many bytes are encoded each time.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 LONGEST = 64
-#: New pieces that are encoded as the lines of one text, and pieces that are put together at a time.
+#: New pieces that are encoded as the lines of one text, and pieces that are looked up at a time.
 LINES = 1024
-_AT_ONCE = 1 << 16
-_BUFFER = 1 << 19
+_AT_ONCE = 1 << 15
 
 # Kinds of bytes. Bytes of other than ASCII characters may be letters, marks or space: no cut is made beside them,
 # unless they are of a block that has letters only.
-_MARK, _SPACE, _BLANK, _LETTER, _DIGIT, _QUOTE, _OTHER = range(7)
+_MARK, _SPACE, _BLANK, _LETTER, _DIGIT, _QUOTE, _OTHER, _LEAD = range(8)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[:128] = _MARK
 _KIND[9:14], _KIND[32], _KIND[39] = _BLANK, _SPACE, _QUOTE
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = _DIGIT, _LETTER, _LETTER
 #: First bytes of U+00C0 to U+027F and U+0400 to U+047F: letters, but for the two signs of times and division.
-_LEADS = np.zeros(256, bool)
-_LEADS[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True
+_KIND[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = _LEAD
 _SIGNS = (0x97, 0xB7)
 #: Between which kinds a piece ends: a run of letters or digits ends before anything else, and one of marks before a
 #: letter or digit; an apostrophe may belong to the letters behind it.
@@ -37,21 +35,13 @@ _ENDS = np.zeros((8, 8), bool)
 _ENDS[_LETTER, [_MARK, _DIGIT, _QUOTE]] = _ENDS[_DIGIT, [_MARK, _LETTER, _QUOTE]] = _ENDS[_MARK, [_LETTER, _DIGIT]] = _ENDS[_QUOTE, _DIGIT] = True
 _ENDS[[_MARK, _LETTER, _DIGIT, _QUOTE, _OTHER], _SPACE] = _ENDS[[_MARK, _LETTER, _DIGIT, _QUOTE, _OTHER], _BLANK] = True
 _ENDS[_BLANK, [_MARK, _LETTER, _DIGIT, _QUOTE, _OTHER]] = True
-_ENDS = _ENDS.reshape(-1)
+_ENDS = _ENDS.astype(np.uint8).tobytes().ljust(256, b"\0")
 #: White space beyond ASCII, as three bytes (two, and zero).
 _WIDE = np.array(sorted(int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), np.int64)
 
-_BYTES = np.random.default_rng(60).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int) -> np.ndarray:
-    steps = np.full(_BUFFER + LONGEST + 1, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-_POWERS, _BACK = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+#: The bytes of a word of eight that belong to a piece, by how many are left of it.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def can_be_cut(description: dict) -> bool:
@@ -62,8 +52,10 @@ def can_be_cut(description: dict) -> bool:
 
 
 def _kinds(b: np.ndarray) -> np.ndarray:
-    kind = _KIND[b]
-    lead = np.flatnonzero(_LEADS[b[:-1]])
+    kind = np.frombuffer(bytearray(b.tobytes().translate(_KIND.tobytes())), np.uint8)
+    lead = np.flatnonzero(kind == _LEAD)
+    kind[lead] = _OTHER
+    lead = lead[lead + 1 < len(b)]
     lead = lead[~((b[lead] == 0xC3) & np.isin(b[lead + 1], _SIGNS))]
     kind[lead] = kind[lead + 1] = _LETTER
     return kind
@@ -76,7 +68,7 @@ def cuts(b: np.ndarray, edges: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """
     kind = _kinds(b)
     cut = np.empty(len(b), bool)
-    cut[1:] = _ENDS[(kind[:-1] << 3) | kind[1:]]
+    cut[1:] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_ENDS), np.bool_)
     blank = (kind == _SPACE) | (kind == _BLANK)
     last = blank[1:-1] & blank[:-2] & ~blank[2:]
     cut[1:-1] |= last
@@ -102,7 +94,18 @@ def _odd(b: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The parts of a pool, one behind the other."""
     end = np.cumsum(size)
-    return pool[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+    return pool.take(np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0))
+
+
+def _words(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a number; zeros lie behind the end."""
+    n = -(-len(b) // 8) * 8
+    padded = np.zeros(n + 8, np.uint8)
+    padded[: len(b)] = b
+    out = np.empty(n, np.uint64)
+    for k in range(8):
+        out[k::8] = padded[k : k + n].view("<u8")
+    return out
 
 
 class _Pool:
@@ -137,7 +140,7 @@ class Pieces:
     def _empty(self) -> None:
         self.key, self.place = np.zeros(2 * REMEMBERED, np.uint64), np.zeros(2 * REMEMBERED, np.int32)
         self.shift = np.uint64(64 - (2 * REMEMBERED - 1).bit_length())
-        self.ids, self.bytes, self.parts = _Pool(np.uint32), _Pool(np.uint8), _Pool(np.int64, np.int32, np.int64, np.int32)
+        self.ids, self.words, self.parts = _Pool(np.uint32), _Pool(np.uint64), _Pool(np.int64, np.int32, np.int64, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Where pieces are, by their hashes; -1 if nowhere."""
@@ -163,8 +166,8 @@ class Pieces:
             left = left[~own]
             slot[left] = (slot[left] + 1) % len(self.key)
 
-    def _add(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, alone: np.ndarray) -> None:
-        """Encode pieces, as the lines of texts but for those that must be ``alone``, and put them at the pools' ends."""
+    def _add(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces, as the lines of texts but for those that must be ``alone``: where their ids are, and how many."""
         pieces = [b[i : i + k].tobytes().decode("utf-8", "replace") for i, k in zip(start.tolist(), size.tolist(), strict=True)]
         n, order, found = np.zeros(len(pieces), np.int64), [], []
         feed = self._encode(["\n"])[0]
@@ -186,32 +189,12 @@ class Pieces:
         order, found = np.concatenate([*order, rest]), [*found, *got]
         id_at = np.zeros(len(pieces), np.int64)
         id_at[order] = self.ids.n + np.cumsum(n[order]) - n[order]
-        self.parts.add(id_at, n, self.bytes.n + np.cumsum(size) - size, size)
         self.ids.add(np.concatenate(found))
-        self.bytes.add(_gather(b, start, size))
+        return id_at, n
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _hashes(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A hash of every piece that is not too long, never 0."""
-        out = np.zeros(len(start), np.uint64)
-        short = np.flatnonzero(size <= LONGEST)
-        at = 0
-        while at < len(short):
-            lo = start[short[at]]
-            to = max(at + 1, int(np.searchsorted(start[short], lo + _BUFFER, "left")))
-            own = short[at:to]
-            part = b[lo : start[own[-1]] + size[own[-1]]] if to > at + 1 else b[lo : lo + size[own[0]]]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTES[part] * _POWERS[: len(part)], out=sums[1:])
-            a, z = start[own] - lo, start[own] - lo + size[own]
-            h = (sums[z] - sums[a]) * _BACK[a] + size[own].astype(np.uint64) * np.uint64(_BASE)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[own] = (h ^ (h >> np.uint64(27))) | np.uint64(1)
-            at = to
-        return out
-
     def ids_of(self, b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts b[edges[i]:edges[i + 1]], and how many each has."""
         n = len(edges) - 1
@@ -234,31 +217,59 @@ class Pieces:
         """The ids of some pieces, and how many each has."""
         if self.parts.n > REMEMBERED * 3 // 4:
             self._empty()
-        short = size <= LONGEST
-        own = np.flatnonzero(short)
-        h = self._hashes(b, start, size)
+        wrong = size > LONGEST
+        own = np.flatnonzero(~wrong)
+        words, h = [], size.astype(np.uint64)
+        if len(own):
+            lo = start[own[0]]
+            around, left = None, own
+            for j in range(0, LONGEST, 8):  # fewer and fewer pieces have a further word
+                left = left[size[left] > j]
+                if not len(left):
+                    break
+                if around is None:
+                    around = _words(b[lo : start[own[-1]] + size[own[-1]]]) if len(own) == len(start) else None
+                at = start[left] + j
+                w = (around.take(at - lo) if around is not None else self._far(b, at)) & _LEFT.take(np.minimum(size[left] - j, 8))
+                words.append((left, w))
+                h[left] = (h[left] ^ w) * _MIX1
+                h[left] ^= h[left] >> np.uint64(29)
+        h = (h * _MIX2) | np.uint64(1)
         at = np.zeros(len(start), np.int64)
         at[own] = self._find(h[own])
         new = own[at[own] < 0]
         if len(new):
             key, first = np.unique(h[new], return_index=True)
+            first = new[first]
             self._remember(key, self.parts.n)
-            self._add(b, start[new[first]], size[new[first]], alone[new[first]])
+            n_words = -(-size[first] // 8)
+            word_at = self.words.n + np.cumsum(n_words) - n_words
+            self.words.add(np.zeros(int(n_words.sum()), np.uint64))
+            place = np.full(len(start), -1, np.int64)
+            place[first] = word_at
+            for j, (left, w) in enumerate(words):
+                keep = place[left] >= 0
+                self.words.arrays[0][place[left[keep]] + j] = w[keep]
+            id_at, n = self._add(b, start[first], size[first], alone[first])
+            self.parts.add(id_at, n, word_at, size[first])
             at[new] = self._find(h[new])
-        kept = self.parts.n, self.ids.n, self.bytes.n
         # what was found must have the same bytes
-        _, _, byte_at, n_bytes = self.parts.arrays
-        wrong = ~short
-        wrong[own] = n_bytes[at[own]] != size[own]
-        own = np.flatnonzero(~wrong)
-        differ = np.flatnonzero(_gather(self.bytes.arrays[0], byte_at[at[own]], size[own]) != _gather(b, start[own], size[own]))
-        if len(differ):
-            wrong[own[np.searchsorted(np.cumsum(size[own]), differ, "right")]] = True
-        again = np.flatnonzero(wrong)
+        id_at, n, word_at, n_bytes = (a.take(at) for a in self.parts.arrays)
+        wrong |= n_bytes != size
+        for j, (left, w) in enumerate(words):
+            wrong[left] |= self.words.arrays[0].take(word_at[left] + j, mode="clip") != w
+        again, kept = np.flatnonzero(wrong), self.ids.n
         if len(again):
-            at[again] = self.parts.n + np.arange(len(again))
-            self._add(b, start[again], size[again], alone[again])
-        id_at, counts = self.parts.arrays[0][at], self.parts.arrays[1][at].astype(np.int64)
-        ids = _gather(self.ids.arrays[0], id_at, counts)
-        self.parts.n, self.ids.n, self.bytes.n = kept
-        return ids, counts
+            id_at[again], n[again] = self._add(b, start[again], size[again], alone[again])
+        n = n.astype(np.int64)
+        ids = _gather(self.ids.arrays[0], id_at, n)
+        self.ids.n = kept
+        return ids, n
+
+    @staticmethod
+    def _far(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from some bytes on, where long pieces lie between."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            out |= np.where(at + k < len(b), b.take(at + k, mode="clip"), 0).astype(np.uint64) << np.uint64(8 * k)
+        return out

@@ -15,9 +15,9 @@ import zlib
 import numpy as np
 
 #: Ids of a block, about: a segment is cut evenly into as many blocks as come nearest.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Lanes of a block at most, and the fewest ids of a lane.
-LANES, LEAST = 4096, 64
+LANES, LEAST = 8192, 64
 MAGIC = b"SWB2"
 #: Blocks of larger ids are coded by their ranks among the block's distinct ids.
 WIDE = 1 << 18
