@@ -1,24 +1,28 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-Candidates are dealt into blocks, queries into blocks, and a task holds one of each. Components are split into
-``SLICES`` slices, each a list of partial scores. Phase one takes each slice's best candidates of a block, scores
-them in full and sends ``k`` scores for each query. The k-th best of these is a safe cutoff: no answer is below it.
-Phase two sends the cutoff out again; a candidate that reaches it has a slice that reaches its m-th part, so only
-those entries are collected. Phase three scores them exactly and keeps what reaches the cutoff.
+Equal vectors are one class. The components are split into ``SLICES`` slices, and a task holds one slice of a block of
+classes and of a block of queries: for each query a list of partial scores. Phase one gathers the ``k`` best of each
+list and scores these few in full; the k-th best of them is a safe cutoff, below which no answer lies. Phase two sends
+the cutoff out: a class that reaches it reaches its m-th part in one of m slices at least, so only such entries are
+collected. Phase three resolves the scores of the entries, and ranks what reaches the cutoff.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4
-#: Rows of a block of candidates and of a block of queries: the bound on what one task holds.
-CANDIDATE_ROWS = 8192
-QUERY_ROWS = 1024
-#: Scores that one task computes at a time.
+from .common import stored
+
+SLICES = 2
+#: Rows of a block of classes and of a block of queries: the bound on what one task holds.
+CLASS_ROWS = 32768
+QUERY_ROWS = 8192
+#: Blocks have so many classes at least, where there are cores for more.
+LEAST_ROWS = 512
+#: Partial scores that one task computes at a time.
 _CELLS = 1 << 22
 
 
@@ -26,113 +30,121 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """(vec_id, v) with each component x as floor(scale * x). Null vectors, ones with a null or non-finite component, and null ids are left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 0))
+def _classes(vectors: DataFrame, k: int) -> DataFrame:
+    """(c, v, dims, ids, only): each different vector with its k + 1 smallest ids, and its id if it has one only.
 
+    ``ids`` are pairs of an id and its number of rows. More can't be among a query's k answers: one of the ids may be
+    the query's own. Rows are summed and ranked where they are read, so a very common vector takes no task more.
+    """
+    per = vectors.groupBy("v", "vec_id").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("v").orderBy("vec_id")
+    least = per.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
+    c = least.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    return stored(c.select(F.monotonically_increasing_id().alias("c"), "v", F.size("v").alias("dims"), "ids", F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"]).alias("only")))
 
-def _narrow(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The narrowest type in which all sums of products are exact."""
-    top = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if top < 2**24:
-        return q.astype(np.float32), c.astype(np.float32)
-    if top < 2**53:
-        return q, c
-    return q.astype(np.int64).astype(object), c.astype(np.int64).astype(object)
+
+def _sliced(frame: DataFrame, slices: int, *cols: str) -> DataFrame:
+    """A row for each slice: its number, how many there are, its components, and the columns ``cols``."""
+    m = F.least(F.lit(slices), F.greatest(F.lit(1), F.col("dims")))
+    x = frame.select(*cols, "dims", "v", m.alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    lo, hi = ((F.floor(F.col("dims") * i / F.col("m"))).cast("int") for i in (F.col("s"), F.col("s") + 1))
+    return x.select(*cols, "dims", "m", "s", F.slice("v", lo + 1, hi - lo).alias("part"))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(x, np.int64) for x in column])
 
 
-def _slices(dims: int, m: int) -> list[slice]:
-    edges = np.linspace(0, dims, m + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+def _narrow(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The narrowest type in which all sums of products are exact."""
+    top = float(np.abs(q).max(initial=1)) * float(np.abs(c).max(initial=1)) * max(1, q.shape[1])
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else object
+    return q.astype(kind), c.astype(kind)
 
 
-def _parts(q: np.ndarray, c: np.ndarray, m: int):
-    """Partial scores of every slice, over runs of queries that fit in memory."""
-    step = max(1, _CELLS // max(1, len(c)))
+def _tiles(cs: pd.DataFrame, qs: pd.DataFrame):
+    """Runs of queries, and their partial scores with all classes of the block; a query's own class is out."""
+    q, c = _narrow(_matrix(qs.qpart), _matrix(cs.part))
+    only, own = cs.only.to_numpy(float, na_value=np.nan), qs.query_id.to_numpy()
+    step = max(1, _CELLS // len(c))
     for at in range(0, len(q), step):
-        yield at, [q[at : at + step, s] @ c[:, s].T for s in _slices(q.shape[1], m)]
+        score = (q[at : at + step] @ c.T).astype(np.float64)
+        score[only[None, :] == own[at : at + step, None]] = -np.inf
+        yield at, score
 
 
-def _local_lists(k: int, m: int):
+def _best_of_lists(k: int):
     def run(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(cs) or not len(qs):
-            return pd.DataFrame({"query_id": [], "score": []}).astype("int64")
-        q, c = _narrow(_matrix(qs.qv), _matrix(cs.v))
-        ids, qids = cs.vec_id.to_numpy(), qs.query_id.to_numpy()
-        out_q, out_s = [], []
-        for at, parts in _parts(q, c, m):
-            total = sum(parts)
-            total = np.where(ids[None, :] == qids[at : at + len(total), None], -np.inf, total.astype(np.float64))
-            top = min(k, len(c))
-            near = np.concatenate([np.argpartition(-p.astype(np.float64), top - 1, axis=1)[:, :top] for p in parts], axis=1) if len(c) > top else np.tile(np.arange(len(c)), (len(total), 1))
-            near.sort(axis=1)
-            scores = np.take_along_axis(total, near, 1)
-            scores[:, 1:][near[:, 1:] == near[:, :-1]] = -np.inf  # an entry of several lists counts once
-            scores = -np.sort(-scores, axis=1)[:, :k]
-            rows, cols = np.nonzero(np.isfinite(scores))
-            out_q.append(qids[at + rows])
-            out_s.append(scores[rows, cols].astype(np.int64))
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "score": np.concatenate(out_s)})
+        found = [pd.DataFrame({"q": [], "s": [], "c": [], "partial": []}).astype({"q": "int64", "s": "int32", "c": "int64", "partial": "float64"})]
+        if len(cs) and len(qs):
+            c, q, top = cs.c.to_numpy(), qs.q.to_numpy(), min(k, len(cs))
+            for at, score in _tiles(cs, qs):
+                near = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                partial = np.take_along_axis(score, near, 1)
+                rows, cols = np.nonzero(np.isfinite(partial))
+                found.append(pd.DataFrame({"q": q[at + rows], "s": np.int32(cs.s.iloc[0]), "c": c[near[rows, cols]], "partial": partial[rows, cols]}))
+        return pd.concat(found)
 
     return run
 
 
-def _collect(k: int, m: int):
-    def run(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(cs) or not len(qs):
-            return empty
-        cs = cs.sort_values("vec_id", kind="stable")
-        q, c = _narrow(_matrix(qs.qv), _matrix(cs.v))
-        ids, qids = cs.vec_id.to_numpy(), qs.query_id.to_numpy()
-        cutoff = qs.cutoff.to_numpy(dtype=np.float64, na_value=-np.inf)
-        found = []
-        for at, parts in _parts(q, c, m):
-            cut = cutoff[at : at + len(parts[0])]
-            enough = np.zeros(parts[0].shape, bool)
-            for p in parts:  # a sum of m parts that reaches the cutoff has a part that reaches its m-th
-                enough |= p.astype(np.float64) >= cut[:, None] / len(parts)
-            total = np.where(enough, sum(parts).astype(np.float64), -np.inf)
-            total[ids[None, :] == qids[at : at + len(total), None]] = -np.inf
-            total[total < cut[:, None]] = -np.inf
-            rows, cols = np.nonzero(np.isfinite(total))
-            if not len(rows):
-                continue
-            score = total[rows, cols].astype(np.int64)
-            order = np.lexsort((ids[cols], -score, rows))
-            rows, cols, score = rows[order], cols[order], score[order]
-            first = np.searchsorted(rows, rows)
-            best = np.arange(len(rows)) - first < k  # further ones can't be among the k best of all either
-            found.append(pd.DataFrame({"query_id": qids[at + rows[best]], "vec_id": ids[cols[best]], "score": score[best]}))
-        return pd.concat(found) if found else empty
+def _enough(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+    """Entries of a list that reach the cutoff's share of a slice."""
+    found = [pd.DataFrame({"q": [], "c": []}).astype("int64")]
+    if len(cs) and len(qs):
+        c, q, share = cs.c.to_numpy(), qs.q.to_numpy(), qs.cutoff.to_numpy(float, na_value=-np.inf) / cs.m.iloc[0]
+        for at, score in _tiles(cs, qs):
+            rows, cols = np.nonzero((score >= share[at : at + len(score), None]) & np.isfinite(score))
+            found.append(pd.DataFrame({"q": q[at + rows], "c": c[cols]}))
+    return pd.concat(found)
 
-    return run
 
+def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(q, c, score) of pairs (q, c)."""
+    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    return pairs.join(queries.select("q", F.col("v").alias("qv")), "q").join(classes.select("c", "v"), "c").select("q", "c", product.alias("score"))
 
-def top_k(table: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, slices: int = SLICES) -> DataFrame:
+
+def phases(table: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, slices: int = SLICES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the search gathers, collects and answers: cutoffs (q, cutoff), entries (q, c), answers as of ``top_k``."""
+    spark = table.sparkSession
+    v = integer_vectors(table, id_col, vector_col, scale)
+    classes = _classes(v, k)
+    asked: Column = query_ids(F.col("vec_id"))
+    queries = v.where(asked).groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.count("*").alias("times"))
+    queries = stored(queries.select(F.monotonically_increasing_id().alias("q"), "query_id", "v", F.size("v").alias("dims"), "times"))
+    n, nq, parts = classes.count(), queries.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nc, nb = max(1, -(-n // CLASS_ROWS), min(parts, n // LEAST_ROWS)), max(1, -(-nq // QUERY_ROWS))
+    cs = _sliced(classes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")), slices, "c", "only", "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    qs = _sliced(queries.withColumn("of_qb", F.pmod(F.xxhash64("q"), F.lit(nb)).cast("int")), slices, "q", "query_id", "of_qb").withColumnsRenamed({"part": "qpart", "s": "of_s", "dims": "qdims"}).drop("m").withColumn("of_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    keys, of_keys = ["dims", "s", "cb", "qb"], ["qdims", "of_s", "of_cb", "of_qb"]
+
+    lists = cs.groupBy(*keys).cogroup(qs.groupBy(*of_keys)).applyInPandas(_best_of_lists(k), "q long, s int, c long, partial double")
+    best = Window.partitionBy("q", "s").orderBy(F.col("partial").desc(), "c")
+    gathered = lists.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "c").distinct()
+    place = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
+    cutoff = stored(_resolved(gathered, queries, classes).withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("q", F.col("score").alias("cutoff")))
+
+    told = qs.join(cutoff.select(F.col("q").alias("of"), F.col("cutoff").cast("double").alias("cutoff")), F.col("q") == F.col("of"), "left").drop("of")
+    entries = stored(cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_enough, "q long, c long").distinct())
+
+    scored = _resolved(entries, queries, classes).join(cutoff, "q", "left").where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff")))
+    rows = scored.join(classes.select("c", "ids"), "c").join(queries.select("q", "query_id", "times"), "q").select("q", "query_id", "times", "score", F.explode("ids").alias("x"))
+    rows = rows.where(F.col("x.vec_id") != F.col("query_id")).select("q", "query_id", "times", "score", F.col("x.vec_id").alias("vec_id"), F.explode(F.array_repeat(F.lit(1), F.least(F.col("x.n"), F.lit(k)).cast("int"))).alias("one"))
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    answers = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return cutoff, entries, answers.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")).drop("one")
+
+
+def top_k(table: DataFrame, query_ids, k: int = 5, **kwargs) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k highest inner products with the other rows.
 
     ``query_ids`` is a predicate on the id column. Ties go to the smaller id; fewer than k rows are all returned.
     Rows with the query's own id are never candidates; rows that share an id are candidates each, and answer as one
-    query for each row. Vectors of different lengths aren't compared. An empty table has no answers.
+    query for each row. Vectors of different lengths aren't compared; empty ones score 0 with each other. A score
+    beyond 64 bits raises an error. An empty table has no answers.
     """
-    spark = table.sparkSession
-    v = integer_vectors(table, id_col, vector_col, scale).withColumn("dims", F.size("v"))
-    queries = v.where(query_ids(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("dims").alias("qdims"))
-    n, nq = v.count(), queries.count()
-    nc, nb = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-nq // QUERY_ROWS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nc = max(nc, min(parts, -(-n // 512)))  # enough blocks for every core
-    spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(nc)).cast("int")
-    cs = v.withColumn("cb", spread).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    qs = queries.withColumn("of_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)).cast("int")).withColumn("of_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    keys, of_keys = ["dims", "cb", "qb"], ["qdims", "of_cb", "of_qb"]
-    lists = cs.groupBy(*keys).cogroup(qs.groupBy(*of_keys)).applyInPandas(_local_lists(k, slices), "query_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.col("score").desc())
-    cutoff = lists.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
-    told = qs.join(cutoff.withColumnRenamed("query_id", "of"), F.col("query_id") == F.col("of"), "left")
-    entries = cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_collect(k, slices), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return phases(table, query_ids, k, **kwargs)[2]

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,33 @@ def test_top_k(spark):
     assert topk.top_k(table.where("vec_id IN (50, 51, 52)"), lambda i: i % 50 == 0).count() == 2
 
 
+def test_top_k_of_empty_vectors_and_hot_ones(spark):
+    rows = [(i, []) for i in (50, 51, 52)] + [(i, [2.0, 1.0]) for i in range(100, 400)] + [(100, [2.0, 1.0]), (100, [2.0, 1.0]), (7, [3.0]), (50, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = sorted(map(tuple, topk.top_k(table, lambda i: i % 50 == 0).collect()))
+    assert [x for x in got if x[0] == 50] == [(50, 1, 7, 5 * 3 * 65536), (50, 1, 51, 0), (50, 2, 52, 0)]
+    assert [x[:3] for x in got if x[0] == 100] == sorted([(100, r, 100 + r) for r in range(1, 6)] * 3)
+    assert [x[2] for x in got if x[0] == 150] == [100, 100, 100, 101, 102]
+    assert topk.top_k(table.where("vec_id = 50 AND size(embedding) = 0"), lambda i: i % 50 == 0).count() == 0
+
+
+def test_top_k_resolves_few_scores(spark):
+    """Against all scores, and by the counters: most pairs are never resolved, in any number of slices."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(900, 24)).round(3)
+    v[:40] -= 9  # scores with these are below zero
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    f = np.floor(256 * v).astype(int)
+    want = []
+    for q in range(0, 900, 50):
+        order = sorted((-int(f[q] @ f[c]), c) for c in range(900) if c != q)[:5]
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(order)]
+    for slices in (1, 2, 3):
+        cutoff, entries, answers = topk.phases(table, lambda i: i % 50 == 0, slices=slices)
+        assert sorted(map(tuple, answers.collect())) == want
+        assert cutoff.count() == 18 and entries.count() < 18 * 899 / 2
+
+
 def test_token_output(spark, odd, nothing):
     got = token_output.read(spark, token_output.write(odd, queries.tokenizer_path()))
     assert got.count() == N
