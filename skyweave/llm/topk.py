@@ -18,8 +18,8 @@ from .common import stored
 
 SLICES = 2
 #: Rows of a block of classes and of a block of queries: the bound on what one task holds.
-CLASS_ROWS = 32768
-QUERY_ROWS = 8192
+CLASS_ROWS = 16384
+QUERY_ROWS = 2048
 #: Blocks have so many classes at least, where there are cores for more.
 LEAST_ROWS = 512
 #: Partial scores that one task computes at a time.
@@ -93,15 +93,33 @@ def _best_of_lists(k: int):
 
 def _enough(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
     """Entries of a list that reach the cutoff's share of a slice."""
-    found = [pd.DataFrame({"q": [], "c": []}).astype("int64")]
+    found = [pd.DataFrame({"dims": [], "cb": [], "qb": [], "q": [], "c": []}).astype({"dims": "int32", "cb": "int32", "qb": "int32", "q": "int64", "c": "int64"})]
     if len(cs) and len(qs):
+        block = {x: np.int32(cs[x].iloc[0]) for x in ("dims", "cb", "qb")}
         c, q, share = cs.c.to_numpy(), qs.q.to_numpy(), qs.cutoff.to_numpy(float, na_value=-np.inf) / cs.m.iloc[0]
         for at, score in _tiles(cs, qs):
             rows, cols = np.nonzero((score >= share[at : at + len(score), None]) & np.isfinite(score))
-            found.append(pd.DataFrame({"q": q[at + rows], "c": c[cols]}))
+            found.append(pd.DataFrame({**block, "q": q[at + rows], "c": c[cols]}))
     return pd.concat(found)
 
 
+def _resolve(block: pd.DataFrame) -> pd.DataFrame:
+    """Scores of a block's entries that reach their cutoffs. Of classes and queries the vector is given, of entries none."""
+    cs, qs, pairs = (block[block.kind == i] for i in range(3))
+    if not len(pairs):
+        return pd.DataFrame({"q": [], "c": [], "score": []}).astype("int64")
+    cs, qs = cs.sort_values("c"), qs.sort_values("q")
+    pairs = pairs[["q", "c"]].drop_duplicates()
+    at_q, at_c = np.searchsorted(qs.q.to_numpy(), pairs.q.to_numpy()), np.searchsorted(cs.c.to_numpy(), pairs.c.to_numpy())
+    q, c = _narrow(_matrix(qs.v), _matrix(cs.v))
+    step = max(1, _CELLS // max(1, q.shape[1]))
+    score = np.concatenate([(q[at_q[i : i + step]] * c[at_c[i : i + step]]).sum(axis=1) for i in range(0, len(pairs), step)])
+    if not np.all(np.abs(score.astype(float)) < 2.0**63):
+        raise OverflowError("a score is beyond 64 bits")
+    keep = score >= qs.cutoff.to_numpy(float, na_value=-np.inf)[at_q]
+    return pd.DataFrame({"q": pairs.q.to_numpy()[keep], "c": pairs.c.to_numpy()[keep], "score": score[keep].astype(np.int64)})
+
+
 def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
     """(q, c, score) of pairs (q, c)."""
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
@@ -118,8 +136,10 @@ def phases(table: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vect
     queries = stored(queries.select(F.monotonically_increasing_id().alias("q"), "query_id", "v", F.size("v").alias("dims"), "times"))
     n, nq, parts = classes.count(), queries.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     nc, nb = max(1, -(-n // CLASS_ROWS), min(parts, n // LEAST_ROWS)), max(1, -(-nq // QUERY_ROWS))
-    cs = _sliced(classes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")), slices, "c", "only", "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    qs = _sliced(queries.withColumn("of_qb", F.pmod(F.xxhash64("q"), F.lit(nb)).cast("int")), slices, "q", "query_id", "of_qb").withColumnsRenamed({"part": "qpart", "s": "of_s", "dims": "qdims"}).drop("m").withColumn("of_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    blocked = classes.withColumn("cb", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    asking = queries.withColumn("of_qb", F.pmod(F.xxhash64("q"), F.lit(nb)).cast("int")).withColumn("of_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    cs = _sliced(blocked, slices, "c", "only", "cb", "qb")
+    qs = _sliced(asking, slices, "q", "query_id", "of_qb", "of_cb").withColumnsRenamed({"part": "qpart", "s": "of_s", "dims": "qdims"}).drop("m")
     keys, of_keys = ["dims", "s", "cb", "qb"], ["qdims", "of_s", "of_cb", "of_qb"]
 
     lists = cs.groupBy(*keys).cogroup(qs.groupBy(*of_keys)).applyInPandas(_best_of_lists(k), "q long, s int, c long, partial double")
@@ -128,10 +148,14 @@ def phases(table: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vect
     place = Window.partitionBy("q").orderBy(F.col("score").desc(), "c")
     cutoff = stored(_resolved(gathered, queries, classes).withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("q", F.col("score").alias("cutoff")))
 
-    told = qs.join(cutoff.select(F.col("q").alias("of"), F.col("cutoff").cast("double").alias("cutoff")), F.col("q") == F.col("of"), "left").drop("of")
-    entries = stored(cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_enough, "q long, c long").distinct())
+    cut = cutoff.select(F.col("q").alias("of"), F.col("cutoff").cast("double").alias("cutoff"))
+    told = qs.join(cut, F.col("q") == F.col("of"), "left").drop("of")
+    entries = stored(cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_enough, "dims int, cb int, qb int, q long, c long"))
 
-    scored = _resolved(entries, queries, classes).join(cutoff, "q", "left").where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff")))
+    of_c = blocked.select(F.lit(0).alias("kind"), "dims", "cb", "qb", F.lit(-1).cast("long").alias("q"), "c", "v", F.lit(None).cast("double").alias("cutoff"))
+    of_q = asking.join(cut, F.col("q") == F.col("of"), "left").select(F.lit(1).alias("kind"), "dims", F.col("of_cb").alias("cb"), F.col("of_qb").alias("qb"), "q", F.lit(-1).cast("long").alias("c"), "v", "cutoff")
+    of_pairs = entries.select(F.lit(2).alias("kind"), "dims", "cb", "qb", "q", "c", F.lit(None).cast("array<long>").alias("v"), F.lit(None).cast("double").alias("cutoff"))
+    scored = of_c.unionByName(of_q).unionByName(of_pairs).groupBy("dims", "cb", "qb").applyInPandas(_resolve, "q long, c long, score long")
     rows = scored.join(classes.select("c", "ids"), "c").join(queries.select("q", "query_id", "times"), "q").select("q", "query_id", "times", "score", F.explode("ids").alias("x"))
     rows = rows.where(F.col("x.vec_id") != F.col("query_id")).select("q", "query_id", "times", "score", F.col("x.vec_id").alias("vec_id"), F.explode(F.array_repeat(F.lit(1), F.least(F.col("x.n"), F.lit(k)).cast("int"))).alias("one"))
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
