@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, stored
 
 #: A line key has at least so many code points to count as repeatable.
 MIN_POINTS = 20
@@ -22,7 +22,7 @@ MIN_POINTS = 20
 MIN_DOCS = 3
 
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.list_(pa.int32()))])
-_SEEN = "h1 long, h2 long, doc_id long, text_key long, pos array<int>, decided boolean"
+_SEEN = "h1 long, h2 long, doc_id long, text_key long, pos array<int>, told int"
 
 
 def line_key(line: bytes) -> bytes:
@@ -54,27 +54,79 @@ def _hash_lines(points: int):
     return run
 
 
+class _Run:
+    """The lines of one hash in a partition, in falling document order: which are dropped, and which edges decide."""
+
+    def __init__(self, key: tuple[int, int], first: bool, need: int) -> None:
+        self.key, self.first, self.need = key, first, need
+        self.docs: list[int] = []  # the first ``need`` documents
+        self.waiting: list[pa.Table] = []  # lines of all but the first of fewer documents
+
+    def feed(self, x: pa.Table) -> Iterator[pa.Table]:
+        doc = x["doc_id"].to_numpy()
+        new = np.concatenate(([not self.docs or doc[0] != self.docs[-1]], doc[1:] != doc[:-1]))
+        place = len(self.docs) - 1 + np.cumsum(new)  # of full runs any number beyond the first
+        self.docs += doc[new][: self.need - len(self.docs)].tolist()
+        if self.first:
+            yield _told(x.filter(pa.array(place == 0)), _UNDECIDED)
+        self.waiting.append(x.filter(pa.array(place > 0)))
+        if len(self.docs) == self.need:
+            yield from (_told(w, _DROPPED) for w in self.waiting)
+            self.waiting = []
+
+    def end(self, last: bool) -> Iterator[pa.Table]:
+        if self.first or last:
+            yield from (_told(w, _UNDECIDED) for w in self.waiting)
+            n = len(self.docs)
+            yield pa.table([pa.array([self.key[0]] * n), pa.array([self.key[1]] * n), pa.array(self.docs, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array([_SUMMARY] * n, pa.int32())], names=[*_LINES.names, "told"])
+
+
+_DROPPED, _UNDECIDED, _SUMMARY = range(3)
+
+
+def _told(x: pa.Table, what: int) -> pa.Table:
+    return x.append_column("told", pa.array(np.full(len(x), what, np.int32)))
+
+
 def _stream(min_docs: int):
-    """Over lines sorted by hash and falling document: keep the first document's lines, drop the others' lines.
+    """Over lines sorted by hash and falling document: drop the lines of all but the first document of a long run.
 
-    Runs that touch a batch's edge may go on elsewhere; their lines pass undecided.
+    Runs go on from batch to batch. The first and the last run of a partition may go on in another one; what depends
+    on that passes undecided, a few documents' lines, with a summary of the run: its first ``min_docs`` documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Run | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            h1, h2, doc = (b.column(i).to_numpy() for i in range(3))
-            new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-            run_of = np.cumsum(new) - 1
-            first = doc[np.flatnonzero(new)]
-            other = new | np.concatenate(([True], doc[1:] != doc[:-1]))
-            n_docs = np.bincount(run_of[other])
-            edge = (run_of == 0) | (run_of == run_of[-1])
-            drop = ~edge & (n_docs[run_of] >= min_docs) & (doc != first[run_of])
-            keep = pa.array(drop | edge)
-            out = pa.Table.from_batches([b]).append_column("decided", pa.array(drop)).filter(keep)
-            yield from out.to_batches()
+            x = pa.Table.from_batches([b])
+            h1, h2, doc = (x.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]), [True])))
+            # whole runs, all at once
+            lo, hi = int(edges[1]), int(edges[-2])
+            out: list[pa.Table] = []
+            key = int(h1[0]), int(h2[0])
+            if held is None or held.key != key:
+                out += held.end(False) if held is not None else ()
+                held = _Run(key, held is None, min_docs)
+            out += held.feed(x.slice(0, lo))
+            if hi > lo:
+                new = np.zeros(hi - lo, bool)
+                new[edges[1:-2] - lo] = True
+                run_of = np.cumsum(new) - 1
+                other = new | np.concatenate(([True], doc[lo + 1 : hi] != doc[lo : hi - 1]))
+                drop = (np.bincount(run_of[other])[run_of] >= min_docs) & (doc[lo:hi] != doc[edges[1:-2]][run_of])
+                out.append(_told(x.slice(lo, hi - lo).filter(pa.array(drop)), _DROPPED))
+            if len(edges) > 2:
+                out += held.end(False)
+                held = _Run((int(h1[-1]), int(h2[-1])), False, min_docs)
+                out += held.feed(x.slice(hi))
+            for t in out:
+                yield from t.to_batches()
+        if held is not None:
+            for t in held.end(True):
+                yield from t.to_batches()
 
     return run
 
@@ -101,12 +153,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= min_points)).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("t"))
     lines = rows.mapInArrow(_hash_lines(min_points), "h1 long, h2 long, doc_id long, text_key long, pos array<int>")
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("text_key")]
-    seen = cut(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _SEEN))
-    undecided = seen.where(~F.col("decided"))
-    # one row for each hash and document first, so that a very common line is summed where it is read
-    common = undecided.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    late = undecided.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("last"))
-    drops = seen.where("decided").select("doc_id", "text_key", "pos").unionByName(late.select("doc_id", "text_key", "pos"))
+    seen = cut(stored(lines).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _SEEN))
+    # two runs of each partition at most, with min_docs documents each
+    edges = seen.where(F.col("told") == _SUMMARY).groupBy("h1", "h2").agg(F.size(F.collect_set("doc_id")).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    late = seen.where(F.col("told") == _UNDECIDED).join(F.broadcast(edges), ["h1", "h2"]).where(F.col("doc_id") != F.col("last"))
+    drops = seen.where(F.col("told") == _DROPPED).select("doc_id", "text_key", "pos").unionByName(late.select("doc_id", "text_key", "pos"))
     per_doc = drops.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     return per_doc.mapInArrow(_pack, "doc_id long, text_key long, keep binary, n_dropped long")
 

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -61,6 +62,30 @@ def test_line_dedup(odd, nothing):
     assert line_dedup.apply_bitmaps(nothing, line_dedup.keep_bitmaps(nothing)).count() == 0
 
 
+def test_line_dedup_of_runs_over_batches_and_partitions(spark):
+    """Lines of one, two, three and very many documents, by a plain count, for small batches and many partitions."""
+    r = random.Random(12)
+    lines = {f"line number {i} of twenty letters": r.choice((1, 2, 3, 4, 700)) for i in range(60)}
+    docs = {d: [] for d in range(900)}
+    for line, n in lines.items():
+        for d in r.sample(range(900), n):
+            docs[d] += [line] * r.choice((1, 1, 2))
+    last = {x: max(d for d, own in docs.items() if x in own) for x in lines}
+    want = {(d, sum(lines[x] >= 3 and last[x] != d for x in own)) for d, own in docs.items()}
+    table = spark.createDataFrame([(d, "\n".join(own)) for d, own in docs.items()], "doc_id long, text string").repartition(6)
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for batch, parts in (("7", "40"), ("512", "3"), ("100000", "1")):
+        held = {k: spark.conf.get(k) for k in keys}
+        for k, v in zip(keys, (batch, parts, "false"), strict=True):
+            spark.conf.set(k, v)
+        try:
+            got = {(x["doc_id"], x["n_dropped"]) for x in line_dedup.apply_bitmaps(table, line_dedup.keep_bitmaps(table)).collect()}
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+        assert got == want
+
+
 def test_decontamination(spark, odd, nothing):
     items = spark.createDataFrame([(1, COPY), (1, COPY), (2, None), (None, COPY), (3, ""), (4, " one ")], "item_id long, text string")
     got = decontam.overlaps(odd, items)
