@@ -166,10 +166,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item; rows with a null id are kept.
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item.
 
-    Each row is judged by its own text: one that shares its id with a contaminated row stays.
+    Each row is judged by its own text, whatever its id: one that shares its id with a contaminated row stays, and a
+    contaminated row with a null id goes.
     """
     text, bad = free_name(docs, "__folded"), free_name(docs, "__bad")
 
@@ -184,5 +185,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     left = docs.withColumn(text, folded(text_col).cast("binary"))
     for told in _blocks(benchmark, item_col, item_text, window, min_match):
         marked = map_text(left, text, marks(told), [T.StructField(bad, T.BooleanType())], [*docs.columns, text])
-        left = marked.where(~F.col(bad) | F.col(f"`{id_col}`").isNull()).drop(bad)
+        left = marked.where(~F.col(bad)).drop(bad)
     return left.drop(text)

@@ -7,7 +7,6 @@ blocks that are coded and checksummed on their own (see ``range_coder``).
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, slices
+from .common import scratch, slices
 from .pieces import Pieces
 from .range_coder import BLOCK, pack, unpack
 
@@ -91,8 +90,8 @@ def segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **kwargs) -> str:
-    """Write the files and return their folder: the one given, or one of its own in the shared folder."""
-    folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    """Write the files and return their folder: the one given, or one in the shared folder until the application ends."""
+    folder = folder or scratch(docs.sparkSession, "tokens")
     segments(docs, tokenizer_path, **kwargs).write.parquet(folder)
     return folder
 
