@@ -17,6 +17,16 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 
 
+def lean_batches(spark: SparkSession, size: int = 2 * SLICE_BYTES) -> None:
+    """For an application's start: Arrow batches of ``size`` bytes at most, unless the session has smaller ones.
+
+    The operators work with batches of any size and don't change the session; a small one saves executors' memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > size:
+        spark.conf.set(key, f"{size}b")
+
+
 def slices(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows with about SLICE_BYTES in the columns ``texts`` each, without a copy."""
     for b in batches:

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, langid, line_dedup, mixing, quality, suffix_dedup, token_output, topk, toxicity
+from .common import lean_batches
 
 #: A file of the installed public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
