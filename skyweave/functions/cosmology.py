@@ -52,3 +52,12 @@ def map_pixels(box_kpc_h: float, z: float, pixel_arcmin: float, cosmo: Flat) ->
     theta = comoving_to_arcmin(box_kpc_h, z, cosmo)
     n = int(np.ceil(theta / pixel_arcmin))
     return n, theta / n
+
+
+def pixel_length(unit: str, box_kpc_h: float, n: int, z: float, cosmo: Flat = PLANCK18) -> float:
+    """A pixel of n along the box, in kpc/h or as seen in arcmin; ValueError for another unit."""
+    if unit == "kpc/h":
+        return box_kpc_h / n
+    if unit == "arcmin":
+        return comoving_to_arcmin(box_kpc_h, z, cosmo) / n
+    raise ValueError(f"the unit is kpc/h or arcmin, not {unit}")

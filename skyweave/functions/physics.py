@@ -128,6 +128,11 @@ def comparative_factor(one: str, two: str, omega_b: float, omega_m: float) -> fl
     return 1.0
 
 
+def label(name: Column, tex: bool = True) -> Column:
+    """A name for a figure: underscores escaped, or as dashes."""
+    return F.replace(name, F.lit("_"), F.lit("\\_" if tex else "-"))
+
+
 def sci(num: Column) -> Column:
     """5.2e13: two decimals at most, no trailing zeros."""
     text = F.format_string("%.2e", num.cast("double"))

@@ -1,11 +1,15 @@
-"""Beam smoothing of periodic maps as two joins with a one-dimensional circulant kernel."""
+"""Beam smoothing of periodic maps: a one-dimensional kernel along each axis, by transforms of whole lines."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of the lines that one task transforms at a time.
+LINE_CELLS = 1 << 18
+
 
 def gauss_beam(ell2, fwhm_rad: float):
     return np.exp(-0.5 * fwhm_rad**2 * np.asarray(ell2) / (8 * np.log(2)))
@@ -28,16 +32,26 @@ def gaussian_kernel(n: int, fwhm: float, pixel: float, truncate: float = 4.0) ->
     return out
 
 
-def kernel_table(spark: SparkSession, kernel: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(i), float(w)) for i, w in enumerate(kernel) if w], "d int, w double")
+def _lines(axis: str, other: str, kernel: np.ndarray):
+    n, window = len(kernel), np.fft.rfft(kernel)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        at, lines = np.unique(p[other].to_numpy(), return_inverse=True)
+        a = np.zeros((len(at), n))
+        np.add.at(a, (lines, p[axis].to_numpy()), p["value"].to_numpy())
+        a = np.fft.irfft(np.fft.rfft(a, axis=1) * window, n, axis=1)
+        return pd.DataFrame({axis: np.tile(np.arange(n, dtype=np.int32), len(at)), other: np.repeat(at, n).astype(np.int32), "value": a.ravel()})
+
+    return run
 
 
 def convolve(field: DataFrame, kernel: np.ndarray) -> DataFrame:
-    """C D C^T: every filled cell is spread along i, summed, then along j. n * n * (kernel taps) rows at most each."""
+    """C D C^T for the circulant C of a kernel: lines along i, many at a time, then along j, by their transforms."""
     n = len(kernel)
-    k = F.broadcast(kernel_table(field.sparkSession, kernel))
+    many = max(1, LINE_CELLS // n)
     for axis, other in (("i", "j"), ("j", "i")):
-        field = field.crossJoin(k).groupBy(F.pmod(F.col(axis) + F.col("d"), F.lit(n)).alias(axis), other).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+        rows = field.select("i", "j", F.col("value").cast("double").alias("value"), F.floor(F.col(other) / many).alias("block"))
+        field = rows.groupBy("block").applyInPandas(_lines(axis, other, kernel), f"{axis} int, {other} int, value double")
     return field.select("i", "j", "value")
 
 

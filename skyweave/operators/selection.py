@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ABUNDANCE, MASS_BINS, TARGET_MASS, UPPER_MASS
+from ..sources.scratch import stored
 
 
 def mass_bin(index: int) -> tuple[float, float]:
@@ -37,18 +40,30 @@ def massive(halos: DataFrame, target: float = TARGET_MASS, upper: float | None =
     """
     rows = halos if upper is None else halos.where(F.col(mass) <= upper)
     rows = rows.where(F.col(mass).isNotNull())
-    order = [F.col(mass).desc(), F.col(key)]
-    local = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = local.persist()  # partition numbers and rows of one evaluation
-    sums = local.groupBy("__part").agg(F.sum(mass).alias("s"), F.count("*").alias("c"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__part", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"))
-    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    mean = (F.sum(mass).over(own) + F.col("__s")) / (F.row_number().over(own) + F.col("__c"))
-    kept = local.join(base, "__part").withColumn("__mean", mean).where(F.col("__mean") > F.lit(float(target))).select(*[F.col(f"`{c}`") for c in halos.columns])
-    if check and rows.agg(F.avg(mass)).head()[0] is not None and rows.agg(F.avg(mass)).head()[0] > target:
+    slim = _ranged(rows, mass, key)
+    sums = slim.groupBy("part").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+    if check and slim.agg(F.avg("value")).head()[0] is not None and slim.agg(F.avg("value")).head()[0] > target:
         raise ValueError(f"every prefix has a mean mass above {target}")
-    return kept
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))
+    own = Window.partitionBy("part").orderBy(F.col("value").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
+    mean = (F.sum("value").over(own) + F.col("s")) / (F.row_number().over(own) + F.col("c"))
+    kept = slim.join(F.broadcast(base), "part").withColumn("mean", mean).where(F.col("mean") > F.lit(float(target)))
+    return _down_to(rows, kept, mass, key)
+
+
+def _ranged(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """(value, key, part): the objects in ranges of falling value, then key, kept with their ranges' numbers."""
+    order = [F.col("value").desc(), F.col("key")]
+    return stored(rows.select(F.col(value).alias("value"), F.col(key).alias("key")).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _down_to(rows: DataFrame, kept: DataFrame, value: str, key: str) -> DataFrame:
+    """The rows down to the last of ``kept``, by value and then key: a filter that reaches the files."""
+    last = kept.orderBy("value", F.col("key").desc()).limit(1).head()
+    if last is None:
+        return rows.where(F.lit(False))
+    return rows.where((F.col(value) > F.lit(last["value"])) | ((F.col(value) == F.lit(last["value"])) & (F.col(key) <= F.lit(last["key"]))))
 
 
 def abundance_count(density: float, box: float) -> int:
@@ -56,8 +71,23 @@ def abundance_count(density: float, box: float) -> int:
 
 
 def abundance(objects: DataFrame, box: float, density: float = ABUNDANCE, proxy: str = "subhalo_mstar", key: str = "subhalo_id") -> DataFrame:
-    """As many objects as the number density asks for, largest proxy first, ties by id."""
-    return objects.orderBy(F.col(proxy).desc(), key).limit(abundance_count(density, box))
+    """As many objects as the number density asks for, largest proxy first, ties by id; a null proxy is none.
+
+    Counts of ranges of the proxy tell the range in which the number is reached; only that one is ordered.
+    """
+    count = abundance_count(density, box)
+    rows = objects.where(F.col(proxy).isNotNull())
+    slim = _ranged(rows, proxy, key)
+    before, found = 0, None
+    for part, n in sorted((r["part"], r["count"]) for r in slim.groupBy("part").count().collect()):
+        if before + n >= count:
+            found = part
+            break
+        before += n
+    if found is None or count <= 0:
+        return rows if count > 0 else rows.where(F.lit(False))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("value").desc(), "key"))
+    return _down_to(rows, slim.where(F.col("part") == found).withColumn("place", place).where(F.col("place") <= count - before), proxy, key)
 
 
 def below_parent_mass(subhalos: DataFrame, halos: DataFrame, upper: float = UPPER_MASS) -> DataFrame:
@@ -74,7 +104,10 @@ def chosen(objects: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return objects.join(ids.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_semi")
 
 
-def select(objects: DataFrame, method: str, **kwargs) -> DataFrame:
+def select(objects: DataFrame, method: str | None, **kwargs) -> DataFrame:
+    if method is None:
+        warnings.warn("no selection method is given: mass bin 2 is taken", DeprecationWarning, stacklevel=2)
+        return binned(objects, 2)
     methods = {"binned": binned, "massive": massive, "abundance": abundance}
     if method not in methods:
         raise ValueError(f"unknown selection method: {method}")
@@ -109,8 +142,7 @@ def selection_stats(selected: DataFrame, subhalos: DataFrame, halos: DataFrame)
 
 def central_rank(catalogue: DataFrame) -> DataFrame:
     """Position among centrals in row order, -1 before the first; the parent is the host's row, or the row itself."""
-    local = catalogue.repartitionByRange("row_id").withColumn("__part", F.spark_partition_id())
-    local = local.persist()  # partition numbers and rows of one evaluation
+    local = stored(catalogue.select("row_id", "is_central", "host_row").repartitionByRange("row_id").withColumn("__part", F.spark_partition_id()))
     centrals = F.sum(F.col("is_central").cast("long"))
     sums = local.groupBy("__part").agg(centrals.alias("s"))
     base = sums.select("__part", F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__s"))

@@ -1,7 +1,4 @@
-"""Power spectra of periodic fields: a Fourier transform in one pass of lines along each axis, then bins of k.
-
-A line of the grid (n values) is the largest group; the transform of an axis shuffles the grid once.
-"""
+"""Power spectra of periodic fields: a Fourier transform by slabs and blocks of lines, then bins of k."""
 
 from __future__ import annotations
 
@@ -10,28 +7,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 _AXES = ("i", "j", "k")
+#: Cells that one task transforms at a time.
+GROUP_CELLS = 1 << 18
+
 
+def _slab(first: str, rest: list[str], n: int, thick: int, inverse: bool):
+    """Transform the planes of a slab along all axes but the first."""
 
-def _lines(axis: str, others: list[str], n: int, inverse: bool):
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        line = np.zeros(n, complex)
-        line[p[axis]] = p["re"] + 1j * p["im"]
-        line = (np.fft.ifft if inverse else np.fft.fft)(line)
-        return pd.DataFrame({**{o: p[o].iloc[0] for o in others}, axis: np.arange(n), "re": line.real, "im": line.imag})
+        low = int(p["slab"].iloc[0]) * thick
+        planes = min(thick, n - low)
+        a = np.zeros((planes, *[n] * len(rest)), complex)
+        a[tuple([p[first].to_numpy() - low, *[p[x].to_numpy() for x in rest]])] = p["re"].to_numpy() + 1j * p["im"].to_numpy()
+        axes = tuple(range(1, a.ndim))
+        a = (np.fft.ifftn if inverse else np.fft.fftn)(a, axes=axes)
+        at = np.indices(a.shape, np.int32).reshape(a.ndim, -1)
+        return pd.DataFrame({first: at[0] + np.int32(low), **dict(zip(rest, at[1:], strict=True)), "re": a.real.ravel(), "im": a.imag.ravel()})
+
+    return run
+
+
+def _columns(first: str, rest: list[str], n: int, many: int, inverse: bool):
+    """Transform a block of lines along the first axis."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        low = int(p["block"].iloc[0]) * many
+        lines = min(many, n ** len(rest) - low)
+        a = np.zeros((n, lines), complex)
+        a[p[first].to_numpy(), p["line"].to_numpy() - low] = p["re"].to_numpy() + 1j * p["im"].to_numpy()
+        a = (np.fft.ifft if inverse else np.fft.fft)(a, axis=0)
+        i, line = np.indices(a.shape).reshape(2, -1)
+        places = np.unravel_index(line + low, [n] * len(rest))
+        return pd.DataFrame({first: i.astype(np.int32), **{x: at.astype(np.int32) for x, at in zip(rest, places, strict=True)}, "re": a.real.ravel(), "im": a.imag.ravel()})
 
     return run
 
 
 def fft(field: DataFrame, n: int, axes: tuple = _AXES, inverse: bool = False) -> DataFrame:
-    """(axes, re, im) of a field (axes, value) or (axes, re, im). Lines without a filled cell stay absent (zero)."""
+    """(axes, re, im) of a field (axes, value) or (axes, re, im); absent cells are 0.
+
+    The grid is shuffled twice: into slabs of the first axis, whose planes are transformed along the other axes, and
+    into blocks of lines along the first. A task holds about GROUP_CELLS cells, or a plane where that is larger.
+    """
     if "value" in field.columns:
         field = field.select(*axes, F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    for axis in axes:
-        others = [a for a in axes if a != axis]
-        schema = ", ".join(f"{a} int" for a in [*others, axis]) + ", re double, im double"
-        field = field.groupBy(*others).applyInPandas(_lines(axis, others, n, inverse), schema)
-    return field.select(*axes, "re", "im")
+    first, rest = axes[0], list(axes[1:])
+    schema = ", ".join(f"{a} int" for a in axes) + ", re double, im double"
+    thick, many = max(1, GROUP_CELLS // n ** len(rest)), max(1, GROUP_CELLS // n)
+    slabs = field.select(*axes, "re", "im", F.floor(F.col(first) / thick).alias("slab")).groupBy("slab").applyInPandas(_slab(first, rest, n, thick, inverse), schema)
+    line = F.lit(0).cast("long")
+    for a in rest:
+        line = line * n + F.col(a)
+    blocks = slabs.select(*axes, "re", "im", line.alias("line")).withColumn("block", F.floor(F.col("line") / many))
+    return blocks.groupBy("block").applyInPandas(_columns(first, rest, n, many, inverse), schema)
 
 
 def wavenumber(axis: str, n: int, box: float) -> Column:
@@ -131,6 +162,7 @@ def tidal_squared(modes: DataFrame, n: int, box: float) -> DataFrame:
 
 def bias_fields(modes: DataFrame, n: int, box: float) -> DataFrame:
     """(i, j, k, delta, delta2, s2, nabla2): the first three less their means."""
+    modes = stored(modes)  # eight inverse transforms read them
     d = _real(modes, n, "delta").withColumn("delta2", F.col("delta") * F.col("delta"))
     rows = d.join(tidal_squared(modes, n, box), list(_AXES)).join(_real(laplacian(modes, n, box), n, "nabla2"), list(_AXES))
     means = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in ("delta", "delta2", "s2")])

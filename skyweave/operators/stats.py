@@ -58,11 +58,26 @@ def covariance(samples: DataFrame, key: str = "sim", index: str = "radius", valu
     return a.join(b, F.col("s") == F.col("t")).groupBy("i", "j").agg(F.covar_samp("a", "b").alias("cov"))
 
 
-def compensate(cov: DataFrame, factor: DataFrame) -> DataFrame:
-    """Covariance of a measurement divided by a beam factor."""
+def compensate(cov: DataFrame, factor: DataFrame, ratio: DataFrame | None = None, factor_cov: DataFrame | None = None) -> DataFrame:
+    """Covariance of a measurement divided by a beam factor.
+
+    With the measurement's values (radius, ratio) and the factor's own covariance (i, j, cov) over simulations, its
+    scatter is added, by the derivative ratio / factor ** 2.
+    """
     f = factor.select("radius", "factor")
     a, b = f.select(F.col("radius").alias("i"), F.col("factor").alias("fi")), f.select(F.col("radius").alias("j"), F.col("factor").alias("fj"))
-    return cov.join(a, "i").join(b, "j").select("i", "j", F.try_divide(F.col("cov"), F.col("fi") * F.col("fj")).alias("cov"))
+    rows = cov.join(a, "i").join(b, "j")
+    total = F.try_divide(F.col("cov"), F.col("fi") * F.col("fj"))
+    if factor_cov is not None:
+        values = ratio.select(F.col("radius").alias("i"), F.col("ratio").alias("ri")), ratio.select(F.col("radius").alias("j"), F.col("ratio").alias("rj"))
+        rows = rows.join(values[0], "i").join(values[1], "j").join(factor_cov.select("i", "j", F.col("cov").alias("fc")), ["i", "j"])
+        total = total + F.try_divide(F.col("ri") * F.col("rj") * F.col("fc"), F.col("fi") * F.col("fi") * F.col("fj") * F.col("fj"))
+    return rows.select("i", "j", total.alias("cov"))
+
+
+def compensated(data: DataFrame, factor: DataFrame) -> DataFrame:
+    """(radius, value) of a measurement over its beam factor."""
+    return data.join(factor.select("radius", "factor"), "radius").select("radius", F.try_divide(F.col("value"), F.col("factor")).alias("value"))
 
 
 def hartlap_factor(n_resample: int, n_bins: int) -> float:

@@ -11,6 +11,7 @@ from ..functions.cosmology import comoving_to_arcmin
 from ..operators import beam, filters, grid, masks, selection, spectra, stats
 from ..sources import cells
 from ..sources.fixtures import HEADER as H
+from ..sources.scratch import scratch
 from . import sql as s
 from .registry import _OFF, _PER, _REL, F_B, RADII, TARGET, UPPER, _by_sim, _chosen, _cum, _h, _many, _many_sql, _p, _round, _stack, query
 
@@ -125,7 +126,7 @@ _NEAR = " + ".join(f"power({x} - {c!r} - 102400.0 * round_even(({x} - {c!r}) / 1
 
 def _region(spark: SparkSession, d: str) -> DataFrame:
     """Particles of one periodic sphere, read from the coarse cells that it meets."""
-    path = cells.write(_p(spark, d).where("ptype IS NOT NULL").select("particle_id", "ptype", "x", "y", "z", "mass"), cells.scratch(spark), H.box, 8)
+    path = cells.write(_p(spark, d).where("ptype IS NOT NULL").select("particle_id", "ptype", "x", "y", "z", "mass"), scratch(spark, "cells"), H.box, 8)
     return cells.read_sphere(spark, path, _CENTRE, _REACH, H.box, 8).groupBy("ptype").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
 
 

@@ -76,6 +76,19 @@ query("dm_constant_mass", s.q("SELECT count(*)::BIGINT AS n, sum(7.5::DOUBLE) AS
 query("suite_c_particle_units", s.q("SELECT ptype, sum(x * 1000 * 0.5) AS x, sum(mass * 0.5) AS mass FROM particles GROUP BY ptype"))(
     lambda sp, d: suites.particles_c(_p(sp, d), h=0.5).groupBy("ptype").agg(F.sum("x").alias("x"), F.sum("mass").alias("mass"))
 )
+
+def _suite_c(spark: SparkSession, d: str) -> DataFrame:
+    """Gas whose catalogue has y times area and electron densities: three effects and the ionized mass, by cell."""
+    rows = grid.of_type(_p(spark, d), "gas").withColumnsRenamed({"density": "densities", "electron_abundance": "electron_number_density", "internal_energy": "compton_y"}).withColumns({"vx": F.col("vz") * 2.0, "vy": -F.col("vz")})
+    weights = {**physics.sz_from_catalogue(H.h, H.a, 1e-24), "ionized": physics.ionized_mass_from_density(H.h, H.a)}
+    scale = {"tSZ": 1e-78, "tau": 1.0, "kSZ_x": 1e9, "kSZ_y": 1e9, "kSZ_z": 1e9, "ionized": 1e57}
+    sums = rows.select(grid.cell("x", H.box, 8).alias("i"), grid.cell("y", H.box, 8).alias("j"), *[w.alias(x) for x, w in weights.items()]).groupBy("i", "j")
+    return _round(sums.agg(*[(F.sum(x) * F.lit(scale[x])).alias(x) for x in weights]), *weights, digits=4)
+
+
+_NE = "electron_abundance * (mass / 0.6774::DOUBLE / density) * power(1 / 1.5::DOUBLE, 3)"
+_TAU_C = f"{_NE} * 6.6524587158e-25::DOUBLE / 1e-24::DOUBLE"
+query("sz_suite_c", s.q(f"SELECT {s.bin_of('x', 8)} AS i, {s.bin_of('y', 8)} AS j, round(sum(internal_energy * power(3.0856775814913674e24::DOUBLE, 2) / 1e-24::DOUBLE) * 1e-78::DOUBLE, 4) AS \"tSZ\", round(sum({_TAU_C}), 4) AS tau, round(sum({_TAU_C} * 2 * vz / 29979245800.0::DOUBLE) * 1e9, 4) AS \"kSZ_x\", round(sum({_TAU_C} * -vz / 29979245800.0::DOUBLE) * 1e9, 4) AS \"kSZ_y\", round(sum({_TAU_C} * vz / 29979245800.0::DOUBLE) * 1e9, 4) AS \"kSZ_z\", round(sum({_NE} * 1.6726e-24::DOUBLE * 2 / 1.76::DOUBLE / 1.989e33::DOUBLE * 0.6774::DOUBLE) * 1e57::DOUBLE, 4) AS ionized FROM particles WHERE ptype = 'gas' GROUP BY ALL"))(_suite_c)
 query("halo_catalog", s.q("SELECT group_id, pos_x, pos_y, pos_z, group_mass, group_rad FROM halos"))(_h)
 query("subhalo_catalog_fk", s.q("SELECT s.subhalo_id, s.parent_group_id, s.pos_x, s.pos_y, s.pos_z, round(h.group_mass, 0) AS host_mass FROM subhalos s JOIN halos h ON s.parent_group_id = h.group_id"))(
     lambda sp, d: _sub(sp, d).alias("s").join(_h(sp, d).alias("h"), F.col("parent_group_id") == F.col("group_id")).select("subhalo_id", "parent_group_id", "s.pos_x", "s.pos_y", "s.pos_z", F.round("group_mass", 0).alias("host_mass"))
@@ -277,7 +290,7 @@ def _cov(spark: SparkSession, d: str) -> DataFrame:
 _COV = "m AS (SELECT sim, radius, avg(bare) AS v FROM sims GROUP BY ALL), cov AS (SELECT a.radius AS i, b.radius AS j, covar_samp(a.v, b.v) AS cov FROM m a JOIN m b ON a.sim = b.sim GROUP BY ALL)"
 query("covariance", _cum(f"SELECT i, j, round(cov, 5) AS cov FROM (WITH {_COV} SELECT * FROM cov)"))(lambda sp, d: _round(_cov(sp, d), "cov", digits=5))
 query("covariance_compensated", _cum(f"SELECT i, j, round(cov / nullif(x.f * y.f, 0), 4) AS cov FROM (WITH {_COV} SELECT * FROM cov) JOIN (SELECT radius AS i, avg(r) AS f FROM r GROUP BY 1) x USING (i) JOIN (SELECT radius AS j, avg(r) AS f FROM r GROUP BY 1) y USING (j)"))(lambda sp, d: _round(stats.compensate(_cov(sp, d), stats.beam_factor(_by_sim(sp, d))), "cov", digits=4))
-query("hartlap", _cum(f"SELECT i, j, round(cov / {stats.hartlap_factor(100, 5)!r}::DOUBLE, 5) AS cov FROM (WITH {_COV} SELECT * FROM cov)"))(lambda sp, d: _round(stats.apply_hartlap(_cov(sp, d), 100, 5), "cov", digits=5))
+query("hartlap", _cum(f"SELECT i, j, round(cov / (93.0::DOUBLE / 99.0::DOUBLE), 5) AS cov FROM (WITH {_COV} SELECT * FROM cov)"))(lambda sp, d: _round(stats.apply_hartlap(_cov(sp, d), 100, 5), "cov", digits=5))
 
 
 @query("detection_snr")

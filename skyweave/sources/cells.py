@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +12,6 @@ from ..operators.grid import cell
 CELLS = ("ci", "cj", "ck")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyweave-")
-    return f"{base.rstrip('/')}/cells-{uuid.uuid4().hex}"
-
-
 def write(particles: DataFrame, path: str, box: float, n: int) -> str:
     """Partition the particles by their cell of n cells a side; rows of a cell may fill several files."""
     rows = particles.withColumns({c: cell(x, box, n) for c, x in zip(CELLS, "xyz", strict=True)})

@@ -92,3 +92,69 @@ def simulations(spark: SparkSession, config: dict) -> DataFrame:
     """(sim_type, name, snapshot, feedback, redshift) of a run configuration."""
     rows = [(g["sim_type"], s["name"], int(s["snapshot"]), s.get("feedback"), None if s.get("redshift") is None else float(s["redshift"])) for g in config["simulations"] for s in g["sims"]]
     return spark.createDataFrame(rows, "sim_type string, name string, snapshot int, feedback string, redshift double")
+
+
+def nested(archive: DataFrame) -> dict:
+    """A small archive (path, idx, value) as nested dicts of arrays, by the parts of its paths."""
+    out: dict = {}
+    for r in archive.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v")).collect():
+        *groups, name = r["path"].strip("/").split("/")
+        at = out
+        for g in groups:
+            at = at.setdefault(g, {})
+        at[name] = np.array([x["value"] for x in r["v"]])
+    return out
+
+
+# ---------------------------------------------------------------- results of runs
+
+
+def _spectrum_path(base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None) -> str:
+    if suite in ("B", "C") and not feedback:
+        raise ValueError(f"suite {suite} needs a feedback variant")
+    name = "_".join([sim, *([feedback] if suite in ("B", "C") else []), str(snapshot), "Pk", str(grid)])
+    return f"{base.rstrip('/')}/{suite}/products/3D/{name}.parquet"
+
+
+def save_spectra(spectra: DataFrame, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None) -> str:
+    """Keep power spectra by all that they depend on."""
+    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback)
+    spectra.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_spectra(spark: SparkSession, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None) -> DataFrame:
+    """FileNotFoundError if they were never kept."""
+    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback)
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"no power spectra at {path}") from None
+
+
+def result_key(suite: str, sim: str, feedback: str | None = None) -> str:
+    return f"{suite}__{sim}" + (f"_{feedback}" if feedback and feedback != sim else "")
+
+
+def save_profiles(profiles: DataFrame, path: str) -> str:
+    """Profiles (suite, sim, feedback, x, mean, err) of a run's simulations, a partition for each."""
+    key = F.concat(F.col("suite"), F.lit("__"), F.col("sim"), F.when(F.col("feedback").isNotNull() & (F.col("feedback") != F.col("sim")), F.concat(F.lit("_"), F.col("feedback"))).otherwise(F.lit("")))
+    profiles.select(key.alias("key"), "x", "mean", "err").write.mode("overwrite").partitionBy("key").parquet(path)
+    return path
+
+
+def load_profiles(spark: SparkSession, path: str, suite: str, sim: str, feedback: str | None = None) -> DataFrame:
+    """One simulation's profile; the other partitions aren't read."""
+    return spark.read.parquet(path).where(F.col("key") == result_key(suite, sim, feedback)).select("x", "mean", "err").orderBy("x")
+
+
+def save_scalars(results: DataFrame, path: str) -> str:
+    """Numbers (name, value) of a run."""
+    results.select("name", F.col("value").cast("double").alias("value")).coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load_scalars(spark: SparkSession, path: str) -> dict[str, float]:
+    return {r["name"]: r["value"] for r in spark.read.schema("name string, value double").json(path).collect()}
