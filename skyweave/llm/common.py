@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import shared_dir, stored  # noqa: F401
+
 #: Bytes of text that are worked on at once (a longer text by itself).
 SLICE_BYTES = 2 << 20
 
@@ -40,44 +40,12 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.Record
                 yield b.slice(lo, hi - lo)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, one of our own: in the warehouse, which is shared too, or on a local master, whose tasks and
-    driver are one machine, a temporary one.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        alone = sc.master == "local" or sc.master.startswith("local[")
-        path = tempfile.mkdtemp(prefix="skyweave-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/skyweave-scratch"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder. What is written there is deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Small tables: a reliable checkpoint, which Spark removes once nothing refers to it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Larger tables: written as Parquet to the shared folder and read again."""
-    path = scratch(df.sparkSession, "rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

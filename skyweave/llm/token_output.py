@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, slices
+from ..sources.scratch import scratch
+from .common import slices
 from .pieces import Pieces
 from .range_coder import BLOCK, pack, unpack
 
