@@ -38,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.Record
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # a worker outlives its task
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def map_text(docs: DataFrame, text_col: str, fn: Callable[[list], dict], out: li
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)

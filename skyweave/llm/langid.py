@@ -30,7 +30,7 @@ LOOKUPS = 3
 #: Languages of one table of the filter, a bit each; more languages take more tables.
 TABLE_LANGUAGES = 64
 UNKNOWN = "und"
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-#: Pieces that are remembered; then the memory is emptied. Longer ones than so many bytes are encoded each time.
+#: Places for pieces that are remembered; when five in eight are taken, the memory is emptied. Longer ones than so many bytes are encoded each time.
 REMEMBERED = 1 << 21
 LONGEST = 64
 #: New pieces that are encoded as the lines of one text, and pieces that are looked up at a time.
@@ -138,8 +138,8 @@ class Pieces:
         self._empty()
 
     def _empty(self) -> None:
-        self.key, self.place = np.zeros(2 * REMEMBERED, np.uint64), np.zeros(2 * REMEMBERED, np.int32)
-        self.shift = np.uint64(64 - (2 * REMEMBERED - 1).bit_length())
+        self.key, self.place = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.int32)
+        self.shift = np.uint64(64 - (REMEMBERED - 1).bit_length())
         self.ids, self.words, self.parts = _Pool(np.uint32), _Pool(np.uint64), _Pool(np.int64, np.int32, np.int64, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ class Pieces:
 
     def _ids_of(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some pieces, and how many each has."""
-        if self.parts.n > REMEMBERED * 3 // 4:
+        if self.parts.n > REMEMBERED * 5 // 8:
             self._empty()
         wrong = size > LONGEST
         own = np.flatnonzero(~wrong)

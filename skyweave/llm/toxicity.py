@@ -26,7 +26,7 @@ SMOOTH = 1.0
 RIDGE = 5e-5
 STEPS = 400
 THRESHOLD = 0.3
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 
 
 def _codes(text: str | None) -> np.ndarray:
