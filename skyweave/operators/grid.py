@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,26 +61,30 @@ def fields(particles: DataFrame, ptypes: list[str], header, n: int | None = None
     return rows.groupBy(cell(x, header.box, n).alias("i"), cell(y, header.box, n).alias("j")).agg(*sums)
 
 
-def _tsc_axis(x: str, box: float, n: int) -> Column:
-    """The three cells along an axis and their weights, as an array of (c, w)."""
+def _tsc_axis(x: str, box: float, n: int) -> tuple[Column, list[Column]]:
+    """The nearest cell along an axis, and the weights of the cell below, of it and of the one above."""
     p = F.col(x) / F.lit(float(box)) * F.lit(n)
     i = F.rint(p)
     d = i - p
     low = F.lit(0.5) * (F.lit(0.5) + d) * (F.lit(0.5) + d)
     high = F.lit(0.5) * (F.lit(0.5) - d) * (F.lit(0.5) - d)
-    at = lambda s: F.pmod(i.cast("int") + s, F.lit(n)).alias("c")
-    return F.array(F.struct(at(-1), low.alias("w")), F.struct(at(0), (F.lit(0.75) - d * d).alias("w")), F.struct(at(1), high.alias("w")))
+    return F.pmod(i.cast("int"), F.lit(n)), [low, F.lit(0.75) - d * d, high]
 
 
 def tsc_grid(rows: DataFrame, value: Column, box: float, n: int, dims: tuple = ("x", "y", "z")) -> DataFrame:
     """Triangular-shaped-cloud deposit to the 3 cells of each axis, periodic; cell centres at integer coordinates.
 
-    Axes are exploded one after another, so that sums of partial products stay columns of one generated stage.
+    What the particles of a cell give to each of its neighbours is summed first, a column for each neighbour: only
+    cells, not particles, are repeated for their neighbours.
     """
-    out = rows.select(value.alias("__v"), *[_tsc_axis(d, box, n).alias(f"__{d}") for d in dims])
-    for d, name in zip(dims, "ijk", strict=False):
-        out = out.select(*[c for c in out.columns if c != f"__{d}"], F.explode(f"__{d}").alias("__a")).withColumn(name, F.col("__a.c")).withColumn("__v", F.col("__v") * F.col("__a.w")).drop("__a")
-    return out.groupBy(*"ijk"[: len(dims)]).agg(F.sum("__v").alias("value"))
+    axes = [_tsc_axis(d, box, n) for d in dims]
+    names = "ijk"[: len(dims)]
+    out = rows.select(value.alias("__v"), *[c.alias(x) for (c, _), x in zip(axes, names, strict=True)], *[w.alias(f"__{x}{a}") for (_, ws), x in zip(axes, names, strict=True) for a, w in enumerate(ws)])
+    places = list(product(range(3), repeat=len(dims)))
+    shares = {at: reduce(mul, [F.col(f"__{x}{a}") for x, a in zip(names, at, strict=True)], F.col("__v")) for at in places}
+    cells = out.groupBy(*names).agg(*[F.sum(w).alias("__s" + "".join(map(str, at))) for at, w in shares.items()])
+    near = F.array(*[F.struct(*[F.pmod(F.col(x) + (a - 1), F.lit(n)).alias(x) for x, a in zip(names, at, strict=True)], F.col("__s" + "".join(map(str, at))).alias("value")) for at in places])
+    return cells.select(F.explode(near).alias("__c")).select("__c.*").groupBy(*names).agg(F.sum("value").alias("value"))
 
 
 def nearest_grid_3d(rows: DataFrame, value: Column, box: float, n: int) -> DataFrame:

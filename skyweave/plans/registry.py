@@ -14,6 +14,7 @@ from ..functions.cosmology import Flat, map_pixels
 from ..operators import beam, filters, grid, masks, selection, spectra, stack, stats
 from ..sources import fixtures, suites
 from ..sources.fixtures import HEADER as H
+from ..sources.scratch import stored
 from . import sql as s
 
 FLAGSHIP = "cap_stack_gas"
@@ -344,7 +345,7 @@ _PK_N = 16
 
 
 def _modes(spark: SparkSession, d: str, ptype: str) -> DataFrame:
-    g = grid.tsc_grid(grid.of_type(_p(spark, d), ptype), F.col("mass"), H.box, _PK_N)
+    g = stored(grid.tsc_grid(grid.of_type(_p(spark, d), ptype), F.col("mass"), H.box, _PK_N))  # read for its mean and its cells
     mean = g.agg((F.sum("value") / F.lit(float(_PK_N**3))).alias("m"))
     return spectra.fft(g.crossJoin(mean).select("i", "j", "k", (F.col("value") / F.col("m")).alias("value")), _PK_N)
 
