@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, free_name, mix, shingles, slices, stored, word_hashes
-from .components import components
+from .components import PIECES, components, with_least
 
 WORDS = 4
 #: Sets link when 100 * intersection >= PERCENT * union.
@@ -179,7 +179,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, w: int, percent: int) -> DataFr
     sets = docs.select("doc_id", "t", slot.alias("slot")).mapInArrow(run, "doc_id long, s array<long>").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # a pivot may be in very many pairs: they are spread over tasks, each of which gets the pivot's set
+    spread = pairs.withColumn("piece", F.pmod(F.xxhash64("a"), F.lit(PIECES)))
+    two = spread.select("b", "piece").distinct().join(two, "b")
+    return spread.join(one, "a").join(two, ["b", "piece"]).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def components_by_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,8 +211,8 @@ def components_by_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PE
 
     # Answers by relation: each set with the pivot of the buckets it is in.
     met = reps.select("doc_id", "n", "rare", F.posexplode("mins").alias("k", "low"))
-    pivots = met.groupBy("k", "low").agg(F.min(F.struct("rare", F.col("doc_id").alias("id"), F.col("n").alias("m"))).alias("p"), F.count("*").alias("c")).where(F.col("c") > 1)
-    near = met.join(pivots, ["k", "low"]).where((F.col("doc_id") != F.col("p.id")) & (100 * F.least("n", "p.m") >= percent * F.greatest("n", "p.m")))
+    met = with_least(met, ["k", "low"], "doc_id", F.struct("rare", F.col("doc_id").alias("id"), F.col("n").alias("m"))).withColumnRenamed("least", "p")
+    near = met.where((F.col("count") > 1) & (F.col("doc_id") != F.col("p.id")) & (100 * F.least("n", "p.m") >= percent * F.greatest("n", "p.m")))
     near = cut(near.select(F.col("doc_id").alias("a"), F.col("p.id").alias("b")).distinct())
     first = cut(_verified(live, near, words, percent))
     # rows that share an id are one document; so are equal sets
