@@ -127,10 +127,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def _chunk_words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each word of a buffer."""
+def _chunk_words(buf: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word of a buffer: a run without the bytes that lie ``between`` words."""
     b = np.frombuffer(buf, np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], between[b], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, np.uint64), start, end

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, line_dedup, mixing, quality, suffix_dedup, token_output, topk, toxicity
+from . import decontam, jaccard, langid, lexical, line_dedup, mixing, prefix_bpe, quality, suffix_dedup, token_output, topk, toxicity, yinyang
 from .common import lean_batches
 
-#: A file of the installed public tokenizers.
-TOKENIZER = "byte_bpe_50k.json"
+#: Files of the installed public tokenizers.
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,10 @@ def fold(n: int, col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n, F.lit(0).cast("long"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(WORD_TOKENIZER)
+    encoded = prefix_bpe.encode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    rows = prefix_bpe.decode(encoded, path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_mixing, op8_top_k, op9_quality, op10_token_output)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_jaccard_join, op5_toxicity, op6_suffix_dedup, op7_mixing, op8_top_k, op9_quality, op10_token_output, op11_centroid_clustering, op12_bpe, op13_lexical_search)}
 
 
 LINE_DEDUP_SQL = """
@@ -141,5 +156,42 @@ SELECT query_id, place::INT AS rank, vec_id, score FROM placed WHERE place <= 5
 """
 
 
+_ASSIGN = """d{r} AS MATERIALIZED (SELECT v.rid, v.vec_id, v.v, c.cluster, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept v, c{r} c),
+a{r} AS MATERIALIZED (SELECT rid, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM d{r} GROUP BY rid, vec_id, v),"""
+_MOVE = """m{r} AS (SELECT cluster, part, floor(sum(x) / count(*)) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS part FROM a{r}) GROUP BY cluster, part),
+l{r} AS (SELECT cluster, list(x ORDER BY part) AS c FROM m{r} GROUP BY cluster),
+c{n} AS MATERIALIZED (SELECT c.cluster, coalesce(l.c, c.c) AS c FROM c{r} c LEFT JOIN l{r} l ON l.cluster = c.cluster),"""
+
+
+def clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64, seed: int = 2) -> str:
+    """Full scans, round by round."""
+    turns = "\n".join(_ASSIGN.format(r=r) + (_MOVE.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v AS c FROM (SELECT sha256('{seed}:' || vec_id::VARCHAR) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k})),
+{turns}
+i AS (SELECT cluster, sum(d)::BIGINT AS s FROM a{rounds} GROUP BY cluster)
+SELECT a.vec_id, a.cluster::INT AS cluster, a.d::BIGINT AS distance, i.s AS cluster_inertia, (SELECT sum(s) FROM i)::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN i ON i.cluster = a.cluster JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
+LEXICAL_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT (count(*) FILTER (WHERE len(w) > 0))::BIGINT AS big_n, coalesce(sum(len(w)), 0)::BIGINT AS big_l FROM doc),
+asked AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+want AS (SELECT DISTINCT item, item_id, unnest(w) AS t FROM asked),
+tf AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM want) GROUP BY rid, t),
+weight AS (SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY t, big_n),
+impact AS (SELECT tf.rid, d.doc_id, tf.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.w) * big_n) // big_l))) AS x
+  FROM tf JOIN weight USING (t) JOIN doc d USING (rid), total),
+scored AS (SELECT item, item_id, rid, doc_id, sum(x)::BIGINT AS score FROM want JOIN impact USING (t) GROUP BY ALL HAVING sum(x) > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT item_id, place::INT AS rank, doc_id, score FROM placed WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op4_jaccard_join": JACCARD_SQL, "op7_mixing": MIXING_SQL, "op8_top_k": TOP_K_SQL}
+    return {"op11_centroid_clustering": clustering_sql(), "op13_lexical_search": LEXICAL_SQL, "op2_line_dedup": LINE_DEDUP_SQL, "op4_jaccard_join": JACCARD_SQL, "op7_mixing": MIXING_SQL, "op8_top_k": TOP_K_SQL}

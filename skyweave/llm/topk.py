@@ -26,11 +26,11 @@ LEAST_ROWS = 512
 _CELLS = 1 << 22
 
 
-def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v) with each component x as floor(scale * x). Null vectors, ones with a null or non-finite component, and null ids are left out."""
+def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, null_ids: bool = False) -> DataFrame:
+    """(vec_id, v) with each component x as floor(scale * x). Null vectors, ones with a null or non-finite component, and (but for ``null_ids``) null ids are left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    return table.where((F.lit(null_ids) | F.col(id_col).isNotNull()) & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
 def _classes(vectors: DataFrame, k: int) -> DataFrame:
