@@ -37,4 +37,13 @@ def stored(df: DataFrame) -> DataFrame:
     """The table, written as Parquet to the shared folder and read again: it survives lost executors."""
     path = scratch(df.sparkSession, "rows")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more. Other tables are left alone."""
+    if path := df.__dict__.get("stored_at"):
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
