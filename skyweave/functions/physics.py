@@ -181,3 +181,13 @@ def geometric_edges(centres, first: float | None = None, pick: str = "mid") -> t
     elif not lower < first < upper:
         raise ValueError(f"the first edge {first} is outside ({lower}, {upper})")
     return np.array([f * first if i % 2 == 0 else f / first for i, f in enumerate(factors)]), (float(lower), float(upper))
+
+
+def running_bins(radii_arcmin, z: float, pixel_arcmin: float, cosmo: Flat) -> tuple[tuple, float]:
+    """Edges in arcmin of comoving bins whose geometric means are the given radii, and a pixel's comoving length in pc.
+
+    The bins are laid out with the reference cosmology, and seen with the simulation's own.
+    """
+    edges, _ = geometric_edges(np.array([arcmin_to_comoving(float(r), z) / 1000 for r in radii_arcmin]), pick="geom")
+    mpc_h = cosmo.comoving_mpc(z) * cosmo.h  # for a radian
+    return tuple(np.degrees(np.asarray(edges) / mpc_h) * 60), float(np.radians(pixel_arcmin / 60) * mpc_h * 1e6 / cosmo.h)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FILTERS = ("cumulative", "CAP", "ringring", "DSigma", "upsilon", "DSigma_area", "DSigma_kernel_map")
+FILTERS = ("cumulative", "CAP", "ringring", "DSigma", "upsilon", "DSigma_area", "DSigma_kernel_map", "DSigma_mccarthy")
 
 
 @dataclass(frozen=True)
@@ -73,19 +73,79 @@ def weights(name: str | Callable, r: np.ndarray, at: float, pixel: float = 1.0,
     raise NotImplementedError(f"Filter Type not implemented: {name}")
 
 
-def weight_table(spark: SparkSession, name: str | Callable, radii, pixels_per_unit: float, pixel: float = 1.0, dr: float | None = None) -> tuple[DataFrame, Geometry]:
-    """(radius, q, w), w summed over nothing: the weight of each pixel at squared offset q."""
-    radii = np.asarray(radii, float)
-    g = Geometry.of(name if isinstance(name, str) else "", radii, pixels_per_unit)
-    q, r = g.distances()
-    if name == "DSigma" and dr is None:
-        dr = 0.75
-    first = np.unique(q, return_index=True)
-    rows = []
-    for at in radii.tolist():
-        w = weights(name, r, at, pixel, dr=dr)[first[1]]
-        rows += [(at, int(a), float(b)) for a, b in zip(first[0], w, strict=True) if b]
-    return spark.createDataFrame(rows, "radius double, q int, w double"), g
+def running_weights(r: np.ndarray, edges) -> np.ndarray:
+    """(bins, pixels): the running excess by bins of distance, as weights of the pixels; NaN in a bin without pixels.
+
+    Pixels are taken by distance, equal ones in the order given. A pixel's excess is the mean of all pixels up to it less
+    its own value, so each pixel adds to the excess of all behind it: its weight in a bin is the bin's mean of
+    1 / (number of pixels so far) over those, less its own share.
+    """
+    order = np.argsort(r, kind="stable")
+    bins = np.searchsorted(np.asarray(edges, float), r[order], "right") - 1
+    out = np.full((len(edges) - 1, len(r)), np.nan)
+    for b in range(len(edges) - 1):
+        inside = bins == b
+        if inside.any():
+            share = np.where(inside, 1 / np.arange(1, len(r) + 1), 0.0)
+            out[b, order] = (np.cumsum(share[::-1])[::-1] - inside) / inside.sum()
+    return out
+
+
+@dataclass(frozen=True)
+class Kernels:
+    """A filter's weights for each radius, over the square of pixels around an object.
+
+    ``edges`` are the running excess's bins, one more than radii, in units of the radii; ``pixel`` is a pixel's length, by
+    whose square an excess is divided.
+    """
+
+    name: str | Callable
+    radii: tuple
+    geometry: Geometry
+    pixel: float = 1.0
+    dr: float | None = None
+    edges: tuple | None = None
+
+    @classmethod
+    def of(cls, name: str | Callable, radii, pixels_per_unit: float, pixel: float = 1.0, dr: float | None = None, edges=None) -> Kernels:
+        radii = tuple(float(r) for r in radii)
+        return cls(name, radii, Geometry.of(name if isinstance(name, str) else "", np.array(radii), pixels_per_unit), pixel, dr, edges and tuple(map(float, edges)))
+
+    @property
+    def by_distance(self) -> bool:
+        """Whether equal distances have equal weights."""
+        return self.name != "DSigma_mccarthy"
+
+    @property
+    def pixels(self) -> int:
+        return (2 * self.geometry.half + 1) ** 2
+
+    def flat(self, i: int) -> np.ndarray:
+        _, r = self.geometry.distances()
+        if self.name == "DSigma_mccarthy":
+            if self.edges is None:
+                raise ValueError("the running excess needs the edges of its bins")
+            return running_weights(r, self.edges)[i] / self.pixel**2
+        return weights(self.name, r, self.radii[i], self.pixel, dr=self.dr)
+
+    def square(self, i: int) -> np.ndarray:
+        side = 2 * self.geometry.half + 1
+        return np.asarray(self.flat(i), float).reshape(side, side)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(radius, q, w): the weight of each pixel at squared offset q; or (radius, di, dj, w)."""
+        q, _ = self.geometry.distances()
+        if self.by_distance:
+            first = np.unique(q, return_index=True)
+            rows = [(at, int(a), float(w)) for i, at in enumerate(self.radii) for a, w in zip(first[0], self.flat(i)[first[1]], strict=True) if w]
+            return spark.createDataFrame(rows, "radius double, q int, w double")
+        half, side = self.geometry.half, 2 * self.geometry.half + 1
+        rows = [(at, p // side - half, p % side - half, float(w)) for i, at in enumerate(self.radii) for p, w in enumerate(self.flat(i)) if not np.isnan(w)]
+        return spark.createDataFrame(rows, "radius double, di int, dj int, w double")
+
+    def empty(self) -> list[float]:
+        """Radii whose bin has no pixel."""
+        return [] if self.by_distance else [at for i, at in enumerate(self.radii) if np.isnan(self.flat(i)).all()]
 
 
 def offsets(spark: SparkSession, half: int) -> DataFrame:

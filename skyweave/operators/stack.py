@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from . import filters, masks
+from . import filters, masks, tiles
 
 
 def shells(field: DataFrame, objects: DataFrame, n: int, box: float, half: int, projection: str = "xy", key: str = "group_id", values: tuple = ("value",)) -> DataFrame:
@@ -34,20 +34,70 @@ def pixels(field: DataFrame, objects: DataFrame, n: int, box: float, half: int,
     return cells.join(field, ["i", "j"], "left").select("object_id", "di", "dj", (F.sqrt("q") * F.lit(step)).alias("r"), ((F.col("di") + half) * (2 * half + 1) + F.col("dj") + half).alias("tie"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def profiles(field: DataFrame, objects: DataFrame, n: int, box: float, filter_type: str | Callable, radii, unit: float, projection: str = "xy", key: str = "group_id", pixel: float = 1.0, dr: float | None = None, values: tuple = ("value",)) -> DataFrame:
+#: Above so many pixels around an object (or rows of a weight table) nothing is built for each of them on the driver or joined.
+PIXELS, TABLE_ROWS = 1 << 20, 1 << 18
+#: Rows of the join by offsets that cost as much as one cell's share in a transform.
+ROWS_A_CELL = 2
+
+
+def profiles(field: DataFrame, objects: DataFrame, n: int, box: float, filter_type: str | Callable, radii, unit: float, projection: str = "xy", key: str = "group_id", pixel: float = 1.0, dr: float | None = None, values: tuple = ("value",), edges=None, way: str | None = None) -> DataFrame:
     """(key, radius, values): one filter's profile of each object. An object over empty cells has zeros.
 
-    ``unit`` is the radius unit in the field's length unit; ``pixel`` the pixel's size for surface densities.
+    ``unit`` is the radius unit in the field's length unit; ``pixel`` the pixel's size for surface densities; ``dr`` the
+    width of an excess's ring, three pixels unless given. The running excess takes ``edges`` of its bins; a bin without
+    pixels is null.
+
+    There are two ways: objects meet the pixels around them ("offsets"), or the whole field is correlated with each
+    radius's weights once, and objects look up their own pixel ("maps"). Unless given, the one with fewer rows is taken.
     """
-    spark = field.sparkSession
     per_unit = unit / (box / n)
     if filter_type == "DSigma" and dr is None:
         dr = 3 / per_unit
-    table, g = filters.weight_table(spark, filter_type, radii, per_unit, pixel, dr)
-    sums = shells(field, objects, n, box, g.half, projection, key, values)
-    got = sums.join(F.broadcast(table), "q").groupBy(key, "radius").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
-    every = objects.select(key).distinct().crossJoin(F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius double")))
-    return every.join(got, [key, "radius"], "left").select(key, "radius", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+    kernels = filters.Kernels.of(filter_type, radii, per_unit, pixel, dr, edges)
+    if way is None:
+        way = _cheaper(objects, kernels, n)
+    by = {"offsets": _by_offsets, "maps": _by_maps}[way](field, objects, n, box, kernels, projection, key, values)
+    spark = field.sparkSession
+    every = objects.select(key).distinct().crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in kernels.radii], "radius double")))
+    zero = F.when(~F.col("radius").isin(*none), 0.0) if (none := kernels.empty()) else F.lit(0.0)
+    return every.join(by, [key, "radius"], "left").select(key, "radius", *[F.coalesce(v, zero).alias(v) for v in values])
+
+
+def _cheaper(objects: DataFrame, kernels: filters.Kernels, n: int) -> str:
+    """Objects times offsets against cells times radii, each with its share of a transform."""
+    if kernels.pixels > PIXELS or (not kernels.by_distance and kernels.pixels * len(kernels.radii) > TABLE_ROWS):
+        return "maps"
+    enough = int(ROWS_A_CELL * len(kernels.radii) * n * n * np.log2(max(2, n)) / kernels.pixels)
+    return "maps" if objects.limit(enough + 1).count() > enough else "offsets"
+
+
+def _by_offsets(field: DataFrame, objects: DataFrame, n: int, box: float, kernels: filters.Kernels, projection: str, key: str, values: tuple) -> DataFrame:
+    table = F.broadcast(kernels.table(field.sparkSession))  # TABLE_ROWS, or a row for each distance of PIXELS and radius
+    if kernels.by_distance:
+        rows = shells(field, objects, n, box, kernels.geometry.half, projection, key, values).join(table, "q")
+    else:
+        x, y = physics.axes(projection)
+        around = objects.select(key, *[cell.alias(c) for cell, c in zip(_cell_of(x, y, box, n), ("ci", "cj"), strict=True)]).crossJoin(table)
+        cells = around.select(key, "radius", "w", F.pmod(F.col("ci") + F.col("di"), F.lit(n)).alias("i"), F.pmod(F.col("cj") + F.col("dj"), F.lit(n)).alias("j"))
+        rows = cells.join(field, ["i", "j"])
+    return rows.groupBy(key, "radius").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+
+
+def _cell_of(x: str, y: str, box: float, n: int) -> list:
+    return [F.rint(F.col(f"pos_{c}") / F.lit(box / n)).cast("int") for c in (x, y)]
+
+
+def _by_maps(field: DataFrame, objects: DataFrame, n: int, box: float, kernels: filters.Kernels, projection: str, key: str, values: tuple) -> DataFrame:
+    x, y = physics.axes(projection)
+    at = objects.select(key, *[F.pmod(c, F.lit(n)).alias(i) for c, i in zip(_cell_of(x, y, box, n), "ij", strict=True)])
+    told = F.broadcast(field.sparkSession.createDataFrame(list(enumerate(kernels.radii)), "r int, radius double"))
+    out, none = None, set(kernels.empty())
+    for v in values:
+        maps = tiles.correlated(tiles.filled(field, (n, n), v), lambda r: np.nan_to_num(kernels.square(r)), len(kernels.radii))
+        found = tiles.looked_up(maps, at).join(told, "r").where(~F.col("radius").isin(*none) if none else F.lit(True))
+        rows = at.join(found, ["i", "j"]).groupBy(key, "radius").agg(F.sum("value").alias(v))
+        out = rows if out is None else out.join(rows, [key, "radius"])
+    return out
 
 
 def linear_radii(low: float, high: float, count: int) -> np.ndarray:

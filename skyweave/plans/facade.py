@@ -102,15 +102,34 @@ class Simulation:
             return selection.binned(objects, 2), key
         return selection.massive(objects, mean_mass, upper), key
 
-    def stack(self, value: DataFrame, n: int, filter_type: str | Callable, radii, unit: str, distance: float = 1.0, z: float | None = None, projection: str = "xy", pixel: float = 1.0, **chosen) -> DataFrame:
-        """(key, radius, value): profiles of any grid, with radii in multiples of ``distance`` kpc/h or arcmin."""
-        one_pixel = pixel_length(unit, self.header.box, n, self.header.z if z is None else z, self.cosmology)
+    def stack(self, value: DataFrame, n: int, filter_type: str | Callable, radii, unit: str, distance: float = 1.0, z: float | None = None, projection: str = "xy", pixel: float = 0.5, way: str | None = None, **chosen) -> DataFrame:
+        """(key, radius, value): profiles of any grid, with radii in multiples of ``distance`` kpc/h or arcmin.
+
+        An excess is divided by the area of a true pixel in the unit; its ring is three pixels wide, or 0.75 in arcmin. The
+        running excess goes by comoving bins whose geometric means are the radii, which are arcmin, and by the area
+        in pc^2 of a pixel of nominally ``pixel`` arcmin.
+        """
+        z = self.header.z if z is None else z
+        true_pixel = pixel_length(unit, self.header.box, n, z, self.cosmology)
+        options: dict = {}
+        if filter_type == "DSigma":
+            options = {"pixel": true_pixel, "dr": 0.75 if unit == "arcmin" else 3 * true_pixel / distance}
+        elif filter_type == "DSigma_mccarthy":
+            if unit != "arcmin":
+                raise ValueError("the running excess takes radii in arcmin")
+            options = dict(zip(("edges", "pixel"), physics.running_bins(radii, z, pixel, self.cosmology), strict=True))
         objects, key = self.select(**chosen)
-        return stack.profiles(value, objects, n, self.header.box, filter_type, radii, distance * self.header.box / n / one_pixel, projection, key, pixel)
+        return stack.profiles(value, objects, n, self.header.box, filter_type, radii, distance * self.header.box / n / true_pixel, projection, key, way=way, **options)
 
-    def stack_field(self, ptype: str, filter_type: str | Callable, radii, distance: float = 1000.0, n: int | None = None, projection: str = "xy", mask_radius: float | None = None, load: bool = True, save: bool = False, **chosen) -> DataFrame:
+    def stack_field(self, ptype: str, filter_type: str | Callable, radii, distance: float | None = 1000.0, n: int | None = None, projection: str = "xy", subtract_mean: bool = False, mask_radius: float | None = None, load: bool = True, save: bool = False, **chosen) -> DataFrame:
+        """Profiles of a field; without a ``distance`` radii are in mean radii of halos of mass bin 2."""
         n = n or self.header.n
-        return self.stack(self.make_field(ptype, n, projection, mask_radius, load, save), n, filter_type, radii, "kpc/h", distance, projection=projection, **chosen)
+        if distance is None:
+            distance = selection.mean_radius(selection.binned(self.halos, 2)).first()[0]
+        f = self.make_field(ptype, n, projection, mask_radius, load, save)
+        if subtract_mean:
+            f = grid.subtract_mean(f, n)
+        return self.stack(f, n, filter_type, radii, "kpc/h", distance, projection=projection, **chosen)
 
     def stack_map(self, ptype: str, filter_type: str | Callable, radii, distance: float = 1.0, z: float | None = None, pixel: float = 0.5, beam_arcmin: float | None = 1.6, projection: str = "xy", subtract_mean: bool = False, mask_radius: float | None = None, load: bool = True, save: bool = False, **chosen) -> DataFrame:
         """Profiles of a map with radii in arcminutes: optical depth in microkelvin, other effects by arcmin2."""

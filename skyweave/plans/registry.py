@@ -201,19 +201,23 @@ query("min_image_sphere", s.q(s.massive(9.3e13, UPPER), f"SELECT c.group_id, cou
 _PER = UNIT / H.cell
 
 
-def _stack(spark: SparkSession, d: str, filter_type: str, ptype: str = "gas", projection: str = "xy", objects: DataFrame | None = None, key: str = "group_id", dr: float | None = None) -> DataFrame:
+def _stack(spark: SparkSession, d: str, filter_type: str, ptype: str = "gas", projection: str = "xy", objects: DataFrame | None = None, key: str = "group_id", dr: float | None = None, pixel: float = 1.0, way: str | None = None) -> DataFrame:
     field = grid.field(_p(spark, d), ptype, H, projection=projection, unit=1.0)
-    return stack.profiles(field, _chosen(spark, d) if objects is None else objects, H.n, H.box, filter_type, RADII, UNIT, projection, key, dr=dr)
+    return stack.profiles(field, _chosen(spark, d) if objects is None else objects, H.n, H.box, filter_type, RADII, UNIT, projection, key, pixel, dr, way=way)
 
 
-def _stack_sql(filter_type: str, final: str, ptype: str = "gas", projection: str = "xy", objects: str = "chosen", key: str = "group_id", dr: float = 0.0, more: tuple = ()) -> str:
-    return s.q(*more, s.massive(TARGET, UPPER), s.field(ptype, projection=projection), s.stencil(filter_type, RADII, _PER), s.filter_weights(filter_type, dr), s.profile(objects, key, projection), final)
+def _stack_sql(filter_type: str, final: str, ptype: str = "gas", projection: str = "xy", objects: str = "chosen", key: str = "group_id", dr: float = 0.0, more: tuple = (), area: float = 1.0) -> str:
+    return s.q(*more, s.massive(TARGET, UPPER), s.field(ptype, projection=projection), s.stencil(filter_type, RADII, _PER), s.filter_weights(filter_type, dr, area), s.profile(objects, key, projection), final)
 
 
 _NAMES = {"cumulative": "cumulative_stack", "CAP": "cap_stack_gas", "ringring": "ringring_stack", "DSigma": "dsigma_stack", "upsilon": "upsilon_stack", "DSigma_area": "dsigma_area_stack"}
+#: A pixel's length in units of 100 kpc/h: an excess is over its square.
+_PIXEL = H.cell / 100
 for _f, _name in _NAMES.items():
-    _dr = {"DSigma": 3 / _PER, "DSigma_area": 0.75}.get(_f)
-    query(_name, _stack_sql(_f, s.MEAN_SE, dr=_dr or 0.0))(lambda sp, d, f=_f, dr=_dr: _round(stats.mean_profile(_stack(sp, d, f, dr=dr)), "mean", "err"))
+    _dr, _pixel = {"DSigma": 3 / _PER, "DSigma_area": 0.75}.get(_f), _PIXEL if _f == "DSigma" else 1.0
+    query(_name, _stack_sql(_f, s.MEAN_SE, dr=_dr or 0.0, area=_pixel**2))(lambda sp, d, f=_f, dr=_dr, px=_pixel: _round(stats.mean_profile(_stack(sp, d, f, dr=dr, pixel=px)), "mean", "err"))
+    if _f in ("CAP", "DSigma", "upsilon"):  # the same by maps that are correlated with the weights
+        query(_name + "_by_maps", _stack_sql(_f, s.MEAN_SE, dr=_dr or 0.0, area=_pixel**2))(lambda sp, d, f=_f, dr=_dr, px=_pixel: _round(stats.mean_profile(_stack(sp, d, f, dr=dr, pixel=px, way="maps")), "mean", "err"))
 query("cap_stack_yz", _stack_sql("CAP", s.MEAN_SE, ptype="total", projection="yz"))(lambda sp, d: _round(stats.mean_profile(_stack(sp, d, "CAP", "total", "yz")), "mean", "err"))
 query("cap_stack_subhalos", _stack_sql("CAP", s.MEAN_SE, objects="sham", key="subhalo_id", more=(_SHAM,)))(lambda sp, d: _round(stats.mean_profile(_stack(sp, d, "CAP", objects=_sham(sp, d), key="subhalo_id")), "mean", "err"))
 query("cap_profiles", _stack_sql("CAP", "SELECT object_id AS group_id, radius, round(value, 6) AS value FROM profile"))(lambda sp, d: _round(_stack(sp, d, "CAP"), "value"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators.filters import Geometry
-
 BASE = """
 particles AS (SELECT l_orderkey * 10 + l_linenumber AS particle_id,
   CASE WHEN l_returnflag = 'A' THEN 'gas' WHEN l_returnflag = 'N' THEN 'DM' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'Stars' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'BH' END AS ptype,
@@ -46,10 +44,11 @@ def numbers(values) -> str:
 
 
 def stencil(filter_type: str, radii: np.ndarray, per_unit: float) -> str:
-    """pixel (di, dj, r) and radius tables."""
-    g = Geometry.of(filter_type, radii, per_unit)
-    return f"""pixel AS (SELECT a.d::INT AS di, b.d::INT AS dj, sqrt((a.d * a.d + b.d * b.d)::DOUBLE) * {g.step!r}::DOUBLE AS r
-  FROM (SELECT unnest(range(-{g.half}, {g.half + 1})) AS d) a, (SELECT unnest(range(-{g.half}, {g.half + 1})) AS d) b),
+    """pixel (di, dj, r) and radius tables, from the square's reach in radius units and in pixels."""
+    reach = f"{'ceil(sqrt(2.0::DOUBLE) * ' if filter_type == 'CAP' else 'floor('}{float(max(radii))!r}::DOUBLE) + 1"
+    return f"""square AS (SELECT {reach} AS reach, round_even(({reach}) * {per_unit!r}::DOUBLE, 0)::INT AS half),
+pixel AS (SELECT a.d::INT AS di, b.d::INT AS dj, sqrt((a.d * a.d + b.d * b.d)::DOUBLE) * (reach / half) AS r
+  FROM (SELECT unnest(range(-half, half + 1)) AS d FROM square) a, (SELECT unnest(range(-half, half + 1)) AS d FROM square) b, square),
 radii AS (SELECT * FROM (VALUES {numbers(radii)}) t(radius))"""
 
 
@@ -57,14 +56,14 @@ def _share(inside: str) -> str:
     return f"CASE WHEN {inside} THEN 1.0 / sum(({inside})::INT) OVER (PARTITION BY radius) ELSE 0.0 END"
 
 
-def filter_weights(filter_type: str, dr: float = 0.0) -> str:
-    """w (radius, di, dj, w) from pixel and radii, each by the filter's own definition."""
+def filter_weights(filter_type: str, dr: float = 0.0, area: float = 1.0) -> str:
+    """w (radius, di, dj, w) from pixel and radii, each by the filter's own definition; an excess is over a pixel's area."""
     ring = "r > radius AND r <= sqrt(2.0::DOUBLE) * radius"
     count = lambda c: f"sum(({c})::INT) OVER (PARTITION BY radius)"
     core = {"CAP": "r <= radius", "ringring": "r > 1.0 AND r <= radius"}.get(filter_type, "")
     made = {
         "cumulative": "CASE WHEN r < radius THEN 1.0 ELSE 0.0 END",
-        "DSigma": f"{_share('r < radius')} - {_share(f'r >= radius AND r < radius + {dr!r}')}",
+        "DSigma": f"({_share('r < radius')} - {_share(f'r >= radius AND r < radius + {dr!r}')}) / {area!r}::DOUBLE",
         "upsilon": f"{_share('r < radius')} - {_share('r >= radius AND r < radius + 0.5')} - power(1.0 / radius, 2) * ({_share('r < 1.0')} - {_share('r >= 1.0 AND r < 1.5')})",
         "DSigma_area": f"CASE WHEN r < radius THEN 1.0 / (pi() * radius * radius) WHEN r < radius + {dr!r} THEN -1.0 / (pi() * (power(radius + {dr!r}, 2) - radius * radius)) ELSE 0.0 END",
     }.get(filter_type) or f"CASE WHEN {core} THEN 1.0 WHEN {ring} THEN -({count(core)})::DOUBLE / {count(ring)} ELSE 0.0 END"
