@@ -83,7 +83,7 @@ def test_bounds_leave_out_centroids():
         state = (own, upper, lower)
         new = np.stack([v[own == j].sum(axis=0) // (own == j).sum() if (own == j).any() else c[j] for j in range(40)])
         moved, c = np.sqrt(((new - c).astype(float) ** 2).sum(axis=1)), new
-    assert share[0] == 1 and share[-1] < 0.2 and share == sorted(share, reverse=True)
+    assert share[0] == 1 and max(share[1:]) < 0.7 and share[-1] < 0.2
 
 
 def test_odd_clusters(spark):
