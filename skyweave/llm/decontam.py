@@ -29,6 +29,8 @@ WINDOW = 50
 MIN_MATCH = 0.8
 #: Bytes of benchmark text in one broadcast block. A larger benchmark takes more blocks, each a pass over the documents.
 BLOCK_BYTES = 8 << 20
+#: Pairs of a seed in a text and one in an item that are laid out at a time.
+PAIRS = 1 << 18
 _BITS = 24
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -105,21 +107,33 @@ def _hits(x: dict, texts: list[bytes | None], window: int, min_match: float) ->
     bits = np.unpackbits(x["bits"]).astype(bool)
     words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
+    first = ends - counts
     doc_of = np.repeat(np.arange(len(texts)), counts)
-    hits = []
+    n_items, longest = len(x["n"]), int(x["n"].max(initial=0))
+    span = int(counts.max(initial=0)) + longest + 1
+    if len(texts) * n_items * span >= 2**63:
+        raise OverflowError("too many texts, items and words at once")
+    found = np.zeros(0, np.int64)  # (text, item, diagonal), each once
     for m in x["masks"]:
         s = _seeds(words, m)
         at = np.flatnonzero(bits[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
         at = at[doc_of[at] == doc_of[at + len(m) - 1]]
-        lo, hi = np.searchsorted(x["seed"], s[at], "left"), np.searchsorted(x["seed"], s[at], "right")
-        n = hi - lo
-        at = np.repeat(at, n)
-        k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(at))
-        d = doc_of[at]
-        hits.append(np.stack([d, x["item"][k], at - (ends - counts)[d] - x["at"][k]], 1))
-    for d, i, diagonal in np.unique(np.concatenate(hits), axis=0).tolist() if hits else ():
+        lo = np.searchsorted(x["seed"], s[at], "left")
+        n = np.searchsorted(x["seed"], s[at], "right") - lo
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        upto = np.cumsum(n)
+        edges = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]) if len(upto) else 0, PAIRS))).tolist() + [len(n)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):  # text that repeats an item's seeds has very many pairs of few diagonals
+            each = np.repeat(np.arange(i, j), n[i:j])
+            k = lo[each] + np.arange(len(each)) - (upto[each] - n[each] - (upto[i] - n[i]))
+            d = doc_of[at[each]]
+            found = np.union1d(found, (d * n_items + x["item"][k]) * span + (at[each] - first[d] - x["at"][k] + longest))
+    for key in found.tolist():
+        pair, diagonal = divmod(key, span)
+        d, i = divmod(pair, n_items)
+        diagonal -= longest
         item = x["words"][x["start"][i] : x["start"][i] + x["n"][i]]
-        got, at, length = _best_window(words[ends[d] - counts[d] : ends[d]], item, diagonal, window)
+        got, at, length = _best_window(words[first[d] : ends[d]], item, diagonal, window)
         if got >= min_match * length:
             yield d, int(x["id"][i]), diagonal + at, at, length, got
 

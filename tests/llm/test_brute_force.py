@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force, exact round trips or held-out accuracy."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -116,6 +117,22 @@ def test_decontamination_of_short_items(spark):
         assert got == {(i, j) for i, w in enumerate(docs) for j, x in items.items() if overlapping(w, x) >= least}
 
 
+@pytest.mark.parametrize("doc,item", [("buy now " * 10_000, "buy now " * 25), ("one " * 20_000, "one " * 200)])
+def test_decontamination_of_repeated_words(doc, item):
+    """Every alignment is found, and memory doesn't grow with the pairs of equal seeds."""
+    index = decontam._index([(5, item.encode())], decontam.WINDOW, decontam.MIN_MATCH)
+    tracemalloc.start()
+    got = list(decontam._hits(index, [b"nothing here", doc.encode()], decontam.WINDOW, decontam.MIN_MATCH))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words, mine = doc.split(), item.split()
+    step, n = (2 if words[0] != words[1] else 1), len(mine)
+    # a window of 50 that agrees in 40 tokens at least: the item's alignments reach over both ends of the text
+    reach = [k for k in range(-n, len(words)) if (k % step == 0) and min(n, len(words) - k) - max(0, -k) >= 40]
+    assert len(got) == len(reach) and {x[:2] for x in got} == {(1, 5)} and all(x[4] == 50 and x[5] >= 40 for x in got)
+    assert peak < 200 << 20
+
+
 def test_decontamination_ignores_case(spark):
     items = ["ñandú élan ciónmiírr über straße ça où señal", "быстрая лиса прыгает через ленивую собаку", "ο μικρός πρίγκιπας ζει στον αστεροειδή του"]
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
