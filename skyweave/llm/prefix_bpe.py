@@ -310,26 +310,18 @@ class Merges:
         return self.lists
 
 
-class Words(Pieces):
-    """A worker's vocabulary, and the words whose ids it remembers."""
+class Names:
+    """The strings of a vocabulary's tokens, which decoding joins; other tokenizers' own decoders are the library's."""
 
     def __init__(self, path: str) -> None:
-        super().__init__(path)
         with open(path, encoding="utf-8") as f:
             description = json.load(f)
-        self.merges = Merges(description["model"])
-        added = {x["content"]: x for x in description.get("added_tokens") or ()}
-        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added.values()):
-            raise ValueError("added tokens must stand for just their own string")
-        self.added = {k.encode(): x["id"] for k, x in added.items()}
-        before = (description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
-        self.plain = (description.get("normalizer") or {}).get("normalizers") == _NORMAL and [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0].get("pattern") == {"Regex": _SPLIT}
-        self.known: dict = {}
-        self.piece_ids, self.piece_at = _Pool(np.uint32), _Pool(np.int64, np.int64)
-        self._strings(description["model"]["vocab"] | {k: x["id"] for k, x in added.items()}, description.get("decoder"))
+        vocab = description["model"]["vocab"] | {x["content"]: x["id"] for x in description.get("added_tokens") or ()}
+        self.t = None
+        if description.get("decoder") is not None:
+            from tokenizers import Tokenizer
 
-    def _strings(self, vocab: dict[str, int], decoder) -> None:
-        self.joined = decoder is None
+            self.t = Tokenizer.from_file(path)
         names = [b""] * (max(vocab.values()) + 1)
         for k, i in vocab.items():
             names[i] = k.encode() + b" "
@@ -339,7 +331,7 @@ class Words(Pieces):
     def texts_of(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The texts of some documents' ids side by side, of which each has ``n``; unknown ids are left out."""
         edges = np.concatenate(([0], np.cumsum(n)))
-        if not self.joined:
+        if self.t is not None:
             return [self.t.decode(ids[i:j].tolist(), skip_special_tokens=False).encode() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         known = ids < len(self.name_size)
         size = np.where(known, self.name_size.take(ids, mode="clip"), 0)
@@ -347,6 +339,24 @@ class Words(Pieces):
         at = np.concatenate(([0], np.cumsum(size)))[edges]
         return [text[i : j - 1] if j > i else b"" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
+
+class Words(Pieces):
+    """A worker's vocabulary, and the words whose ids it remembers."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            description = json.load(f)
+        self.merges = Merges(description["model"])
+        added = {x["content"]: x for x in description.get("added_tokens") or ()}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added.values()):
+            raise ValueError("added tokens must stand for just their own string")
+        self.added = {k.encode(): x["id"] for k, x in added.items()}
+        before = (description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.plain = (description.get("normalizer") or {}).get("normalizers") == _NORMAL and [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0].get("pattern") == {"Regex": _SPLIT}
+        self.known: dict = {}
+        self.piece_ids, self.piece_at = _Pool(np.uint32), _Pool(np.int64, np.int64)
+
     def ids_of(self, b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(b):
             return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
@@ -450,13 +460,14 @@ class Words(Pieces):
         return [bytes([_BYTE[c] for c in p]) for p, _ in self.t.pre_tokenizer.pre_tokenize_str(text) if p]
 
 
-_WORKER: dict[str, Words] = {}
+_WORKER: dict = {}
 
 
-def _words(path: str) -> Words:
-    if path not in _WORKER:
-        _WORKER[path] = Words(path)
-    return _WORKER[path]
+def _held(kind, path: str):
+    """A worker's ``Words`` or ``Names``."""
+    if (kind, path) not in _WORKER:
+        _WORKER[kind, path] = kind(path)
+    return _WORKER[kind, path]
 
 
 def _appended(df: DataFrame, source: str, out: list[T.StructField], fn, keep: list[str] | None) -> DataFrame:
@@ -484,7 +495,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: l
     """
 
     def ids(texts: pa.Array) -> list[pa.Array]:
-        found, n = _words(tokenizer_path).ids_of(*_bytes(texts))
+        found, n = _held(Words, tokenizer_path).ids_of(*_bytes(texts))
         raw, edges = found.astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(n)))
         return [pa.array(n, pa.int64()), pa.array([raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())]
 
@@ -496,6 +507,6 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: lis
 
     def texts(column: pa.Array) -> list[pa.Array]:
         b, edges = _bytes(column)
-        return [pa.array(_words(tokenizer_path).texts_of(np.frombuffer(b.tobytes(), "<u4"), np.diff(edges) // 4), pa.binary()).cast(pa.string())]
+        return [pa.array(_held(Names, tokenizer_path).texts_of(np.frombuffer(b.tobytes(), "<u4"), np.diff(edges) // 4), pa.binary()).cast(pa.string())]
 
     return _appended(rows, ids_col, [T.StructField("decoded", T.StringType())], texts, keep)

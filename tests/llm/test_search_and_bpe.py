@@ -142,7 +142,7 @@ def test_digests_of_the_query(spark):
 
 def test_apart_is_what_merging_pair_by_pair_gives():
     """Tokens stay apart if merging the lowest pair again and again gives them back."""
-    m = prefix_bpe._words(WORD).merges
+    m = prefix_bpe._held(prefix_bpe.Words, WORD).merges
     r = random.Random(6)
     spelled = m.size > 0
     tokens = [t for t in range(m.n) if spelled[t] and m.size[t] < 6]
