@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, stored
 
 def mean_profile(profiles: DataFrame, value: str = "value", by: tuple = ("radius",)) -> DataFrame:
     """Mean and standard error (population deviation over root n)."""
@@ -34,10 +35,54 @@ def double_ratio(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame) -> Data
     return rows.select("radius", r.alias("ratio"), (F.abs(r) * F.sqrt(sum((_relative(f"m{i}", f"e{i}") for i in range(1, 4)), _relative("m0", "e0")))).alias("err"))
 
 
+#: Ranges that a group's values are cut into at a time, and rows of a range that one task may sort.
+RANGES, RANGE_ROWS = 64, 1 << 17
+#: Groups whose ranges are broadcast.
+TOLD_GROUPS = 1 << 12
+
+
+def quantiles(rows: DataFrame, probabilities: list[float], value: str = "value", by: tuple = ("radius",)) -> DataFrame:
+    """(by, q): exact quantiles of each group by linear interpolation, as an array; null values don't count.
+
+    Values are counted by ranges, and only the ranges that hold a wanted place are looked at again, cut finer as long as
+    one has more than RANGE_ROWS rows of different values. No task has all rows of a group, however large.
+    """
+    keys = list(by)
+    left = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.lit(0).cast("long").alias("range"))
+    # the places of a group's quantiles, from 0: two each, between which it is interpolated
+    number = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    at = (F.col("n") - 1) * F.col("p")
+    wanted = number.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    wanted = stored(wanted.select(*keys, "p", "side", F.lit(0).cast("long").alias("range"), F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at)).cast("long").alias("place"), (at - F.floor(at)).alias("share")))
+    told = F.broadcast if wanted.count() <= 2 * len(probabilities) * TOLD_GROUPS else (lambda x: x)
+    while True:
+        cuts = [(i + 1) / RANGES for i in range(RANGES - 1)]
+        about = stored(left.groupBy(*keys, "range").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", cuts, RANGES * 100).alias("cuts")))
+        largest = about.where("low < high").agg(F.max("n")).first()[0] or 0
+        if largest <= RANGE_ROWS:
+            break
+        # a cut's own value is a range of its own, so that every range of different values becomes smaller
+        finer = left.join(told(about.select(*keys, "range", "cuts")), [*keys, "range"]).select(*keys, "v", "range", (F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.size(F.filter("cuts", lambda c: c <= F.col("v")))).alias("finer"))
+        before = Window.partitionBy(*keys, "range").orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)
+        counted = finer.groupBy(*keys, "range", "finer").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        inside = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))
+        held = counted.join(told(wanted), [*keys, "range"]).where(inside).withColumn("next", F.dense_rank().over(Window.partitionBy(*keys).orderBy("range", "finer")).cast("long"))
+        held = stored(held.select(*keys, "range", "finer", "next", "p", "side", (F.col("place") - F.col("before")).alias("place"), "share"))
+        wanted = held.select(*keys, F.col("next").alias("range"), "p", "side", "place", "share")
+        few = finer.join(told(held.select(*keys, "range", "finer", "next").distinct()), [*keys, "range", "finer"])
+        old, left = left, stored(few.select(*keys, "v", F.col("next").alias("range")))
+        discard(old)
+    upto = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    each = left.groupBy(*keys, "range", "v").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(upto))
+    found = each.join(told(wanted), [*keys, "range"]).where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("n")))
+    low, high = (F.max(F.when(F.col("side") == x, F.col("v"))) for x in (0, 1))
+    one = found.groupBy(*keys, "p").agg(low.alias("low"), high.alias("high"), F.max("share").alias("share")).withColumn("q", F.when(F.col("share") == 0, F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("share")))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "q"))).alias("m")).select(*keys, F.array(*[F.col("m")[F.lit(float(p))] for p in probabilities]).alias("q"))
+
+
 def quartiles(profiles: DataFrame, value: str = "value", by: tuple = ("radius",)) -> DataFrame:
     """Exact quartiles with linear interpolation."""
-    p = profiles.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return p.select(*by, F.col("p")[0].alias("q25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q75"))
+    return quantiles(profiles, [0.25, 0.5, 0.75], value, by).select(*by, F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
 def composition(means: DataFrame) -> DataFrame:

@@ -192,8 +192,8 @@ _SPHERE = f"""sphere AS (SELECT c.group_id, e.radius, coalesce(sum(f.value), 0.0
 query("sphere_profile_3d", s.q(s.massive(TARGET, UPPER), _F3, _SPHERE, "SELECT group_id, radius, value FROM sphere"))(lambda sp, d: stack.sphere_profiles(_f3(sp, d), _chosen(sp, d), 32, H.box, _EDGES, UNIT))
 query("shell_profile_3d", s.q(s.massive(TARGET, UPPER), _F3, _SPHERE, 'SELECT group_id, radius AS "inner", o AS "outer", v - value AS value FROM (SELECT *, lead(radius) OVER w AS o, lead(value) OVER w AS v FROM sphere WINDOW w AS (PARTITION BY group_id ORDER BY radius)) WHERE o IS NOT NULL'))(lambda sp, d: stack.shell_profile(stack.sphere_profiles(_f3(sp, d), _chosen(sp, d), 32, H.box, _EDGES, UNIT)))
 _DIST = " + ".join(f"power({x} - pos_{x} - 102400.0 * round_even(({x} - pos_{x}) / 102400.0, 0), 2)" for x in "xyz")
-query("min_image_sphere", s.q(s.massive(9.3e13, UPPER), f"SELECT c.group_id, count(p.mass)::BIGINT AS n, coalesce(sum(p.mass), 0.0) AS mass FROM chosen c LEFT JOIN particles p ON {_DIST} < power(group_rad * 4, 2) GROUP BY c.group_id"))(
-    lambda sp, d: masks.particles_in_spheres(_p(sp, d), selection.massive(_h(sp, d), 9.3e13, UPPER), H.box, F.col("group_rad") * 4, 12)
+query("min_image_sphere", s.q(s.massive(TARGET, UPPER), f"SELECT c.group_id, count(p.mass)::BIGINT AS n, coalesce(sum(p.mass), 0.0) AS mass FROM chosen c LEFT JOIN particles p ON {_DIST} < power(group_rad * 4, 2) GROUP BY c.group_id"))(
+    lambda sp, d: masks.particles_in_spheres(_p(sp, d), _chosen(sp, d), H.box, F.col("group_rad") * 4, 12)
 )
 
 # ---------------------------------------------------------------- stacks
