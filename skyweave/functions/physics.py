@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as k
-from .cosmology import PLANCK18, Flat
+from .cosmology import PLANCK18, Flat, arcmin_to_comoving
 
 AXES = {"xy": ("x", "y"), "xz": ("x", "z"), "yz": ("y", "z")}
 LINE_OF_SIGHT = {"xy": "z", "xz": "y", "yz": "x"}

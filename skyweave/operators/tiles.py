@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Cells of a tile, unless a single line has more.
 TILE_CELLS = 1 << 17
 #: Planes of up to so many cells are transformed along both axes at once.
@@ -162,11 +164,14 @@ def _cut(out: Tiles, low: list[int], a: np.ndarray) -> Iterator[tuple]:
         yield int(np.ravel_multi_index(block, out.blocks)) if block else 0, lo, list(part.shape), np.ascontiguousarray(part, out.dtype).tobytes()
 
 
-def filled(cells: DataFrame, shape: tuple, value: str = "value", whole: int = 1) -> Tiles:
+def filled(cells: DataFrame, shape: tuple, value: str = "value", whole: int | None = None) -> Tiles:
     """Tiles of a sparse grid (i, j[, k], value) with a row for each cell; absent cells are 0.
 
+    Tiles of cubes are whole along the last two axes, if such a plane is small, and along the last one otherwise.
+
     Cells go to their tiles as two numbers, and are put in their places tile by tile.
     """
+    whole = whole or (2 if len(shape) == 3 and shape[1] * shape[2] <= PLANE_CELLS else 1)
     out = layout(shape, whole=whole)
     names, lead = out.axes, len(out.sides)
     tile, at = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -266,6 +271,11 @@ def projected(t: Tiles, axis: str) -> Tiles:
     return _assembled(t.rows.mapInArrow(_each(bare, make, ["tile", "at", "size", "data"]), _PIECE), out)
 
 
+def kept(t: Tiles) -> Tiles:
+    """The same tiles, written and read again: for grids that are used more than once."""
+    return replace(t, rows=stored(t.rows))
+
+
 # ---------------------------------------------------------------- transforms
 
 
@@ -366,6 +376,23 @@ def power(one: Tiles, two: Tiles | None, box: float, edges: list[float] | None =
     return found.select("bin", (F.col("k") / F.col("n")).alias("k"), (F.col("p") / F.col("n")).alias("p"), F.col("n").cast("long").alias("n_modes"))
 
 
+def correlation(one: Tiles, two: Tiles | None, box: float) -> DataFrame:
+    """(bin, r, xi): the inverse transform of the power of half spectra, averaged in shells of a cell's width."""
+    n = one.halved[1]
+    prod_ = mapped(one, lambda _, __, a: np.abs(a) ** 2 / n**3) if two is None else paired(one, two, lambda _, __, a, b: a * np.conj(b) / n**3)
+
+    def sums(t: Tiles, tile: int, a: np.ndarray) -> dict:
+        d = [np.where(2 * p < n, p, p - n) for p in t.places(tile)]
+        r = np.broadcast_to(np.sqrt(sum(x * x for x in d)), a.shape).ravel()
+        number = np.rint(r).astype(int)
+        some = np.unique(number)
+        total = lambda w: np.bincount(number, w)[some]
+        return {"bin": some.astype(np.int32), "r": total(r), "xi": total(a.ravel()), "n": total(np.ones(a.size))}
+
+    found = reduced(inverse(prod_), sums, "bin int, r double, xi double, n double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("r", "xi", "n")])
+    return found.select("bin", (F.col("r") / F.col("n") * F.lit(box / n)).alias("r"), (F.col("xi") / F.col("n")).alias("xi"))
+
+
 def smoothed(t: Tiles, kernel: np.ndarray) -> Tiles:
     """A 2D grid under the same periodic kernel along both axes."""
     n, line = len(kernel), np.fft.rfft(kernel)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..functions.cosmology import comoving_to_arcmin
-from ..operators import beam, filters, grid, masks, selection, spectra, stats
+from ..operators import beam, filters, grid, masks, selection, stats, tiles
 from ..sources import cells
 from ..sources.fixtures import HEADER as H
 from ..sources.scratch import scratch
@@ -133,10 +133,18 @@ def _region(spark: SparkSession, d: str) -> DataFrame:
 query("cell_pruned_sphere", s.q(f"SELECT ptype, count(*)::BIGINT AS n, sum(mass) AS mass FROM particles WHERE ptype IS NOT NULL AND {_NEAR} < {_REACH**2!r} GROUP BY ptype"))(_region)
 
 
-@query("masked_pk")
+_MASKED_N = 16
+
+
 def _masked_pk(spark: SparkSession, d: str) -> DataFrame:
     """The spectrum of what lies around massive halos, as an overdensity of the masked field."""
-    n = 16
+    n = _MASKED_N
     near = masks.masked(grid.nearest_grid_3d(_p(spark, d).where("ptype IS NOT NULL"), F.col("mass"), H.box, n), masks.centre_cells(_chosen(spark, d), H.box, n, F.col("group_rad") * 8), n)
-    mean = near.agg((F.sum("value") / F.lit(float(n**3))).alias("m"))
-    return spectra.power(spectra.fft(near.crossJoin(mean).select("i", "j", "k", (F.col("value") / F.col("m")).alias("value")), n), None, n, H.box / 1e3, mas=False)
+    modes = tiles.transform(tiles.overdensity(tiles.kept(tiles.filled(near, (n, n, n)))))
+    return _round(_round(tiles.power(modes, None, H.box / 1e3, mas=False), "k", digits=9), "p")
+
+
+_BALL16 = """centres AS (SELECT round_even(pos_x / 6400.0, 0)::INT AS ci, round_even(pos_y / 6400.0, 0)::INT AS cj, round_even(pos_z / 6400.0, 0)::INT AS ck, group_rad * 8 / 6400.0 AS r FROM chosen),
+ball AS (SELECT DISTINCT (((ci + di) % 16 + 16) % 16)::INT AS i, (((cj + dj) % 16 + 16) % 16)::INT AS j, (((ck + dk) % 16 + 16) % 16)::INT AS k FROM centres, off WHERE di * di + dj * dj + dk * dk <= r * r)"""
+_NEAR16 = f"near AS (SELECT {s.bin_of('x', 16)} AS i, {s.bin_of('y', 16)} AS j, {s.bin_of('z', 16)} AS k, sum(mass) AS value FROM particles WHERE ptype IS NOT NULL GROUP BY ALL), inside AS (SELECT * FROM near WHERE (i, j, k) IN (SELECT (i, j, k) FROM ball)), f_near AS (SELECT i, j, k, value / (SELECT sum(value) / 4096.0 FROM inside) AS re, 0.0::DOUBLE AS im FROM inside)"
+query("masked_pk", s.q(s.massive(TARGET, UPPER), _OFF, _BALL16, _NEAR16, s.dft("f_near", "t_near", 16), s.power("t_near", "t_near", "pk", 16, H.box / 1e3, mas=False), "SELECT bin, round(k, 9) AS k, round(p, 6) AS p, n_modes FROM pk"))(_masked_pk)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import constants as k
 from ..functions import physics
 from ..functions.cosmology import Flat, map_pixels
-from ..operators import beam, filters, grid, masks, selection, spectra, stack, stats
+from ..operators import beam, filters, grid, masks, selection, spectra, stack, stats, tiles
 from ..sources import fixtures, suites
 from ..sources.fixtures import HEADER as H
 from ..sources.scratch import stored
 from . import sql as s
+from .facade import Simulation
 
 FLAGSHIP = "cap_stack_gas"
 _QUERIES: dict = {}
@@ -144,7 +145,7 @@ query("field_hist_exclusive", s.q(f"SELECT {s.bin_of('x')} AS i, {s.bin_of('y')}
 
 def _tsc_sql(dims: str, n: int, ptype: str) -> str:
     axis = lambda d, c: f"{c} AS (SELECT * EXCLUDE (s), ((((round_even({d} / 102400.0 * {n}, 0)::INT + s) % {n}) + {n}) % {n})::INT AS c{d}, CASE s WHEN 0 THEN 0.75 - power(g, 2) WHEN -1 THEN 0.5 * power(0.5 + g, 2) ELSE 0.5 * power(0.5 - g, 2) END AS w{d} FROM (SELECT p.*, s.s, round_even({d} / 102400.0 * {n}, 0) - {d} / 102400.0 * {n} AS g FROM {{}} p, (SELECT unnest([-1, 0, 1]) AS s) s))"
-    parts, source = [f"own AS (SELECT x, y, z, mass FROM particles WHERE ptype = '{ptype}')"], "own"
+    parts, source = [f"own AS (SELECT x, y, z, mass FROM particles WHERE ptype IN {s.TYPES.get(ptype, f"('{ptype}')")})"], "own"
     for d in dims:
         parts.append(axis(d, f"t{d}").format(source).replace("EXCLUDE (s)", "EXCLUDE (s, g)"))
         source = f"t{d}"
@@ -165,6 +166,9 @@ query("los_projection", s.q(_F3, "SELECT i, k AS j, sum(value) AS value FROM fie
 _DENSE = "cells AS (SELECT a.i::INT AS i, b.i::INT AS j FROM (SELECT unnest(range(64)) AS i) a, (SELECT unnest(range(64)) AS i) b), filled AS (SELECT c.i, c.j, coalesce(value, 0.0) AS value FROM cells c LEFT JOIN field f ON c.i = f.i AND c.j = f.j)"
 query("mean_subtract", s.q(s.field("gas"), _DENSE, "SELECT i, j, round(value - (SELECT sum(value) / 4096.0 FROM field), 6) AS value FROM filled"))(lambda sp, d: _round(grid.subtract_mean(grid.field(_p(sp, d), "gas", H, unit=1.0), H.n), "value"))
 query("overdensity", s.q(s.field("DM"), _DENSE, "SELECT i, j, round(value / (SELECT sum(value) / 4096.0 FROM field) - 1, 6) AS value FROM filled"))(lambda sp, d: _round(grid.overdensity(grid.field(_p(sp, d), "DM", H, unit=1.0), H.n), "value"))
+# the same grids as tiles
+query("los_projection_tiles", s.q(_F3, "SELECT i, k AS j, sum(value) AS value FROM field3 GROUP BY i, k"))(lambda sp, d: tiles.cells(tiles.projected(tiles.filled(_f3(sp, d), (32, 32, 32)), "j"), keep=lambda a: a != 0).withColumnRenamed("k", "j"))
+query("overdensity_tiles", s.q(s.field("DM"), _DENSE, "SELECT i, j, round(value / (SELECT sum(value) / 4096.0 FROM field) - 1, 6) AS value FROM filled"))(lambda sp, d: _round(tiles.cells(tiles.overdensity(tiles.kept(tiles.filled(grid.field(_p(sp, d), "DM", H, unit=1.0), (H.n, H.n))))), "value"))
 query("star_fraction", s.q("SELECT sum(mass) FILTER (WHERE ptype = 'Stars') AS stars, sum(mass) FILTER (WHERE ptype <> 'DM') AS baryons, round(sum(mass) FILTER (WHERE ptype = 'Stars') / sum(mass) FILTER (WHERE ptype <> 'DM'), 9) AS fraction FROM particles"))(lambda sp, d: _round(grid.star_fraction(_p(sp, d)), "fraction", digits=9))
 
 # ---------------------------------------------------------------- masks
@@ -322,21 +326,64 @@ def _beam_sql(final: str) -> str:
 
 
 query("map_beam", _beam_sql("SELECT i, j, round(value, 6) AS value FROM map"))(lambda sp, d: _round(beam.convolve(grid.field(_p(sp, d), "gas", H, 32, unit=1.0), _BEAM), "value"))
+query("map_beam_tiles", _beam_sql("SELECT i, j, round(value, 6) AS value FROM map"))(lambda sp, d: _round(tiles.cells(tiles.smoothed(tiles.filled(grid.field(_p(sp, d), "gas", H, 32, unit=1.0), (32, 32)), _BEAM)), "value"))
 _UK = k.T_CMB * 1e6 * k.V_OVER_C * 0.5**2
 query("map_tau_uk_stack", s.q(s.massive(TARGET, UPPER), s.field("gas", value=_SZ["tau"][0]), s.stencil("CAP", RADII, _PER), s.filter_weights("CAP"), s.profile(), f"SELECT radius, round(avg(value) * {_UK!r}::DOUBLE, 6) AS mean FROM profile GROUP BY radius"))(
     lambda sp, d: stats.mean_profile(stack.profiles(grid.field(_p(sp, d), "tau", H), _chosen(sp, d), H.n, H.box, "CAP", RADII, UNIT)).select("radius", F.round(physics.tau_to_microkelvin(F.col("mean"), 0.5), 6).alias("mean"))
 )
 
 
-@query("map_angular_stack")
+_ANGLES = np.linspace(4.2, 16.2, 4)
+
+
 def _angular(spark: SparkSession, d: str) -> DataFrame:
     """A beamed angular map at its own pixel count, stacked in arcminutes."""
     f = grid.field(_p(spark, d), "tau", H, _MAP_N)
     m = beam.beamed_map(f, _MAP_N, 6.0, _MAP_PIXEL)
     arcmin = H.box / (_MAP_N * _MAP_PIXEL)  # length of one arcminute
-    got = stack.profiles(m, _chosen(spark, d), _MAP_N, H.box, "CAP", np.linspace(4.2, 16.2, 4), arcmin)
-    return stats.mean_profile(got).withColumn("mean", physics.tau_to_microkelvin(F.col("mean"), 4.0))
+    got = stack.profiles(m, _chosen(spark, d), _MAP_N, H.box, "CAP", _ANGLES, arcmin)
+    return _round(stats.mean_profile(got).withColumns({c: physics.tau_to_microkelvin(F.col(c), 4.0) for c in ("mean", "err")}), "mean", "err")
+
+
+_TAU_N = _SZ["tau"][0].replace(repr((k.KPC_CM / H.h) ** 3 / physics.pixel_area_cm2(H.box, H.n, H.h, H.a)), repr((k.KPC_CM / H.h) ** 3 / physics.pixel_area_cm2(H.box, _MAP_N, H.h, H.a)))
+_SKY = (s.comoving(H.h, H.omega_m, H.z), f"sky AS (SELECT degrees({H.box!r}::DOUBLE / {H.h!r}::DOUBLE / 1000 / mpc) * 60 AS theta FROM distance)")
+_WINDOW = f"kern AS (SELECT d, sum(cos(2 * pi() * m * d / {_MAP_N}) * exp(-0.5 * 36 * power(2 * pi() * least(m, {_MAP_N} - m) / theta, 2) / (8 * ln(2)))) / {_MAP_N} AS w FROM sky, (SELECT unnest(range({_MAP_N})) AS m), (SELECT unnest(range({_MAP_N})) AS d) GROUP BY d)"
+_BEAMED = [f"{out} AS (SELECT (({a} + d) % {_MAP_N})::INT AS {a}, {b}, sum(value * w) AS value FROM {src}, kern GROUP BY ({a} + d) % {_MAP_N}, {b})" for a, b, src, out in (("i", "j", "field", "half"), ("j", "i", "half", "map"))]
+_MEAN_UK = f"SELECT radius, round(avg(value) * {k.T_CMB * 1e6 * k.V_OVER_C * 4.0**2!r}::DOUBLE, 6) AS mean, round(stddev_pop(value) / sqrt(count(value)) * {k.T_CMB * 1e6 * k.V_OVER_C * 4.0**2!r}::DOUBLE, 6) AS err, count(value)::BIGINT AS n FROM profile GROUP BY radius"
+query("map_angular_stack", s.q(s.massive(TARGET, UPPER), *_SKY, s.field("gas", value=_TAU_N, n=_MAP_N), _WINDOW, *_BEAMED, s.stencil("CAP", _ANGLES, f"({_MAP_N} / (SELECT theta FROM sky))"), s.filter_weights("CAP"), s.profile(source="map", n=_MAP_N, cell=H.box / _MAP_N), _MEAN_UK))(_angular)
+
+
+def _simulation(spark: SparkSession, d: str) -> Simulation:
+    return Simulation(_p(spark, d), _h(spark, d), _sub(spark, d), H)
+
+
+def _excess_map(spark: SparkSession, d: str, way: str | None = None) -> DataFrame:
+    """Excess surface density of an angular map of all matter, in arcminutes: a ring of 0.75, over a true pixel's area."""
+    got = _simulation(spark, d).stack_map("total", "DSigma", _ANGLES, pixel=4.0, beam_arcmin=None, load=False, way=way, mean_mass=TARGET, upper=UPPER)
+    return _round(stats.mean_profile(got.withColumn("value", F.col("value") / F.lit(1e10))), "mean", "err")
+
+
+_TOTAL_N = f"field AS (SELECT {s.bin_of('x', _MAP_N)} AS i, {s.bin_of('y', _MAP_N)} AS j, sum(mass) AS value FROM particles WHERE ptype IN {s.TYPES['total']} GROUP BY ALL)"
+_RING = "((w.w) / (SELECT power(theta / " + str(_MAP_N) + ", 2) FROM sky))"
+_EXCESS_SQL = s.q(s.massive(TARGET, UPPER), *_SKY, _TOTAL_N, s.stencil("DSigma", _ANGLES, f"({_MAP_N} / (SELECT theta FROM sky))"), s.filter_weights("DSigma", 0.75), s.profile(n=_MAP_N, cell=H.box / _MAP_N).replace("w.w,", f"{_RING} AS w,"), s.MEAN_SE)
+query("dsigma_map_stack", _EXCESS_SQL)(_excess_map)
+query("dsigma_map_stack_by_maps", _EXCESS_SQL)(lambda sp, d: _excess_map(sp, d, "maps"))
+
+_RUN_RADII = np.linspace(4.2, 20.2, 5)
+_RUN_EDGES, _RUN_PIXEL = physics.running_bins(_RUN_RADII, H.z, 4.0, _COSMO)
+
+
+def _running_map(spark: SparkSession, d: str) -> DataFrame:
+    """The running excess by the same entry as the other filters."""
+    got = _simulation(spark, d).stack_map("total", "DSigma_mccarthy", _RUN_RADII, pixel=4.0, beam_arcmin=None, load=False, mean_mass=TARGET, upper=UPPER)
+    return _round(stats.mean_profile(got.withColumn("value", F.col("value"))), "mean", "err")
+
 
+_ORDERED = f"(di + (SELECT half FROM square)) * (2 * (SELECT half FROM square) + 1) + dj + (SELECT half FROM square)"
+query("dsigma_running_map_stack", s.q(s.massive(TARGET, UPPER), *_SKY, _TOTAL_N, s.stencil("DSigma_mccarthy", _RUN_RADII, f"({_MAP_N} / (SELECT theta FROM sky))"), f"""cut AS (SELECT group_id AS object_id, r, tie, coalesce(value, 0.0) * 1e10::DOUBLE / {_RUN_PIXEL**2!r}::DOUBLE AS value FROM (
+  SELECT c.group_id, r, {_ORDERED} AS tie, (((round_even(pos_x / {H.box / _MAP_N!r}::DOUBLE, 0)::INT + di) % {_MAP_N}) + {_MAP_N}) % {_MAP_N} AS ii, (((round_even(pos_y / {H.box / _MAP_N!r}::DOUBLE, 0)::INT + dj) % {_MAP_N}) + {_MAP_N}) % {_MAP_N} AS jj FROM chosen c, pixel) x LEFT JOIN field f ON f.i = ii AND f.j = jj)""",
+    "d AS (SELECT object_id, r, avg(value) OVER (PARTITION BY object_id ORDER BY r, tie ROWS UNBOUNDED PRECEDING) - value AS d FROM cut)",
+    f"profile AS (SELECT object_id, radius, avg(d) AS value FROM d, (VALUES {', '.join(f'({r!r}::DOUBLE, {a!r}::DOUBLE, {b!r}::DOUBLE)' for r, a, b in zip(map(float, _RUN_RADII), map(float, _RUN_EDGES[:-1]), map(float, _RUN_EDGES[1:]), strict=True))}) b(radius, lo, hi) WHERE r >= lo AND r < hi GROUP BY ALL)", s.MEAN_SE))(_running_map)
 
 query("geomean_bins", "WITH RECURSIVE b AS (SELECT 0 AS i, 0.74::DOUBLE AS edge UNION ALL SELECT i + 1, power(1 + 0.625 * i, 2) / edge FROM b WHERE i < 9) SELECT i, round(edge, 9) AS edge FROM b")(
     lambda sp, d: sp.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(physics.geometric_edges(np.linspace(1, 6, 9), 0.74)[0])], "i int, edge double")
@@ -345,26 +392,52 @@ query("min_image_distance", s.q("SELECT group_id, CASE WHEN pos_x - 100000.0 >=
 query("sci_labels", s.q("SELECT group_id, regexp_replace(split_part(format('{:.2e}', group_rad), 'e', 1), '\\.?0+$', '') || 'e' || split_part(format('{:.2e}', group_rad), 'e', 2)::INT::VARCHAR AS label FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", physics.sci(F.col("group_rad")).alias("label")))
 query("ksz_from_delta_sigma", s.q(f"SELECT group_id, round(group_rad * 1e-3 * {-k.T_CMB * 300.0 * 1e3 / 299792458.0 * (0.04897 / 0.30966 * 6.6524587321e-29 / (k.MU_E_KSZ * 1.67262192369e-27)) * 1e6!r}::DOUBLE * 1e6, 6) AS dt FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", F.round(physics.ksz_from_delta_sigma(F.col("group_rad") * F.lit(1e-3), 0.5)["dT_muK"] * F.lit(1e6), 6).alias("dt")))
 
-_PK_N = 16
+_PK_N, _PK_BOX = 16, H.box / 1e3
 
 
-def _modes(spark: SparkSession, d: str, ptype: str) -> DataFrame:
-    g = stored(grid.tsc_grid(grid.of_type(_p(spark, d), ptype), F.col("mass"), H.box, _PK_N))  # read for its mean and its cells
-    mean = g.agg((F.sum("value") / F.lit(float(_PK_N**3))).alias("m"))
-    return spectra.fft(g.crossJoin(mean).select("i", "j", "k", (F.col("value") / F.col("m")).alias("value")), _PK_N)
+def _modes(spark: SparkSession, d: str, ptype: str) -> tiles.Tiles:
+    """The half spectrum of a type's overdensity, kept for the spectra that read it."""
+    g = grid.tsc_grid(grid.of_type(_p(spark, d), ptype), F.col("mass"), H.box, _PK_N)
+    return tiles.kept(tiles.transform(tiles.overdensity(tiles.kept(tiles.filled(g, (_PK_N,) * 3)))))
 
 
-query("pk_3d")(lambda sp, d: spectra.power(_modes(sp, d, "total"), None, _PK_N, H.box / 1e3))
-query("pk_suppression")(lambda sp, d: spectra.suppression(spectra.power(_modes(sp, d, "total"), None, _PK_N, H.box / 1e3), spectra.power(_modes(sp, d, "DM"), None, _PK_N, H.box / 1e3)))
+def _modes_sql(ptype: str) -> str:
+    """The same, as t_<ptype>, by plain sums."""
+    rows = _tsc_sql("xyz", _PK_N, ptype)
+    body = rows[rows.index("own AS (") :].rstrip()
+    parts, final = body.rsplit("SELECT cx AS i", 1)
+    for name in ("own", "tx", "ty", "tz"):
+        parts = parts.replace(f"{name} AS (", f"{name}_{ptype} AS (").replace(f"FROM {name} p", f"FROM {name}_{ptype} p")
+    final = "SELECT cx AS i" + final.replace("round(sum(mass * wx * wy * wz), 6)", "sum(mass * wx * wy * wz)").replace("FROM tz", f"FROM tz_{ptype}")
+    mean = f"SELECT i, j, k, value / (SELECT sum(value) / {_PK_N**3} FROM g_{ptype}) AS re, 0.0::DOUBLE AS im FROM g_{ptype}"
+    return f"{parts.rstrip().rstrip(',')},\ng_{ptype} AS ({final}),\nf_{ptype} AS ({mean}),\n{s.dft(f'f_{ptype}', f't_{ptype}', _PK_N)}"
+
+
+_PK_EDGES = [0.05, 0.15, 0.3, 0.6]
+query("pk_3d", s.q(_modes_sql("total"), s.power("t_total", "t_total", "pk", _PK_N, _PK_BOX), "SELECT bin, round(k, 9) AS k, round(p, 6) AS p, n_modes FROM pk"))(lambda sp, d: _round(_round(tiles.power(_modes(sp, d, "total"), None, _PK_BOX), "k", digits=9), "p"))
+query("pk_suppression", s.q(_modes_sql("total"), _modes_sql("DM"), s.power("t_total", "t_total", "pt", _PK_N, _PK_BOX), s.power("t_DM", "t_DM", "pd", _PK_N, _PK_BOX), "SELECT bin, round(pt.k, 9) AS k, round(pt.p, 6) AS p_total, round(pd.p, 6) AS p_dm, round(pt.p / nullif(pd.p, 0), 6) AS suppression FROM pt JOIN pd USING (bin)"))(
+    lambda sp, d: _round(_round(spectra.suppression(*(tiles.power(_modes(sp, d, t), None, _PK_BOX) for t in ("total", "DM"))), "k", digits=9), "p_total", "p_dm", "suppression")
+)
 
 
-@query("cross_corr_coeff")
 def _cross(spark: SparkSession, d: str) -> DataFrame:
     a, b = _modes(spark, d, "gas"), _modes(spark, d, "DM")
-    edges = [0.05, 0.15, 0.3, 0.6]
-    p = [spectra.power(x, y, _PK_N, H.box / 1e3, edges) for x, y in ((a, b), (a, None), (b, None))]
-    return spectra.cross_correlation(*p)
+    p = [tiles.power(x, y, _PK_BOX, _PK_EDGES) for x, y in ((a, b), (a, None), (b, None))]
+    return _round(spectra.cross_correlation(*p), "k", "r")
+
+
+query("cross_corr_coeff", s.q(_modes_sql("gas"), _modes_sql("DM"), *[s.power(f"t_{x}", f"t_{y}", f"p{x}{y}", _PK_N, _PK_BOX, edges=_PK_EDGES) for x, y in (("gas", "DM"), ("gas", "gas"), ("DM", "DM"))], "SELECT bin, round(pgasDM.k, 6) AS k, round(pgasDM.p / sqrt(pgasgas.p * pDMDM.p), 6) AS r FROM pgasDM JOIN pgasgas USING (bin) JOIN pDMDM USING (bin)"))(_cross)
+_LAG = " + ".join(f"{s.wave(x, _PK_N)} * {s.wave(x, _PK_N)}" for x in "ijk")
+query("correlation_3d", s.q(_modes_sql("DM"), f"sq AS (SELECT i, j, k, CASE WHEN i + j + k = 0 THEN 0.0 ELSE (re * re + im * im) / {_PK_N**3} END AS re, 0.0::DOUBLE AS im FROM t_DM)", s.dft("sq", "back", _PK_N, 1), f"SELECT bin, round(avg(r) * {_PK_BOX / _PK_N!r}::DOUBLE, 6) AS r, round(avg(xi), 6) AS xi FROM (SELECT round_even(r, 0)::INT AS bin, r, xi FROM (SELECT sqrt(({_LAG})::DOUBLE) AS r, re / {_PK_N**3} AS xi FROM back)) GROUP BY bin"))(
+    lambda sp, d: _round(tiles.correlation(_modes(sp, d, "DM"), None, _PK_BOX), "r", "xi")
+)
+
+
+def _cells(spark: SparkSession, d: str, ptype: str) -> DataFrame:
+    """A type's spectrum in the cells of the full transform, for filters that mix its axes."""
+    g = stored(grid.tsc_grid(grid.of_type(_p(spark, d), ptype), F.col("mass"), H.box, _PK_N))  # read for its mean and its cells
+    mean = g.agg((F.sum("value") / F.lit(float(_PK_N**3))).alias("m"))
+    return spectra.fft(g.crossJoin(mean).select("i", "j", "k", (F.col("value") / F.col("m")).alias("value")), _PK_N)
 
 
-query("correlation_3d")(lambda sp, d: spectra.correlation(_modes(sp, d, "DM"), None, _PK_N, H.box / 1e3))
-query("bias_fields")(lambda sp, d: spectra.bias_fields(spectra.gaussian_filter(_modes(sp, d, "DM"), _PK_N, H.box / 1e3, 0.4), _PK_N, H.box / 1e3))
+query("bias_fields")(lambda sp, d: spectra.bias_fields(spectra.gaussian_filter(_cells(sp, d, "DM"), _PK_N, H.box / 1e3, 0.4), _PK_N, H.box / 1e3))

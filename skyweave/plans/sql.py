@@ -43,10 +43,10 @@ def numbers(values) -> str:
     return ", ".join(f"({float(v)!r}::DOUBLE)" for v in values)
 
 
-def stencil(filter_type: str, radii: np.ndarray, per_unit: float) -> str:
+def stencil(filter_type: str, radii: np.ndarray, per_unit: float | str) -> str:
     """pixel (di, dj, r) and radius tables, from the square's reach in radius units and in pixels."""
     reach = f"{'ceil(sqrt(2.0::DOUBLE) * ' if filter_type == 'CAP' else 'floor('}{float(max(radii))!r}::DOUBLE) + 1"
-    return f"""square AS (SELECT {reach} AS reach, round_even(({reach}) * {per_unit!r}::DOUBLE, 0)::INT AS half),
+    return f"""square AS (SELECT {reach} AS reach, round_even(({reach}) * {per_unit}::DOUBLE, 0)::INT AS half),
 pixel AS (SELECT a.d::INT AS di, b.d::INT AS dj, sqrt((a.d * a.d + b.d * b.d)::DOUBLE) * (reach / half) AS r
   FROM (SELECT unnest(range(-half, half + 1)) AS d FROM square) a, (SELECT unnest(range(-half, half + 1)) AS d FROM square) b, square),
 radii AS (SELECT * FROM (VALUES {numbers(radii)}) t(radius))"""
@@ -78,3 +78,40 @@ def profile(objects: str = "chosen", key: str = "group_id", projection: str = "x
 
 
 MEAN_SE = "SELECT radius, round(avg(value), 6) AS mean, round(stddev_pop(value) / sqrt(count(value)), 6) AS err, count(value)::BIGINT AS n FROM profile GROUP BY radius"
+
+
+# ---------------------------------------------------------------- transforms and distances
+
+
+def dft(source: str, name: str, n: int, sign: int = -1, axes: str = "ijk") -> str:
+    """The sums of a transform of (axes, re, im), one axis after the other."""
+    parts, last = [], source
+    for x in axes:
+        rest = [a for a in axes if a != x]
+        angle = f"{sign * 2}.0 * pi() * m * {x} / {n}"
+        out = name if x == axes[-1] else f"{name}_{x}"
+        parts.append(f"{out} AS (SELECT m::INT AS {x}, {', '.join(rest)}, sum(re * cos({angle}) - im * sin({angle})) AS re, sum(re * sin({angle}) + im * cos({angle})) AS im FROM {last}, (SELECT unnest(range({n})) AS m) GROUP BY m, {', '.join(rest)})")
+        last = out
+    return ",\n".join(parts)
+
+
+def wave(axis: str, n: int) -> str:
+    return f"(CASE WHEN 2 * {axis} < {n} THEN {axis} ELSE {axis} - {n} END)"
+
+
+def power(one: str, two: str, name: str, n: int, box: float, mas: bool = True, edges: list[float] | None = None) -> str:
+    """name (bin, k, p, n_modes) of two transforms."""
+    f2 = " + ".join(f"{wave(f'a.{x}', n)} * {wave(f'a.{x}', n)}" for x in "ijk")
+    sinc = " * ".join(f"power(CASE WHEN a.{x} = 0 THEN 1.0 ELSE sin(pi() * {wave(f'a.{x}', n)} / {n}) / (pi() * {wave(f'a.{x}', n)} / {n}) END, 3)" for x in "ijk")
+    p = f"(a.re * b.re + a.im * b.im) * power({box!r}::DOUBLE, 3) / power({n}, 6)" + (f" / power({sinc}, 2)" if mas else "")
+    number = " + ".join(f"(k >= {e!r}::DOUBLE)::INT" for e in edges) + " - 1" if edges else "round_even(f, 0)::INT"
+    keep = f"bin BETWEEN 0 AND {len(edges) - 2}" if edges else f"f <= {n / 2!r}"
+    return f"""{name} AS (SELECT bin, avg(k) AS k, avg(p) AS p, count(*)::BIGINT AS n_modes FROM (SELECT *, ({number})::INT AS bin FROM (SELECT *, f * 2 * pi() / {box!r}::DOUBLE AS k FROM (
+  SELECT sqrt(({f2})::DOUBLE) AS f, {p} AS p FROM {one} a JOIN {two} b ON a.i = b.i AND a.j = b.j AND a.k = b.k))) WHERE f > 0 AND {keep} GROUP BY bin)"""
+
+
+def comoving(h: float, omega_m: float, z: float, name: str = "distance") -> str:
+    """name (mpc): the comoving distance in a flat universe with photons at 2.7255 K and 3.04 massless neutrinos, by Simpson's rule."""
+    r = f"(2.472796e-5::DOUBLE / power({h!r}::DOUBLE, 2) * (1 + 0.22710731766::DOUBLE * 3.04::DOUBLE))"
+    e = f"sqrt({omega_m!r}::DOUBLE * power(1 + s, 3) + {r} * power(1 + s, 4) + 1 - {omega_m!r}::DOUBLE - {r})"
+    return f"{name} AS (SELECT 299792.458::DOUBLE / (100 * {h!r}::DOUBLE) * sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / {e}) * {z!r}::DOUBLE / 3000 AS mpc FROM (SELECT i, {z!r}::DOUBLE * i / 1000 AS s FROM (SELECT unnest(range(1001)) AS i)))"
