@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +67,7 @@ def compton_y(box: float, n: int, h: float, a: float) -> Column:
 
 def ksz(box: float, n: int, h: float, a: float, projection: str = "xy", strict_units: bool = False) -> Column:
     """Doppler signal of the velocity along the line of sight; v in km/s over c in cm/s unless ``strict_units``."""
-    v = F.col(f"v{LINE_OF_SIGHT[projection]}") * F.lit(math.sqrt(a) * (1e5 if strict_units else 1.0) / k.C)
+    v = F.col(f"v{LINE_OF_SIGHT[projection]}") * F.lit(a**0.5 * (1e5 if strict_units else 1.0) / k.C)
     return tau(box, n, h, a) * v
 
 

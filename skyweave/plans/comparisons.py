@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..functions.cosmology import comoving_to_arcmin
-from ..operators import beam, filters, grid, masks, selection, stats, tiles
+from ..operators import beam, filters, grid, many, masks, selection, stats, tiles
 from ..sources import cells
 from ..sources.fixtures import HEADER as H
 from ..sources.scratch import scratch
@@ -113,10 +113,18 @@ query("map_gaussian_smooth", _smooth_sql({"": _GAUSS}, "SELECT i, j, round(value
 query("right_wrap", s.q("SELECT group_id, CASE WHEN pos_x + group_rad * 20 >= 102400.0 THEN pos_x + group_rad * 20 - 102400.0 ELSE pos_x + group_rad * 20 END AS x FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", physics.right_wrap(F.col("pos_x") + F.col("group_rad") * 20, H.box).alias("x")))
 _ARCMIN = comoving_to_arcmin(1.0, H.z)
 query("radius_arcmin", s.q(f"SELECT group_id, round(group_rad * {_ARCMIN!r}::DOUBLE, 9) AS theta FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", F.round(F.col("group_rad") * F.lit(_ARCMIN), 9).alias("theta")))
-_BOXES, _BASE = [100.0, 150.0, 270.0, 681.0, 1000.0], 64
-query("equal_cell_grids", f"""WITH smooth AS (SELECT DISTINCT (power(2, a) * power(3, b) * power(5, c) * power(7, e))::BIGINT AS n FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(6)) AS c), (SELECT unnest(range(5)) AS e)),
-boxes AS (SELECT * FROM (VALUES {', '.join(f'({b!r}::DOUBLE)' for b in _BOXES)}) t(box)), near AS (SELECT box, n, row_number() OVER (PARTITION BY box ORDER BY abs(n - round_even({_BASE} * box / 100.0, 0)), n) AS place FROM boxes, smooth)
-SELECT box, n FROM near WHERE place = 1""")(lambda sp, d: sp.createDataFrame(list(zip(_BOXES, physics.equal_cell_grids(_BOXES, _BASE), strict=True)), "box double, n long"))
+_BASE = 64
+
+
+def _equal_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of cells of one size over the extents of the particle types, which are a few."""
+    rows = _p(spark, d).where("ptype IS NOT NULL").groupBy("ptype").agg((F.max("x") - F.min("x") + F.count("*")).alias("box")).orderBy("ptype").collect()
+    sizes = physics.equal_cell_grids([r["box"] for r in rows], _BASE)
+    return spark.createDataFrame([(r["ptype"], r["box"], n) for r, n in zip(rows, sizes, strict=True)], "ptype string, box double, n long")
+
+
+query("equal_cell_grids", s.q("boxes AS (SELECT ptype, max(x) - min(x) + count(*) AS box FROM particles WHERE ptype IS NOT NULL GROUP BY ptype)", "smooth AS (SELECT DISTINCT (power(2, a) * power(3, b) * power(5, c) * power(7, e))::BIGINT AS n FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(6)) AS c), (SELECT unnest(range(5)) AS e))",
+    f"near AS (SELECT ptype, box, n, row_number() OVER (PARTITION BY ptype ORDER BY abs(n - round_even({_BASE} * box / (SELECT min(box) FROM boxes), 0)), n) AS place FROM boxes, smooth)", "SELECT ptype, box, n FROM near WHERE place = 1"))(_equal_cells)
 
 # ---------------------------------------------------------------- regions and spectra
 
@@ -148,3 +156,46 @@ _BALL16 = """centres AS (SELECT round_even(pos_x / 6400.0, 0)::INT AS ci, round_
 ball AS (SELECT DISTINCT (((ci + di) % 16 + 16) % 16)::INT AS i, (((cj + dj) % 16 + 16) % 16)::INT AS j, (((ck + dk) % 16 + 16) % 16)::INT AS k FROM centres, off WHERE di * di + dj * dj + dk * dk <= r * r)"""
 _NEAR16 = f"near AS (SELECT {s.bin_of('x', 16)} AS i, {s.bin_of('y', 16)} AS j, {s.bin_of('z', 16)} AS k, sum(mass) AS value FROM particles WHERE ptype IS NOT NULL GROUP BY ALL), inside AS (SELECT * FROM near WHERE (i, j, k) IN (SELECT (i, j, k) FROM ball)), f_near AS (SELECT i, j, k, value / (SELECT sum(value) / 4096.0 FROM inside) AS re, 0.0::DOUBLE AS im FROM inside)"
 query("masked_pk", s.q(s.massive(TARGET, UPPER), _OFF, _BALL16, _NEAR16, s.dft("f_near", "t_near", 16), s.power("t_near", "t_near", "pk", 16, H.box / 1e3, mas=False), "SELECT bin, round(k, 9) AS k, round(p, 6) AS p, n_modes FROM pk"))(_masked_pk)
+
+# ---------------------------------------------------------------- simulations of different boxes in one plan
+
+_BOXES_AT = [("wide", 102400.0, 64, 0.6774, 0.5), ("small", 51200.0, 40, 0.7, 1.0)]
+_MANY_RADII = [1.05, 2.05, 3.05]
+
+
+def _two_boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Particles and halos of two simulations: the whole box, and its lower octant with everything folded into it."""
+    table = many.headers(spark, _BOXES_AT)
+    fold = lambda rows, cols: rows.withColumn("sim", F.lit("wide")).unionByName(rows.withColumns({c: F.col(c) % 51200 for c in cols}).withColumn("sim", F.lit("small")))
+    return fold(_p(spark, d), ("x", "y", "z")), fold(selection.half_open(_h(spark, d), 3), ("pos_x", "pos_y", "pos_z")), table
+
+
+def _many_stack(spark: SparkSession, d: str, filter_type: str, ptype: str, scale: float = 1.0) -> DataFrame:
+    rows, objects, table = _two_boxes(spark, d)
+    got = many.profiles(many.fields(rows, table, ptype, unit=1.0), objects, table, filter_type, _MANY_RADII, 1000.0)
+    return _round(stats.mean_profile(got.withColumn("value", F.col("value") * F.lit(scale)), by=("sim", "radius")), "mean", "err")
+
+
+def _one_by_one(filter_type: str, value: str, area: bool) -> str:
+    """Each simulation by a query of its own."""
+    parts, finals = [], []
+    low, high = selection.mass_bin(3)
+    for name, box, n, _, _ in _BOXES_AT:
+        cell = box / n
+        own = {x: f"fmod({x}, {box!r}::DOUBLE)" for x in "xyz"}
+        text = s.q(
+            f"rows_{name} AS (SELECT * REPLACE ({', '.join(f'{e} AS {x}' for x, e in own.items())}) FROM particles WHERE ptype = 'gas')",
+            f"chosen_{name} AS (SELECT * REPLACE ({', '.join(f'fmod(pos_{x}, {box!r}::DOUBLE) AS pos_{x}' for x in 'xyz')}) FROM halos WHERE group_mass >= {low!r} AND group_mass < {high!r})",
+            f"field_{name} AS (SELECT least(floor(x * {n} / {box!r}::DOUBLE), {n - 1})::INT AS i, least(floor(y * {n} / {box!r}::DOUBLE), {n - 1})::INT AS j, sum({value}) AS value FROM rows_{name} GROUP BY ALL)",
+            *[p.replace("square", f"square_{name}").replace("pixel AS", f"pixel_{name} AS").replace("radii AS", f"radii_{name} AS") for p in [s.stencil(filter_type, np.array(_MANY_RADII), 1000.0 / cell)]],
+            s.filter_weights(filter_type, 3 * cell / 1000.0, cell**2 if area else 1.0).replace("w AS (SELECT radius", f"w_{name} AS (SELECT radius").replace("FROM pixel, radii", f"FROM pixel_{name}, radii_{name}"),
+            s.profile(f"chosen_{name}", name=f"profile_{name}", source=f"field_{name}", n=n, cell=cell).replace(" c, w)", f" c, w_{name} w)"),
+            "SELECT 1",
+        )
+        parts.append(text[text.index(f"rows_{name} AS") : text.rindex("SELECT 1")].rstrip().rstrip(","))
+        finals.append(f"SELECT '{name}' AS sim, radius, round(avg(value), 6) AS mean, round(stddev_pop(value) / sqrt(count(value)), 6) AS err, count(value)::BIGINT AS n FROM profile_{name} GROUP BY radius")
+    return s.q(*parts, " UNION ALL ".join(finals))
+
+
+query("two_boxes_cap", _one_by_one("CAP", "mass", False))(lambda sp, d: _many_stack(sp, d, "CAP", "gas"))
+query("two_boxes_dsigma", _one_by_one("DSigma", "mass * 1e6", True))(lambda sp, d: _many_stack(sp, d, "DSigma", "gas", 1e6))

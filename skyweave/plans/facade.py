@@ -5,17 +5,27 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..functions.cosmology import Flat, map_pixels, pixel_length
-from ..operators import beam, grid, masks, selection, stack
-from ..sources import products
+from ..operators import beam, grid, masks, selection, stack, tiles
+from ..sources import products, snapshots, suites
 from ..sources.fixtures import Header
 
 
+def normalised(rows: DataFrame, suite: str, kind: str, h: float) -> DataFrame:
+    """A suite's particles, halos or subhalos in the first suite's units."""
+    rules = {("A", "halos"): suites.halos_a, ("A", "subhalos"): suites.subhalos_a, ("B", "halos"): suites.halos_b, ("B", "subhalos"): suites.subhalos_b, ("C", "halos"): suites.halos_c, ("C", "particles"): suites.particles_c}
+    if suite not in ("A", "B", "C"):
+        raise ValueError(f"unknown suite: {suite}")
+    rule = rules.get((suite, kind))
+    return rows if rule is None else rule(rows) if suite == "A" else rule(rows, h)
+
+
 @dataclass
 class Simulation:
     """Particles, halos and subhalos with their header. Grids that were set come before stored and computed ones."""
@@ -49,21 +59,94 @@ class Simulation:
     def _product(self, ptype: str, n: int, projection: str, mask_radius: float | None, **more) -> products.Product:
         return products.Product(self.suite, self.name, self.snapshot, ptype, n, projection, self.feedback, mask_radius=mask_radius, **more)
 
-    def make_field(self, ptype: str, n: int | None = None, projection: str = "xy", mask_radius: float | None = None, load: bool = True, save: bool = False) -> DataFrame:
-        """The one that was set, a stored one, or one from the particles; with ``mask_radius`` the cells in halos' balls of so many radii."""
+    def load_halos(self) -> DataFrame:
+        """The halo catalogue in the first suite's units."""
+        return self.halos
+
+    def load_subhalos(self) -> DataFrame:
+        return self.subhalos
+
+    def load_subsets(self, ptype: str, columns: list[str] | None = None) -> DataFrame:
+        """Particles of all the snapshot's files; the columns and the type reach the scan."""
+        return self.subset(ptype, columns)
+
+    def load_subset(self, ptype: str, path: str, columns: list[str] | None = None) -> DataFrame:
+        """Particles of one file of the snapshot."""
+        rows = grid.of_type(normalised(self.particles.sparkSession.read.parquet(path), self.suite, "particles", self.header.h), ptype)
+        return rows.select(*columns) if columns else rows
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, suite: str, name: str = "sim", snapshot: int = 0, n: int = 64, **more) -> Simulation:
+        """A snapshot's tables under a folder: ``header`` (one row of attributes), ``particles``, ``halos``, ``subhalos``, in the suite's own units."""
+        read = lambda x: spark.read.parquet(f"{path.rstrip('/')}/{x}")
+        header = snapshots.header_of(read("header"), suite, n)
+        own = {x: normalised(read(x), suite, x, header.h) for x in ("particles", "halos", "subhalos")}
+        return cls(**own, header=header, suite=suite, name=name, snapshot=snapshot, **more)
+
+    def make_field(self, ptype: str, n: int | None = None, projection: str = "xy", mask_radius: float | None = None, load: bool = True, save: bool = False, dim: str = "2D") -> DataFrame:
+        """The one that was set, a stored one, or one from the particles; with ``mask_radius`` the cells in halos' balls of so many radii.
+
+        A 3D field has clouds of three cells along each axis around its particles, or in balls the cells' own sums; of
+        composites the components are stored and read one by one.
+        """
+        if dim not in ("2D", "3D"):
+            raise ValueError(f"a field is 2D or 3D, not {dim}")
         n = n or self.header.n
-        if ("field", ptype, n, projection) in self.grids and mask_radius is None:
+        if ("field", ptype, n, projection) in self.grids and mask_radius is None and dim == "2D":
             return self.grids["field", ptype, n, projection]
+        if dim == "3D":
+            return self._field_3d(ptype, n, projection, mask_radius, load, save)
 
         def make() -> DataFrame:
             if mask_radius is None:
                 return grid.field(self.particles, ptype, self.header, n, projection)
-            cubes = grid.nearest_grid_3d(grid.of_type(self.particles, ptype), grid.weight(ptype, self.header, projection, n), self.header.box, n)
-            near = masks.centre_cells(self.halos, self.header.box, n, F.col("group_rad") * F.lit(float(mask_radius)))
-            return grid.project(masks.masked(cubes, near, n), projection)
+            return grid.project(self._field_3d(ptype, n, projection, mask_radius, load, False), projection)
 
         return self._stored(self._product(ptype, n, projection, mask_radius), make, load, save)
 
+    def _field_3d(self, ptype: str, n: int, projection: str, mask_radius: float | None, load: bool, save: bool) -> DataFrame:
+        parts = grid.COMPONENTS.get(ptype)
+
+        def make() -> DataFrame:
+            if parts and self.base is not None and save:
+                rows = [self._field_3d(p, n, projection, mask_radius, load, save) for p in parts]
+                return reduce(DataFrame.unionByName, rows).groupBy("i", "j", "k").agg(F.sum("value").alias("value"))
+            rows, value = grid.of_type(self.particles, ptype), grid.weight(ptype, self.header, projection, n)
+            if mask_radius is None:
+                return grid.tsc_grid(rows, value, self.header.box, n)
+            near = masks.centre_cells(self.halos, self.header.box, n, F.col("group_rad") * F.lit(float(mask_radius)))
+            return masks.masked(grid.nearest_grid_3d(rows, value, self.header.box, n), near, n)
+
+        return self._stored(self._product(ptype, n, projection if ptype == "kSZ" else "xyz", mask_radius, dim="3D"), make, load, save)
+
+    def suppression(self, n: int = 512, load: bool = False, save: bool = False) -> dict[str, DataFrame]:
+        """Spectra (bin, k, p_dm, p_total, p_cross, suppression, coherence) and correlations (bin, r, xi_dm, xi_total, xi_cross) of dark and all matter.
+
+        Dark matter of the same run stands for a run without baryons. With ``save`` both tables and the fields behind them
+        are stored, and with ``load`` stored ones are taken.
+        """
+        at = (self.base, self.suite, self.name, self.snapshot, n, self.feedback)
+        spark = self.particles.sparkSession
+        if load:
+            try:
+                return {"spectra": products.load_spectra(spark, *at), "correlations": products.load_spectra(spark, *at, kind="Xi")}
+            except FileNotFoundError:
+                pass
+        box = self.header.box / 1e3
+        field = lambda t: tiles.kept(tiles.filled(self.make_field(t, n, load=load or save, save=save, dim="3D"), (n, n, n)))
+        dm, total = (tiles.kept(tiles.transform(tiles.overdensity(field(t)))) for t in ("DM", "total"))
+        pairs = {"dm": (dm, None), "total": (total, None), "cross": (dm, total)}
+        named = lambda f, x, v, *keep: reduce(lambda a, b: a.join(b, "bin"), [f(*p, box).select("bin", *(keep if i == 0 else ()), F.col(v).alias(f"{v}_{c}")) for i, (c, p) in enumerate(pairs.items())])
+        spectra = named(tiles.power, "k", "p", "k", "n_modes")
+        spectra = spectra.select("*", F.try_divide(F.col("p_total"), F.col("p_dm")).alias("suppression"), F.try_divide(F.col("p_cross"), F.sqrt(F.col("p_dm") * F.col("p_total"))).alias("coherence"))
+        correlations = named(tiles.correlation, "r", "xi", "r").where(F.col("r") <= box)
+        if save:
+            if self.base is None:
+                raise ValueError("there is no folder to save to")
+            products.save_spectra(spectra, *at)
+            products.save_spectra(correlations, *at, kind="Xi")
+        return {"spectra": spectra, "correlations": correlations}
+
     def _stored(self, product: products.Product, make: Callable[[], DataFrame], load: bool, save: bool) -> DataFrame:
         if self.base is None or not (load or save):
             return make()
@@ -125,7 +208,7 @@ class Simulation:
         """Profiles of a field; without a ``distance`` radii are in mean radii of halos of mass bin 2."""
         n = n or self.header.n
         if distance is None:
-            distance = selection.mean_radius(selection.binned(self.halos, 2)).first()[0]
+            distance = selection.mean_radius(self.halos).first()[0]
         f = self.make_field(ptype, n, projection, mask_radius, load, save)
         if subtract_mean:
             f = grid.subtract_mean(f, n)

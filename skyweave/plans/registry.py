@@ -302,11 +302,18 @@ query("covariance_compensated", _cum(f"SELECT i, j, round(cov / nullif(x.f * y.f
 query("hartlap", _cum(f"SELECT i, j, round(cov / (93.0::DOUBLE / 99.0::DOUBLE), 5) AS cov FROM (WITH {_COV} SELECT * FROM cov)"))(lambda sp, d: _round(stats.apply_hartlap(_cov(sp, d), 100, 5), "cov", digits=5))
 
 
+#: Samples that stand for simulations, more than there are bins.
+SAMPLES = 16
+
+
 @query("detection_snr")
 def _snr(spark: SparkSession, d: str) -> DataFrame:
-    names, cov = stats.matrix(_cov(spark, d))
-    cov = cov + np.diag(np.diag(cov))  # five samples of five bins: a ridge makes the matrix regular
-    mean = {r["radius"]: r["mean"] for r in stats.mean_profile(_stack(spark, d, "cumulative")).collect()}
+    """Significance of the mean profile, with the covariance of sixteen samples' means corrected for their number."""
+    p = _stack(spark, d, "cumulative").withColumn("sim", F.col("group_id") % SAMPLES)
+    means = p.groupBy("sim", "radius").agg(F.avg("value").alias("value"))
+    n = means.select("sim").distinct().count()
+    names, cov = stats.matrix(stats.apply_hartlap(stats.covariance(means), n, len(RADII)))
+    mean = {r["radius"]: r["mean"] for r in stats.mean_profile(means).collect()}
     data = [mean[x] for x in names]
     test = stats.null_test(data, cov)
     return spark.createDataFrame([(stats.detection_snr(data, cov), test["chi2"], test["dof"], test["pte"])], "snr double, chi2 double, dof long, pte double")
@@ -385,9 +392,16 @@ query("dsigma_running_map_stack", s.q(s.massive(TARGET, UPPER), *_SKY, _TOTAL_N,
     "d AS (SELECT object_id, r, avg(value) OVER (PARTITION BY object_id ORDER BY r, tie ROWS UNBOUNDED PRECEDING) - value AS d FROM cut)",
     f"profile AS (SELECT object_id, radius, avg(d) AS value FROM d, (VALUES {', '.join(f'({r!r}::DOUBLE, {a!r}::DOUBLE, {b!r}::DOUBLE)' for r, a, b in zip(map(float, _RUN_RADII), map(float, _RUN_EDGES[:-1]), map(float, _RUN_EDGES[1:]), strict=True))}) b(radius, lo, hi) WHERE r >= lo AND r < hi GROUP BY ALL)", s.MEAN_SE))(_running_map)
 
-query("geomean_bins", "WITH RECURSIVE b AS (SELECT 0 AS i, 0.74::DOUBLE AS edge UNION ALL SELECT i + 1, power(1 + 0.625 * i, 2) / edge FROM b WHERE i < 9) SELECT i, round(edge, 9) AS edge FROM b")(
-    lambda sp, d: sp.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(physics.geometric_edges(np.linspace(1, 6, 9), 0.74)[0])], "i int, edge double")
-)
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Bins whose geometric means are from one to six mean radii of halos, in Mpc/h."""
+    unit = _h(spark, d).agg(F.avg("group_rad")).first()[0] / 1e3
+    edges, _ = physics.geometric_edges(np.linspace(1, 6, 9) * unit, 0.74 * unit)
+    return spark.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(edges)], "i int, edge double")
+
+
+query("geomean_bins", s.q("unit AS (SELECT avg(group_rad) / 1e3 AS u FROM halos)", "b AS (SELECT 0 AS i, 0.74::DOUBLE * u AS edge FROM unit UNION ALL SELECT i + 1, power((1 + 0.625 * i) * u, 2) / edge FROM b, unit WHERE i < 9)", "SELECT i, round(edge, 9) AS edge FROM b"))(_edges)
 query("min_image_distance", s.q("SELECT group_id, CASE WHEN pos_x - 100000.0 >= 51200.0 THEN pos_x - 100000.0 - 102400.0 WHEN pos_x - 100000.0 < -51200.0 THEN pos_x - 100000.0 + 102400.0 ELSE pos_x - 100000.0 END AS dx FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", physics.minimum_image(F.col("pos_x") - F.lit(100000.0), H.box).alias("dx")))
 query("sci_labels", s.q("SELECT group_id, regexp_replace(split_part(format('{:.2e}', group_rad), 'e', 1), '\\.?0+$', '') || 'e' || split_part(format('{:.2e}', group_rad), 'e', 2)::INT::VARCHAR AS label FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", physics.sci(F.col("group_rad")).alias("label")))
 query("ksz_from_delta_sigma", s.q(f"SELECT group_id, round(group_rad * 1e-3 * {-k.T_CMB * 300.0 * 1e3 / 299792458.0 * (0.04897 / 0.30966 * 6.6524587321e-29 / (k.MU_E_KSZ * 1.67262192369e-27)) * 1e6!r}::DOUBLE * 1e6, 6) AS dt FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", F.round(physics.ksz_from_delta_sigma(F.col("group_rad") * F.lit(1e-3), 0.5)["dT_muK"] * F.lit(1e6), 6).alias("dt")))

@@ -109,23 +109,23 @@ def nested(archive: DataFrame) -> dict:
 # ---------------------------------------------------------------- results of runs
 
 
-def _spectrum_path(base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None) -> str:
+def _spectrum_path(base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None, kind: str = "Pk") -> str:
     if suite in ("B", "C") and not feedback:
         raise ValueError(f"suite {suite} needs a feedback variant")
-    name = "_".join([sim, *([feedback] if suite in ("B", "C") else []), str(snapshot), "Pk", str(grid)])
+    name = "_".join([sim, *([feedback] if suite in ("B", "C") else []), str(snapshot), kind, str(grid)])
     return f"{base.rstrip('/')}/{suite}/products/3D/{name}.parquet"
 
 
-def save_spectra(spectra: DataFrame, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None) -> str:
-    """Keep power spectra by all that they depend on."""
-    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback)
+def save_spectra(spectra: DataFrame, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None, kind: str = "Pk") -> str:
+    """Keep power spectra, or with another ``kind`` what goes with them, by all that they depend on."""
+    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback, kind)
     spectra.write.mode("overwrite").parquet(path)
     return path
 
 
-def load_spectra(spark: SparkSession, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None) -> DataFrame:
+def load_spectra(spark: SparkSession, base: str, suite: str, sim: str, snapshot: int, grid: int, feedback: str | None = None, kind: str = "Pk") -> DataFrame:
     """FileNotFoundError if they were never kept."""
-    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback)
+    path = _spectrum_path(base, suite, sim, snapshot, grid, feedback, kind)
     try:
         return spark.read.parquet(path)
     except Exception as e:
