@@ -248,9 +248,9 @@ query("area_averaged_cap", _stack_sql("CAP", "SELECT radius, round(avg(value) /
 _TWO = {"ptypes": ["gas", "total"], "all": ["gas", "Stars", "BH", "DM"]}
 
 
-def _many(spark: SparkSession, d: str, ptypes: list[str], filter_type: str = "cumulative", objects: DataFrame | None = None, key: str = "group_id") -> DataFrame:
+def _many(spark: SparkSession, d: str, ptypes: list[str], filter_type: str = "cumulative", objects: DataFrame | None = None, key: str = "group_id", f: DataFrame | None = None) -> DataFrame:
     """One stack of several types: a column each."""
-    f = grid.fields(_p(spark, d), ptypes, H, unit=1.0)
+    f = grid.fields(_p(spark, d), ptypes, H, unit=1.0) if f is None else f
     return stack.profiles(f, _chosen(spark, d) if objects is None else objects, H.n, H.box, filter_type, RADII, UNIT, key=key, values=tuple(ptypes))
 
 
@@ -269,8 +269,16 @@ _REL = "power(a.e / nullif(a.m, 0), 2) + power(b.e / nullif(b.m, 0), 2)"
 query("ratio_profile", _many_sql(f"SELECT radius, round(a.m / nullif(b.m, 0) / {F_B!r}::DOUBLE, 6) AS ratio, round(abs(a.m / nullif(b.m, 0) / {F_B!r}::DOUBLE) * sqrt({_REL}), 6) AS err FROM m_gas a JOIN m_total b USING (radius)", ["gas", "total"]))(
     lambda sp, d: (lambda t: _round(stats.ratio(_means(t, "gas"), _means(t, "total"), F_B), "ratio", "err"))(_many(sp, d, _TWO["ptypes"]))
 )
+
+def _double_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Two samples over the same fields, which are made once."""
+    f = stored(grid.fields(_p(spark, d), _TWO["ptypes"], H, unit=1.0))
+    both = [_many(spark, d, _TWO["ptypes"], objects=_sham(spark, d), key="subhalo_id", f=f), _many(spark, d, _TWO["ptypes"], f=f)]
+    return _round(stats.double_ratio(*[_means(p, t) for p in both for t in ("gas", "total")]), "ratio", "err")
+
+
 query("fgas_double_ratio", s.q(_SHAM, s.massive(TARGET, UPPER), s.stencil("cumulative", RADII, _PER), s.filter_weights("cumulative"), s.field("gas", "f_gas"), s.field("total", "f_total"), s.profile("sham", "subhalo_id", name="pa", source="f_gas"), s.profile("sham", "subhalo_id", name="pb", source="f_total"), s.profile(name="pc", source="f_gas"), s.profile(name="pd", source="f_total"), *[f"m{x} AS (SELECT radius, avg(value) AS m, stddev_pop(value) / sqrt(count(value)) AS e FROM p{x} GROUP BY radius)" for x in "abcd"], "SELECT radius, round((a.m / nullif(b.m, 0)) / nullif(c.m / nullif(d.m, 0), 0), 6) AS ratio, round(abs((a.m / nullif(b.m, 0)) / nullif(c.m / nullif(d.m, 0), 0)) * sqrt(power(a.e / nullif(a.m, 0), 2) + power(b.e / nullif(b.m, 0), 2) + power(c.e / nullif(c.m, 0), 2) + power(d.e / nullif(d.m, 0), 2)), 6) AS err FROM ma a JOIN mb b USING (radius) JOIN mc c USING (radius) JOIN md d USING (radius)"))(
-    lambda sp, d: (lambda x, y: _round(stats.double_ratio(_means(x, "gas"), _means(x, "total"), _means(y, "gas"), _means(y, "total")), "ratio", "err"))(_many(sp, d, _TWO["ptypes"], objects=_sham(sp, d), key="subhalo_id"), _many(sp, d, _TWO["ptypes"]))
+    lambda sp, d: _double_ratio(sp, d)
 )
 query("per_halo_ratio", _many_sql(f"SELECT radius, round(avg(a.value / nullif(b.value, 0) / {F_B!r}::DOUBLE), 6) AS mean FROM p_gas a JOIN p_total b USING (object_id, radius) GROUP BY radius", ["gas", "total"]))(
     lambda sp, d: _many(sp, d, _TWO["ptypes"]).groupBy("radius").agg(F.round(F.avg(F.try_divide(F.col("gas"), F.col("total")) / F.lit(F_B)), 6).alias("mean"))

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import arrays
 from .fixtures import Header
 
 #: Folder and file of a snapshot in each suite. Fixed values; suite B has one file and no folder.
@@ -57,20 +53,9 @@ def archive_snapshot(z: float) -> int:
     return ARCHIVE_SNAPSHOTS[z]
 
 
-def array_parts(spark: SparkSession, pattern: str, columns: tuple[str, ...]) -> DataFrame:
-    """(part, idx, columns) of arrays stored as .npy files ``…part<number>_of…``: a file is read by one task.
+def array_parts(spark: SparkSession, pattern: str, columns: tuple[str, ...], **options) -> DataFrame:
+    """(part, idx, columns) of arrays stored as .npy files ``…part<number>_of…``, each read in ranges by several tasks.
 
     ``part`` and ``idx`` give the order of the arrays put together. A file of one dimension fills the first column.
     """
-    schema = "part int, idx long, " + ", ".join(f"{c} double" for c in columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                a = np.load(io.BytesIO(content.as_buffer()))
-                a = a.reshape(len(a), -1).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part, np.int32)), pa.array(np.arange(len(a)))] + [pa.array(np.ascontiguousarray(a[:, i])) for i in range(len(columns))], names=["part", "idx", *columns])
-
-    files = spark.read.format("binaryFile").load(pattern)
-    number = F.coalesce(F.regexp_extract("path", r"part(\d+)", 1).try_cast("int"), F.lit(0))
-    return files.select(number.alias("part"), "content").mapInArrow(run, schema)
+    return arrays(spark, pattern, "part int, idx long, " + ", ".join(f"{c} double" for c in columns), **options)
