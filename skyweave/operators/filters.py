@@ -148,13 +148,6 @@ class Kernels:
         return [] if self.by_distance else [at for i, at in enumerate(self.radii) if np.isnan(self.flat(i)).all()]
 
 
-def offsets(spark: SparkSession, half: int) -> DataFrame:
-    """(di, dj, q) of the square."""
-    side = 2 * half + 1
-    d = spark.range(side * side).select((F.col("id") / side).cast("int").alias("a"), (F.col("id") % side).cast("int").alias("b"))
-    return d.select((F.col("a") - half).alias("di"), (F.col("b") - half).alias("dj"), ((F.col("a") - half) * (F.col("a") - half) + (F.col("b") - half) * (F.col("b") - half)).alias("q"))
-
-
 def running_excess(pixels: DataFrame, edges: list[float], key: str = "object_id") -> DataFrame:
     """Excess surface density by running means: pixels (key, r, tie, value) sorted by distance, the mean so far less
     the pixel's value, averaged by bins of ``edges``. An empty bin is null."""

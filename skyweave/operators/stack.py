@@ -12,25 +12,34 @@ from ..functions import physics
 from . import filters, masks, tiles
 
 
+def _around(objects: DataFrame, n: int, box: float, half: int, projection: str, *keep) -> DataFrame:
+    """(keep, di, dj, q, i, j): the cells of the square around each object, made where the object is."""
+    x, y = physics.axes(projection)
+    ci, cj = _cell_of(x, y, box, n)
+    reach = F.sequence(F.lit(-half), F.lit(half))
+    placed = objects.select(*keep, ci.alias("ci"), cj.alias("cj")).withColumn("di", F.explode(reach)).withColumn("dj", F.explode(reach))
+    q = F.col("di") * F.col("di") + F.col("dj") * F.col("dj")
+    names = [c if isinstance(c, str) else placed.columns[k] for k, c in enumerate(keep)]
+    return placed.select(*names, "di", "dj", q.alias("q"), F.pmod(F.col("ci") + F.col("di"), F.lit(n)).alias("i"), F.pmod(F.col("cj") + F.col("dj"), F.lit(n)).alias("j"))
+
+
+def _cell_of(x: str, y: str, box: float, n: int) -> list:
+    return [F.rint(F.col(f"pos_{c}") / F.lit(box / n)).cast("int") for c in (x, y)]
+
+
 def shells(field: DataFrame, objects: DataFrame, n: int, box: float, half: int, projection: str = "xy", key: str = "group_id", values: tuple = ("value",)) -> DataFrame:
     """(key, q, values): sums of the field by squared offset from each object's pixel, within the square.
 
     The one large join of a stack. It is by cell and has no radius in it, so that all filters and radii share it; a
     field with several columns serves several particle types at once.
     """
-    x, y = physics.axes(projection)
-    at = lambda c: F.rint(F.col(f"pos_{c}") / F.lit(box / n)).cast("int")
-    around = objects.select(F.col(key), at(x).alias("ci"), at(y).alias("cj")).crossJoin(F.broadcast(filters.offsets(field.sparkSession, half)))
-    cells = around.select(key, "q", F.pmod(F.col("ci") + F.col("di"), F.lit(n)).alias("i"), F.pmod(F.col("cj") + F.col("dj"), F.lit(n)).alias("j"))
+    cells = _around(objects, n, box, half, projection, key).select(key, "q", "i", "j")
     return cells.join(field, ["i", "j"]).groupBy(key, "q").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def pixels(field: DataFrame, objects: DataFrame, n: int, box: float, half: int, step: float, projection: str = "xy", key: str = "group_id") -> DataFrame:
     """(object_id, di, dj, r, tie, value) of each object's cutout, empty pixels as 0."""
-    x, y = physics.axes(projection)
-    at = lambda c: F.rint(F.col(f"pos_{c}") / F.lit(box / n)).cast("int")
-    around = objects.select(F.col(key).alias("object_id"), at(x).alias("ci"), at(y).alias("cj")).crossJoin(F.broadcast(filters.offsets(field.sparkSession, half)))
-    cells = around.select("object_id", "di", "dj", "q", F.pmod(F.col("ci") + F.col("di"), F.lit(n)).alias("i"), F.pmod(F.col("cj") + F.col("dj"), F.lit(n)).alias("j"))
+    cells = _around(objects, n, box, half, projection, F.col(key).alias("object_id"))
     return cells.join(field, ["i", "j"], "left").select("object_id", "di", "dj", (F.sqrt("q") * F.lit(step)).alias("r"), ((F.col("di") + half) * (2 * half + 1) + F.col("dj") + half).alias("tie"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -76,17 +85,10 @@ def _by_offsets(field: DataFrame, objects: DataFrame, n: int, box: float, kernel
     if kernels.by_distance:
         rows = shells(field, objects, n, box, kernels.geometry.half, projection, key, values).join(table, "q")
     else:
-        x, y = physics.axes(projection)
-        around = objects.select(key, *[cell.alias(c) for cell, c in zip(_cell_of(x, y, box, n), ("ci", "cj"), strict=True)]).crossJoin(table)
-        cells = around.select(key, "radius", "w", F.pmod(F.col("ci") + F.col("di"), F.lit(n)).alias("i"), F.pmod(F.col("cj") + F.col("dj"), F.lit(n)).alias("j"))
-        rows = cells.join(field, ["i", "j"])
+        rows = _around(objects, n, box, kernels.geometry.half, projection, key).join(field, ["i", "j"]).join(table, ["di", "dj"])
     return rows.groupBy(key, "radius").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
 
 
-def _cell_of(x: str, y: str, box: float, n: int) -> list:
-    return [F.rint(F.col(f"pos_{c}") / F.lit(box / n)).cast("int") for c in (x, y)]
-
-
 def _by_maps(field: DataFrame, objects: DataFrame, n: int, box: float, kernels: filters.Kernels, projection: str, key: str, values: tuple) -> DataFrame:
     x, y = physics.axes(projection)
     at = objects.select(key, *[F.pmod(c, F.lit(n)).alias(i) for c, i in zip(_cell_of(x, y, box, n), "ij", strict=True)])

@@ -88,10 +88,10 @@ query("dsigma_kernel_map_stack", s.q(s.massive(TARGET, UPPER), s.field("gas"), s
 _BEAMS = (4800.0, 6400.0)
 
 
-def _smooth_sql(kernels: dict[str, np.ndarray], final: str) -> str:
+def _smooth_sql(kernels: dict[str, str], final: str) -> str:
     parts = [s.field("gas", n=32)]
     for name, kernel in kernels.items():
-        parts.append(f"kern{name} AS (SELECT * FROM (VALUES {', '.join(f'({i}, {float(w)!r}::DOUBLE)' for i, w in enumerate(kernel))}) t(d, w))")
+        parts.append(kernel)
         parts.append(f"half{name} AS (SELECT ((i + d) % 32)::INT AS i, j, sum(value * w) AS value FROM field, kern{name} GROUP BY (i + d) % 32, j)")
         parts.append(f"map{name} AS (SELECT ((j + d) % 32)::INT AS j, i, sum(value * w) AS value FROM half{name}, kern{name} GROUP BY (j + d) % 32, i)")
     return s.q(*parts, final)
@@ -104,15 +104,15 @@ def _beam_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _round(maps[0].unionByName(maps[1]).select("fwhm", "i", "j", "value"), "value")
 
 
-query("map_beam_sweep", _smooth_sql({str(i): beam.fourier_kernel(32, b, 3200.0) for i, b in enumerate(_BEAMS)}, " UNION ALL ".join(f"SELECT {b!r}::DOUBLE AS fwhm, i, j, round(value, 6) AS value FROM map{i}" for i, b in enumerate(_BEAMS))))(_beam_sweep)
+query("map_beam_sweep", _smooth_sql({str(i): s.beam_kernel(32, b, 3200.0, f"kern{i}") for i, b in enumerate(_BEAMS)}, " UNION ALL ".join(f"SELECT {b!r}::DOUBLE AS fwhm, i, j, round(value, 6) AS value FROM map{i}" for i, b in enumerate(_BEAMS))))(_beam_sweep)
 _GAUSS = beam.gaussian_kernel(32, 6400.0, 3200.0)
-query("map_gaussian_smooth", _smooth_sql({"": _GAUSS}, "SELECT i, j, round(value, 6) AS value FROM map"))(lambda sp, d: _round(beam.convolve(grid.field(_p(sp, d), "gas", H, 32, unit=1.0), _GAUSS), "value"))
+query("map_gaussian_smooth", _smooth_sql({"": s.gaussian(32, 6400.0, 3200.0)}, "SELECT i, j, round(value, 6) AS value FROM map"))(lambda sp, d: _round(beam.convolve(grid.field(_p(sp, d), "gas", H, 32, unit=1.0), _GAUSS), "value"))
 
 # ---------------------------------------------------------------- scalars
 
 query("right_wrap", s.q("SELECT group_id, CASE WHEN pos_x + group_rad * 20 >= 102400.0 THEN pos_x + group_rad * 20 - 102400.0 ELSE pos_x + group_rad * 20 END AS x FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", physics.right_wrap(F.col("pos_x") + F.col("group_rad") * 20, H.box).alias("x")))
 _ARCMIN = comoving_to_arcmin(1.0, H.z)
-query("radius_arcmin", s.q(f"SELECT group_id, round(group_rad * {_ARCMIN!r}::DOUBLE, 9) AS theta FROM halos"))(lambda sp, d: _h(sp, d).select("group_id", F.round(F.col("group_rad") * F.lit(_ARCMIN), 9).alias("theta")))
+query("radius_arcmin", s.q(s.comoving(0.6766, 0.30966, H.z), "SELECT group_id, round(group_rad * degrees(1 / 0.6766::DOUBLE / 1000 / mpc) * 60, 9) AS theta FROM halos, distance"))(lambda sp, d: _h(sp, d).select("group_id", F.round(F.col("group_rad") * F.lit(_ARCMIN), 9).alias("theta")))
 _BASE = 64
 
 

@@ -227,9 +227,11 @@ query("cap_stack_subhalos", _stack_sql("CAP", s.MEAN_SE, objects="sham", key="su
 query("cap_profiles", _stack_sql("CAP", "SELECT object_id AS group_id, radius, round(value, 6) AS value FROM profile"))(lambda sp, d: _round(_stack(sp, d, "CAP"), "value"))
 
 _GEO = filters.Geometry.of("DSigma_mccarthy", RADII, _PER)
-_PIXELS = f"""cut AS (SELECT group_id AS object_id, di, dj, r, (di + {_GEO.half}) * {2 * _GEO.half + 1} + dj + {_GEO.half} AS tie, coalesce(value, 0.0) AS value FROM (
-  SELECT c.*, di, dj, sqrt((di * di + dj * dj)::DOUBLE) * {_GEO.step!r}::DOUBLE AS r, (((round_even(pos_x / 1600.0, 0)::INT + di) % 64) + 64) % 64 AS ii, (((round_even(pos_y / 1600.0, 0)::INT + dj) % 64) + 64) % 64 AS jj
-  FROM chosen c, (SELECT a.d AS di, b.d AS dj FROM (SELECT unnest(range(-{_GEO.half}, {_GEO.half + 1})) AS d) a, (SELECT unnest(range(-{_GEO.half}, {_GEO.half + 1})) AS d) b)) x LEFT JOIN field f ON f.i = ii AND f.j = jj)"""
+_HALF = round((int(max(RADII)) + 1) * _PER)  # the same by its definition
+_STEP = (int(max(RADII)) + 1) / _HALF
+_PIXELS = f"""cut AS (SELECT group_id AS object_id, di, dj, r, (di + {_HALF}) * {2 * _HALF + 1} + dj + {_HALF} AS tie, coalesce(value, 0.0) AS value FROM (
+  SELECT c.*, di, dj, sqrt((di * di + dj * dj)::DOUBLE) * {_STEP!r}::DOUBLE AS r, (((round_even(pos_x / 1600.0, 0)::INT + di) % 64) + 64) % 64 AS ii, (((round_even(pos_y / 1600.0, 0)::INT + dj) % 64) + 64) % 64 AS jj
+  FROM chosen c, (SELECT a.d AS di, b.d AS dj FROM (SELECT unnest(range(-{_HALF}, {_GEO.half + 1})) AS d) a, (SELECT unnest(range(-{_HALF}, {_GEO.half + 1})) AS d) b)) x LEFT JOIN field f ON f.i = ii AND f.j = jj)"""
 _BINS = [0.5, 1.7, 2.9, 4.1, 5.3]
 
 
@@ -335,9 +337,8 @@ _BEAM = beam.fourier_kernel(32, 6400.0, 3200.0)
 
 
 def _beam_sql(final: str) -> str:
-    kernel = ", ".join(f"({i}, {float(w)!r}::DOUBLE)" for i, w in enumerate(_BEAM))
     step = lambda a, b, src, out: f"{out} AS (SELECT (({a} + d) % 32)::INT AS {a}, {b}, sum(value * w) AS value FROM {src}, kern GROUP BY ({a} + d) % 32, {b})"
-    return s.q(s.field("gas", n=32), f"kern AS (SELECT * FROM (VALUES {kernel}) t(d, w))", step("i", "j", "field", "half"), step("j", "i", "half", "map"), final)
+    return s.q(s.field("gas", n=32), s.beam_kernel(32, 6400.0, 3200.0), step("i", "j", "field", "half"), step("j", "i", "half", "map"), final)
 
 
 query("map_beam", _beam_sql("SELECT i, j, round(value, 6) AS value FROM map"))(lambda sp, d: _round(beam.convolve(grid.field(_p(sp, d), "gas", H, 32, unit=1.0), _BEAM), "value"))

@@ -115,3 +115,16 @@ def comoving(h: float, omega_m: float, z: float, name: str = "distance") -> str:
     r = f"(2.472796e-5::DOUBLE / power({h!r}::DOUBLE, 2) * (1 + 0.22710731766::DOUBLE * 3.04::DOUBLE))"
     e = f"sqrt({omega_m!r}::DOUBLE * power(1 + s, 3) + {r} * power(1 + s, 4) + 1 - {omega_m!r}::DOUBLE - {r})"
     return f"{name} AS (SELECT 299792.458::DOUBLE / (100 * {h!r}::DOUBLE) * sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / {e}) * {z!r}::DOUBLE / 3000 AS mpc FROM (SELECT i, {z!r}::DOUBLE * i / 1000 AS s FROM (SELECT unnest(range(1001)) AS i)))"
+
+
+def beam_kernel(n: int, fwhm: float, pixel: float, name: str = "kern") -> str:
+    """name (d, w): the inverse transform of a Gaussian beam's window along one axis."""
+    window = f"exp(-0.5 * power({fwhm!r}::DOUBLE * 2 * pi() * least(m, {n} - m) / {n} / {pixel!r}::DOUBLE, 2) / (8 * ln(2::DOUBLE)))"
+    return f"{name} AS (SELECT d, sum(cos(2 * pi() * m * d / {n}) * {window}) / {n} AS w FROM (SELECT unnest(range({n})) AS m), (SELECT unnest(range({n})) AS d) GROUP BY d)"
+
+
+def gaussian(n: int, fwhm: float, pixel: float, name: str = "kern") -> str:
+    """name (d, w): a Gaussian of sigma = fwhm / 2.355, cut at four sigmas, normalised and wrapped."""
+    sigma = f"({fwhm!r}::DOUBLE / (2.355::DOUBLE * {pixel!r}::DOUBLE))"
+    return f"""{name} AS (SELECT ((d % {n}) + {n}) % {n} AS d, sum(g / total) AS w FROM (SELECT d, g, sum(g) OVER () AS total FROM (
+  SELECT d, exp(-0.5 * power(d / {sigma}, 2)) AS g FROM (SELECT unnest(range(-{n}, {n} + 1)) AS d) WHERE abs(d) <= floor(4 * {sigma} + 0.5))) GROUP BY ((d % {n}) + {n}) % {n})"""

@@ -18,15 +18,6 @@ def data_root(root: str | None = None, variable: str = "SKYWEAVE_DATA", default:
     return (root or os.environ.get(variable) or default).rstrip("/") + "/"
 
 
-def snapshot_path(root: str, suite: str, sim: str, snapshot: int, feedback: str | None = None) -> str:
-    """Folder of a snapshot's particles; suite C needs a feedback variant."""
-    if suite not in ("A", "B", "C"):
-        raise ValueError(f"unknown suite: {suite}")
-    if suite == "C" and not feedback:
-        raise AssertionError("suite C needs a feedback variant")
-    return f"{data_root(root)}{suite}/{sim}{'_' + feedback if feedback else ''}/snap_{snapshot:03d}"
-
-
 def check_redshift(z: float, header_z: float | None, tolerance: float = 0.02) -> float:
     """The redshift to use; warns if it isn't the header's."""
     if header_z is not None and abs(z - header_z) > tolerance:

@@ -197,14 +197,29 @@ def test_suite_rules(spark):
     sz = p.select(*[v.alias(n) for n, v in physics.sz_from_catalogue(0.5, 0.8, 10.0).items()]).head()
     assert np.isclose(sz["kSZ_y"] / sz["kSZ_z"], -0.5) and np.isclose(sz["kSZ_x"] / sz["tau"], 1 / 29979245800.0, rtol=1e-9, atol=0)
     with pytest.raises(ValueError):
-        suites.snapshot_path("r", "D", "s", 1)
-    with pytest.raises(AssertionError):
-        suites.snapshot_path("r", "C", "s", 1)
+        snapshots.location("r", "D", 1)
+    with pytest.raises(ValueError):
+        snapshots.location("r", "B", 1)
     with pytest.warns(UserWarning):
         assert suites.check_redshift(0.5, 0.6) == 0.5
     assert suites.data_root("here") == "here/" and suites.data_root(None, "NO_SUCH_VARIABLE") == "data/"
 
 
+def test_scans_read_what_they_need(spark, tmp_path):
+    fixtures.particles(spark, DATA).write.parquet(f"{tmp_path}/p")
+    rows = suites.scan(spark, f"{tmp_path}/p", "tau", ["x", "mass"])
+    gas = fixtures.particles(spark, DATA).where("ptype = 'gas'")
+    assert rows.columns == ["x", "mass"] and rows.count() == gas.count() and np.isclose(rows.agg(F.sum("mass")).head()[0], gas.agg(F.sum("mass")).head()[0])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ptype,gas)" in plan and "ReadSchema: struct<ptype:string,x:double,mass:double>" in plan
+
+
+def test_temperature_of_a_mass(spark):
+    """T_CMB v / c sigma_T / (mu_e m_p), for a mass of so many kg/m^2."""
+    got = spark.range(1).select(physics.mass_to_temperature(F.lit(3.0), 250.0, 1.2).alias("t")).head()["t"]
+    assert np.isclose(got, 3.0 * 2.7255 * 250e3 / 299792458.0 * 6.6524587321e-29 / (1.2 * 1.67262192369e-27), rtol=1e-9)
+
+
 def test_snapshots_and_headers(spark, tmp_path):
     assert snapshots.location("r", "A", 67) == "r/snapdir_067/snap_067.0.hdf5" and snapshots.location("r/", "A", 67, folder=True) == "r/snapdir_067/"
     assert snapshots.location("r", "B", 151, "m100") == "r/snapshots/snap_m100_151.hdf5" == snapshots.location("r", "B", 151, "m100", folder=True)
