@@ -92,34 +92,55 @@ def _best_of_lists(k: int):
 
 
 def _enough(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-    """Entries of a list that reach the cutoff's share of a slice: each query's as one row."""
-    found = [pd.DataFrame({"dims": [], "cb": [], "qb": [], "q": [], "cs": []}).astype({"dims": "int32", "cb": "int32", "qb": "int32", "q": "int64", "cs": object})]
+    """Entries of a list that reach the cutoff's share of a slice: each query's as one row, a bit for each class of the block."""
+    found = [pd.DataFrame({"dims": [], "cb": [], "qb": [], "q": [], "bits": []}).astype({"dims": "int32", "cb": "int32", "qb": "int32", "q": "int64", "bits": object})]
     if len(cs) and len(qs):
         block = {x: np.int32(cs[x].iloc[0]) for x in ("dims", "cb", "qb")}
-        c, q, share = cs.c.to_numpy(), qs.q.to_numpy(), qs.cutoff.to_numpy(float, na_value=-np.inf) / cs.m.iloc[0]
+        cs = cs.sort_values("c")
+        q, share = qs.q.to_numpy(), qs.cutoff.to_numpy(float, na_value=-np.inf) / cs.m.iloc[0]
         for at, score in _tiles(cs, qs):
-            rows, cols = np.nonzero((score >= share[at : at + len(score), None]) & np.isfinite(score))
-            some, first = np.unique(rows, return_index=True)
-            found.append(pd.DataFrame({**block, "q": q[at + some], "cs": np.split(c[cols], first[1:]) if len(some) else []}))
+            reach = (score >= share[at : at + len(score), None]) & np.isfinite(score)
+            some = np.flatnonzero(reach.any(axis=1))
+            bits = np.packbits(reach[some], axis=1)
+            found.append(pd.DataFrame({**block, "q": q[at + some], "bits": [x.tobytes() for x in bits]}))
     return pd.concat(found)
 
 
-def _resolve(block: pd.DataFrame) -> pd.DataFrame:
-    """Scores of a block's entries that reach their cutoffs. Of classes and queries the vector is given, of entries none."""
-    cs, qs, pairs = (block[block.kind == i] for i in range(3))
-    if not len(pairs):
-        return pd.DataFrame({"q": [], "c": [], "score": []}).astype("int64")
-    cs, qs = cs.sort_values("c"), qs.sort_values("q")
-    at_c = np.searchsorted(cs.c.to_numpy(), np.concatenate(pairs.cs.to_list()))
-    at_q = np.repeat(np.searchsorted(qs.q.to_numpy(), pairs.q.to_numpy()), pairs.cs.map(len))
-    at_q, at_c = np.divmod(np.unique(at_q * len(cs) + at_c), len(cs))  # an entry of several lists is one
-    q, c = _narrow(_matrix(qs.v), _matrix(cs.v))
-    step = max(1, _CELLS // max(1, q.shape[1]))
-    score = np.concatenate([(q[at_q[i : i + step]] * c[at_c[i : i + step]]).sum(axis=1) for i in range(0, len(at_q), step)])
-    if not np.all(np.abs(score.astype(float)) < 2.0**63):
-        raise OverflowError("a score is beyond 64 bits")
-    keep = score >= qs.cutoff.to_numpy(float, na_value=-np.inf)[at_q]
-    return pd.DataFrame({"q": qs.q.to_numpy()[at_q[keep]], "c": cs.c.to_numpy()[at_c[keep]], "score": score[keep].astype(np.int64)})
+def _resolve(k: int):
+    """Scores of a block's entries that reach their cutoffs and the k best of the block. Of classes and queries the vector is given, of entries none."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        cs, qs, pairs = (block[block.kind == i] for i in range(3))
+        if not len(pairs):
+            return pd.DataFrame({"q": [], "c": [], "score": []}).astype("int64")
+        cs, qs, pairs = cs.sort_values("c"), qs.sort_values("q"), pairs.sort_values("q")
+        q, c = _narrow(_matrix(qs.v), _matrix(cs.v))
+        cutoff, names = qs.cutoff.to_numpy(float, na_value=-np.inf), cs.c.to_numpy()
+        step, found = max(1, _CELLS // max(1, q.shape[1])), []
+        for i, bits in pairs.groupby("q").bits:  # a query's entries of several lists are one
+            at_q = int(np.searchsorted(qs.q.to_numpy(), i))
+            at = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in bits]), count=len(cs)))
+            score = np.concatenate([(c[at[j : j + step]] * q[at_q]).sum(axis=1) for j in range(0, len(at), step)])
+            if not np.all(np.abs(score.astype(float)) < 2.0**63):
+                raise OverflowError("a score is beyond 64 bits")
+            least = max(cutoff[at_q], float(np.partition(score.astype(float), -k)[-k]) if len(score) > k else -np.inf)
+            keep = score.astype(float) >= least
+            found.append(pd.DataFrame({"q": np.full(keep.sum(), i, np.int64), "c": names[at[keep]], "score": score[keep].astype(np.int64)}))
+        return pd.concat(found)
+
+    return run
+
+
+def _entries(found: DataFrame, classes: DataFrame, cb: Column) -> DataFrame:
+    """(q, c) of the entries' bits."""
+    own = classes.select("dims", cb.alias("cb"), "c").groupBy("dims", "cb").agg(F.sort_array(F.collect_list("c")).alias("cs"))  # CLASS_ROWS or so
+
+    def run(batches):
+        for p in batches:
+            for q, bits, cs in zip(p.q, p.bits, p.cs, strict=True):
+                yield pd.DataFrame({"q": q, "c": np.asarray(cs)[np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(cs)))]})
+
+    return found.join(own, ["dims", "cb"]).select("q", "bits", "cs").mapInPandas(run, "q long, c long").distinct()
 
 
 def _resolved(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -152,17 +173,17 @@ def phases(table: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vect
 
     cut = cutoff.select(F.col("q").alias("of"), F.col("cutoff").cast("double").alias("cutoff"))
     told = qs.join(cut, F.col("q") == F.col("of"), "left").drop("of")
-    entries = stored(cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_enough, "dims int, cb int, qb int, q long, cs array<long>"))
+    entries = stored(cs.groupBy(*keys).cogroup(told.groupBy(*of_keys)).applyInPandas(_enough, "dims int, cb int, qb int, q long, bits binary"))
 
-    of_c = blocked.select(F.lit(0).alias("kind"), "dims", "cb", "qb", F.lit(-1).cast("long").alias("q"), "c", "v", F.lit(None).cast("double").alias("cutoff"), F.lit(None).cast("array<long>").alias("cs"))
-    of_q = asking.join(cut, F.col("q") == F.col("of"), "left").select(F.lit(1).alias("kind"), "dims", F.col("of_cb").alias("cb"), F.col("of_qb").alias("qb"), "q", F.lit(-1).cast("long").alias("c"), "v", "cutoff", F.lit(None).cast("array<long>").alias("cs"))
-    of_pairs = entries.select(F.lit(2).alias("kind"), "dims", "cb", "qb", "q", F.lit(-1).cast("long").alias("c"), F.lit(None).cast("array<long>").alias("v"), F.lit(None).cast("double").alias("cutoff"), "cs")
-    scored = of_c.unionByName(of_q).unionByName(of_pairs).groupBy("dims", "cb", "qb").applyInPandas(_resolve, "q long, c long, score long")
+    of_c = blocked.select(F.lit(0).alias("kind"), "dims", "cb", "qb", F.lit(-1).cast("long").alias("q"), "c", "v", F.lit(None).cast("double").alias("cutoff"), F.lit(None).cast("binary").alias("bits"))
+    of_q = asking.join(cut, F.col("q") == F.col("of"), "left").select(F.lit(1).alias("kind"), "dims", F.col("of_cb").alias("cb"), F.col("of_qb").alias("qb"), "q", F.lit(-1).cast("long").alias("c"), "v", "cutoff", F.lit(None).cast("binary").alias("bits"))
+    of_pairs = entries.select(F.lit(2).alias("kind"), "dims", "cb", "qb", "q", F.lit(-1).cast("long").alias("c"), F.lit(None).cast("array<long>").alias("v"), F.lit(None).cast("double").alias("cutoff"), "bits")
+    scored = of_c.unionByName(of_q).unionByName(of_pairs).groupBy("dims", "cb", "qb").applyInPandas(_resolve(k), "q long, c long, score long")
     rows = scored.join(classes.select("c", "ids"), "c").join(queries.select("q", "query_id", "times"), "q").select("q", "query_id", "times", "score", F.explode("ids").alias("x"))
     rows = rows.where(F.col("x.vec_id") != F.col("query_id")).select("q", "query_id", "times", "score", F.col("x.vec_id").alias("vec_id"), F.explode(F.array_repeat(F.lit(1), F.least(F.col("x.n"), F.lit(k)).cast("int"))).alias("one"))
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     answers = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return cutoff, entries.select("q", F.explode("cs").alias("c")).distinct(), answers.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")).drop("one")
+    return cutoff, _entries(entries, classes, F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int")), answers.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")).drop("one")
 
 
 def top_k(table: DataFrame, query_ids, k: int = 5, **kwargs) -> DataFrame:
