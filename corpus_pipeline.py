@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyweave.llm import decontam, jaccard, mixing, token_output, toxicity
 from skyweave.llm.common import free_name, lean_batches, stored
 from skyweave.llm.queries import fold, tokenizer_path
+from skyweave.sources.scratch import discard
 
 #: Near duplicates share four of five shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -66,9 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage read is deleted once its own rows are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        read, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(read)
+    return STAGES[-1][1](spark, docs, sf_dir)

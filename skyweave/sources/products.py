@@ -88,6 +88,16 @@ def number(x):
         return x
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A run configuration in YAML, from any file that Spark reaches. ValueError if it isn't a mapping."""
+    import yaml
+
+    config = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} has no configuration")
+    return config
+
+
 def simulations(spark: SparkSession, config: dict) -> DataFrame:
     """(sim_type, name, snapshot, feedback, redshift) of a run configuration."""
     rows = [(g["sim_type"], s["name"], int(s["snapshot"]), s.get("feedback"), None if s.get("redshift") is None else float(s["redshift"])) for g in config["simulations"] for s in g["sims"]]

@@ -24,7 +24,7 @@ def values(df, *names):
     return {tuple(r[x] for x in names): r["value"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("ptype", ["gas", "total", "tSZ", "kSZ", "tau"])
+@pytest.mark.parametrize("ptype", ["total", "tSZ", "kSZ"])
 def test_fields_of_many_boxes_are_those_of_each(spark, simulation, ptype):
     headers = {"a": fixtures.Header(102400.0, 0.6774, z=0.5, n=16), "b": fixtures.Header(60000.0, 0.7, z=1.0, n=9)}
     table = many.headers(spark, [(x, h.box, h.n, h.h, h.z) for x, h in headers.items()])
@@ -157,6 +157,17 @@ def test_options_of_field_stacks(spark, simulation):
         s.stack(m, n, "DSigma_mccarthy", [1.0], "kpc/h")
 
 
+def test_a_run_configuration(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "run.yaml").write_text("stack: {min_mass: 1e13, radii: [0.5, 1]}\nsimulations:\n  - sim_type: B\n    sims:\n      - {name: m100, snapshot: 151, feedback: s50, redshift: 0.5}\n      - {name: m50, snapshot: 7}\n")
+    config = products.read_config(spark, f"{tmp_path}/run.yaml")
+    assert products.number(config["stack"]["min_mass"]) == 1e13 and config["stack"]["radii"] == [0.5, 1]
+    assert [tuple(r) for r in products.simulations(spark, config).orderBy("snapshot").collect()] == [("B", "m50", 7, None, None), ("B", "m100", 151, "s50", 0.5)]
+    (tmp_path / "none.yaml").write_text("- 1")
+    with pytest.raises(ValueError, match="no configuration"):
+        products.read_config(spark, f"{tmp_path}/none.yaml")
+
+
 # ---------------------------------------------------------------- files along a curve
 
 
