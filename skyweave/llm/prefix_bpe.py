@@ -30,8 +30,10 @@ from .token_output import _bytes
 #: Pieces that advance together at most (of 16 symbols; fewer longer ones), and at least: fewer go one by one.
 TOGETHER = 1 << 13
 FEW = 16
-#: Pieces that a worker remembers beside the words.
-REMEMBERED_PIECES = 1 << 18
+#: Places for the words that a worker remembers, and pieces beside them; what is full to three quarters is emptied.
+REMEMBERED_WORDS, REMEMBERED_PIECES = 1 << 20, 1 << 17
+#: Ids whose strings are joined at a time.
+JOINED = 1 << 15
 _NEVER = np.int32(2**31 - 1)
 
 # The normal form and the split that the plain path below follows.
@@ -325,17 +327,17 @@ class Names:
         names = [b""] * (max(vocab.values()) + 1)
         for k, i in vocab.items():
             names[i] = k.encode() + b" "
-        self.name_size = np.array([len(x) for x in names], np.int64)
-        self.name_at, self.names = np.cumsum(self.name_size) - self.name_size, np.frombuffer(b"".join(names), np.uint8)
+        self.size = np.array([*map(len, names), 0], np.int64)
+        self.at, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(names) + b" ", np.uint8)
 
     def texts_of(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The texts of some documents' ids side by side, of which each has ``n``; unknown ids are left out."""
         edges = np.concatenate(([0], np.cumsum(n)))
         if self.t is not None:
             return [self.t.decode(ids[i:j].tolist(), skip_special_tokens=False).encode() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        known = ids < len(self.name_size)
-        size = np.where(known, self.name_size.take(ids, mode="clip"), 0)
-        text = _gather(self.names, self.name_at.take(ids, mode="clip"), size).tobytes()
+        ids = np.minimum(ids, len(self.size) - 1)  # the last one stands for unknown ids
+        size = self.size[ids]
+        text = b"".join([_gather(self.pool, self.at[ids[i : i + JOINED]], size[i : i + JOINED]).tobytes() for i in range(0, len(ids), JOINED)])
         at = np.concatenate(([0], np.cumsum(size)))[edges]
         return [text[i : j - 1] if j > i else b"" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -344,9 +346,15 @@ class Words(Pieces):
     """A worker's vocabulary, and the words whose ids it remembers."""
 
     def __init__(self, path: str) -> None:
-        super().__init__(path)
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             description = json.load(f)
+        # the library's normal forms and splitting, without its vocabulary
+        self.t = Tokenizer.from_str(json.dumps(description | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        names = [x["content"].encode() for x in description.get("added_tokens") or ()]
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
+        self._empty()
         self.merges = Merges(description["model"])
         added = {x["content"]: x for x in description.get("added_tokens") or ()}
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added.values()):
@@ -357,6 +365,16 @@ class Words(Pieces):
         self.known: dict = {}
         self.piece_ids, self.piece_at = _Pool(np.uint32), _Pool(np.int64, np.int64)
 
+    def _empty(self) -> None:
+        super()._empty()
+        self.key, self.place = np.zeros(REMEMBERED_WORDS, np.uint64), np.zeros(REMEMBERED_WORDS, np.int32)
+        self.shift = np.uint64(64 - (REMEMBERED_WORDS - 1).bit_length())
+
+    def _ids_of(self, b: np.ndarray, start: np.ndarray, size: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts.n + len(start) > REMEMBERED_WORDS * 3 // 4:
+            self._empty()
+        return super()._ids_of(b, start, size, alone)
+
     def ids_of(self, b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(b):
             return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
@@ -373,7 +391,7 @@ class Words(Pieces):
             size = np.flatnonzero(behind) + 1 - start
         else:
             start, size = edges[:-1][np.diff(edges) > 0], np.diff(edges)[np.diff(edges) > 0]
-        step, alone = 1 << 15, np.zeros(len(start), bool)
+        step, alone = min(1 << 15, REMEMBERED_WORDS // 4), np.zeros(len(start), bool)
         got = [self._ids_of(b, start[i : i + step], size[i : i + step], alone[i : i + step]) for i in range(0, len(start), step)]
         if not got:
             return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
