@@ -505,19 +505,28 @@ def _appended(df: DataFrame, source: str, out: list[T.StructField], fn, keep: li
     return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(free_name(df, "__source"))).mapInArrow(run, schema)
 
 
+def _ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """All ids of some texts, how many each has, and both as columns."""
+    found, n = _held(Words, path).ids_of(*_bytes(texts))
+    raw, edges = found.astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(n)))
+    return found, n, [pa.array(n, pa.int64()), pa.array([raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())]
+
+
+def _texts(ids: np.ndarray, n: np.ndarray, path: str) -> pa.Array:
+    return pa.array(_held(Names, path).texts_of(ids, n), pa.binary()).cast(pa.string())
+
+
+_ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+_DECODED = [T.StructField("decoded", T.StringType())]
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The rows with ``n_tokens`` and ``ids``: a text's ids as little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Strings of added tokens give their ids. Texts of any length are encoded whole;
     equal rows get equal ids, no rows give none, and columns named like the new ones are replaced.
     """
-
-    def ids(texts: pa.Array) -> list[pa.Array]:
-        found, n = _held(Words, tokenizer_path).ids_of(*_bytes(texts))
-        raw, edges = found.astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(n)))
-        return [pa.array(n, pa.int64()), pa.array([raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())]
-
-    return _appended(docs, text_col, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], ids, keep)
+    return _appended(docs, text_col, _ENCODED, lambda texts: _ids(texts, tokenizer_path)[2], keep)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -525,6 +534,16 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: lis
 
     def texts(column: pa.Array) -> list[pa.Array]:
         b, edges = _bytes(column)
-        return [pa.array(_held(Names, tokenizer_path).texts_of(np.frombuffer(b.tobytes(), "<u4"), np.diff(edges) // 4), pa.binary()).cast(pa.string())]
+        return [_texts(np.frombuffer(b.tobytes(), "<u4"), np.diff(edges) // 4, tokenizer_path)]
+
+    return _appended(rows, ids_col, _DECODED, texts, keep)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``encode`` with ``decoded`` as of ``decode``, by one pass and so by one worker a core."""
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids, n, cols = _ids(texts, tokenizer_path)
+        return [*cols, _texts(ids, n, tokenizer_path)]
 
-    return _appended(rows, ids_col, [T.StructField("decoded", T.StringType())], texts, keep)
+    return _appended(docs, text_col, _ENCODED + _DECODED, both, keep)

@@ -86,8 +86,7 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(WORD_TOKENIZER)
-    encoded = prefix_bpe.encode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    rows = prefix_bpe.decode(encoded, path)
+    rows = prefix_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), path, keep=["doc_id"])
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -178,6 +178,8 @@ def test_odd_rows(odd, nothing):
     assert prefix_bpe.decode(prefix_bpe.encode(nothing, WORD), WORD).count() == 0
     clash = odd.withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(1)).withColumn("n_tokens", F.lit("y"))
     assert prefix_bpe.decode(prefix_bpe.encode(clash, WORD), WORD).select("n_tokens", "ids", "decoded").dtypes == [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")]
+    once = prefix_bpe.encode_and_decode(odd, WORD)
+    assert sorted(map(str, once.select("doc_id", "n_tokens", "ids", "decoded").collect())) == sorted(map(str, rows.select("doc_id", "n_tokens", "ids", "decoded").collect()))
     null = odd.select("doc_id", F.lit(None).cast("binary").alias("ids"))
     assert {r["decoded"] for r in prefix_bpe.decode(null, WORD).collect()} == {""}
 
