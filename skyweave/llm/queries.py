@@ -135,14 +135,22 @@ filled AS (SELECT *, ((1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE) - coale
   FROM weighed WINDOW f AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 flagged AS (SELECT *, cap / w <= level AS stops FROM filled),
 target AS (SELECT source, source_size, CASE WHEN stops THEN cap ELSE w * max(CASE WHEN NOT stops THEN level END) OVER () END AS target FROM flagged),
-rated AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r,
+wanted AS (SELECT *, target - whole * source_size AS need
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0.0 END AS whole FROM target)),
+class AS (SELECT source, length(bin(size))::BIGINT AS digits, sum(size)::BIGINT AS s FROM sized WHERE size > 0 GROUP BY ALL),
+levels AS (SELECT c.source, c.digits, c.s, (t.need - (coalesce(sum(c.s) OVER b, 0))::DOUBLE) / (sum(c.digits * c.s) OVER p - coalesce(sum(c.digits * c.s) OVER b, 0))::DOUBLE AS level
+  FROM class c JOIN wanted t ON c.source IS NOT DISTINCT FROM t.source
+  WINDOW p AS (PARTITION BY c.source), b AS (PARTITION BY c.source ORDER BY c.digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+included AS (SELECT source, max(level) FILTER (WHERE digits * level < 1) AS level, min(digits) FILTER (WHERE digits * level >= 1) AS sure,
+  coalesce(sum(s) FILTER (WHERE digits * level >= 1), 0)::BIGINT AS given FROM levels GROUP BY source),
+rated AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.whole, t.need - coalesce(i.given, 0) AS rest,
+  coalesce(length(bin(s.size)) >= i.sure, false) AS certain, i.level * length(bin(s.size)) AS part,
   (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source),
-odds AS (SELECT *, floor(r) AS whole, r - floor(r) AS part FROM rated),
-ratio AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS o FROM odds),
+  FROM sized s JOIN wanted t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN included i ON s.source IS NOT DISTINCT FROM i.source),
+ratio AS (SELECT *, CASE WHEN NOT certain AND part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS o FROM rated),
 ranked AS (SELECT *, o / (1 + o) AS q FROM ratio),
 summed AS (SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN q IS NOT NULL AND upto - size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, ((whole + certain::INT + CASE WHEN q IS NOT NULL AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM summed
 """
 

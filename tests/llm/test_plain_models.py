@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.llm import components, jaccard, langid, quality, toxicity
+from skyweave.llm import components, jaccard, langid, mixing, quality, toxicity
 
 from .conftest import words
 
@@ -158,3 +158,39 @@ def test_jaccard_of_many_near_copies(spark):
     table = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components_by_jaccard(table).collect()}
     assert got == {d: (len(s), plain.get(d, d)) for d, s in sets.items()}
+
+
+def plain_inclusions(sizes: list[int], need: float) -> list[float]:
+    """Digits times a level, or 1: the level is raised until the words that are expected are those needed."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        expected = sum(min(1.0, level * len(f"{s:b}")) * s for s in sizes)
+        low, high = (level, high) if expected < need else (low, level)
+    return [min(1.0, low * len(f"{s:b}")) for s in sizes]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.8, 1.7])
+def test_mixing_includes_by_size(spark, share):
+    sizes = {"a": [3] * 3000 + [40] * 1500 + [600] * 300, None: [5] * 2000 + [0] * 10 + [90] * 500}
+    rows, i = [], 0
+    for source, of in sizes.items():
+        for s in of:
+            rows.append((i, source, "w " * s))
+            i += 1
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4), weights=(1,), share=share, keep=["source"]).toPandas()
+    assert len(got) == len(rows)
+    for source, of in sizes.items():
+        own = got[got["source"].isna() if source is None else got["source"] == source].sort_values("doc_id")
+        total, target = sum(of), own["target"].iloc[0]
+        assert list(own["size"]) == of and (own["source_size"] == total).all()
+        whole = int(target // total)
+        want = np.array(plain_inclusions(of, target - whole * total))
+        more = own["copies"].to_numpy() - whole * (own["size"].to_numpy() > 0)
+        assert abs(own["taken"].sum() - target) <= max(of) / 2
+        for s in set(of) - {0}:
+            at = own["size"].to_numpy() == s
+            p = want[at][0]
+            assert set(more[at]) <= {0, 1} and (p < 1 or more[at].all())
+            assert abs(more[at].mean() - p) < 4 * np.sqrt(p * (1 - p) / at.sum()) + 0.02
+        assert (own["copies"][own["size"] == 0] == 0).all()
