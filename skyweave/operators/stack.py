@@ -109,32 +109,35 @@ def linear_radii(low: float, high: float, count: int) -> np.ndarray:
 def sphere_profiles(field3d: DataFrame, objects: DataFrame, n: int, box: float, radii, unit: float | None = None, key: str = "group_id", values: tuple = ("value",)) -> DataFrame:
     """(key, radius, values): sums in balls of growing radius, in units of ``unit`` or of the object's own radius.
 
-    Cells of the largest ball are joined once and counted to the first radius that holds them; a running sum over
-    radii gives every ball.
+    Objects of one cell and radius share a ball. Its cells are joined once and counted to the first radius that holds
+    them, objects look the shells up, and a running sum over radii gives every ball. A ball's cells are many more than
+    Spark's estimate, which takes an exploded row for one, so that join is by sorting and sends no side whole.
     """
     radii = sorted(float(r) for r in radii)
     own = F.col("group_rad") if unit is None else F.lit(float(unit))
-    big = masks.centre_cells(objects, box, n, own * F.lit(radii[-1]), key)
+    at = ["ci", "cj", "ck", "r"]
+    placed = masks.centre_cells(objects, box, n, own * F.lit(radii[-1]), key).withColumns({c: F.pmod(c, F.lit(n)) for c in at[:3]})
     spark = field3d.sparkSession
-    cells = _cells_with_distance(big, n, key)
+    cells = _cells_with_distance(placed.select(*at).distinct(), n)
     first = F.lit(len(radii) - 1)
     for i in reversed(range(len(radii) - 1)):
         first = F.when(F.col("d2") <= (F.col("r") * F.lit(radii[i] / radii[-1])) * (F.col("r") * F.lit(radii[i] / radii[-1])), F.lit(i)).otherwise(first)
-    got = cells.withColumn("shell", first).join(field3d, ["i", "j", "k"]).groupBy(key, "shell").agg(*[F.sum(v).alias(v) for v in values])
+    got = cells.withColumn("shell", first).join(field3d.hint("merge"), ["i", "j", "k"]).groupBy(*at, "shell").agg(*[F.sum(v).alias(v) for v in values])
     shells_ = F.broadcast(spark.createDataFrame(list(enumerate(radii)), "shell int, radius double"))
-    grid = objects.select(key).distinct().crossJoin(shells_).join(got, [key, "shell"], "left")
+    every = placed.crossJoin(shells_).join(got, [*at, "shell"], "left").groupBy(key, "shell", "radius").agg(*[F.sum(F.coalesce(v, F.lit(0.0))).alias(v) for v in values])
     upto = Window.partitionBy(key).orderBy("shell").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select(key, "radius", *[F.sum(F.coalesce(v, F.lit(0.0))).over(upto).alias(v) for v in values])
+    return every.select(key, "radius", *[F.sum(v).over(upto).alias(v) for v in values])
 
 
-def _cells_with_distance(centres: DataFrame, n: int, key: str) -> DataFrame:
+def _cells_with_distance(balls: DataFrame, n: int) -> DataFrame:
+    """(ci, cj, ck, r, d2, i, j, k): the cells of each ball, with their squared distance."""
     reach = F.ceil("r").cast("int")
-    out = centres.withColumn("di", F.explode(F.sequence(-reach, reach)))
+    out = balls.withColumn("di", F.explode(F.sequence(-reach, reach)))
     left = lambda *d: F.col("r") * F.col("r") - sum((F.col(x) * F.col(x) for x in d), F.lit(0))
     for d, prev in (("dj", ("di",)), ("dk", ("di", "dj"))):
         out = out.where(left(*prev) >= 0).withColumn("__m", F.floor(F.sqrt(left(*prev))).cast("int")).withColumn(d, F.explode(F.sequence(-F.col("__m"), F.col("__m"))))
     d2 = F.col("di") * F.col("di") + F.col("dj") * F.col("dj") + F.col("dk") * F.col("dk")
-    return out.where(left("di", "dj", "dk") >= 0).select(key, "r", d2.alias("d2"), *[F.pmod(F.col(f"c{x}") + F.col(f"d{x}"), F.lit(n)).alias(x) for x in "ijk"])
+    return out.where(left("di", "dj", "dk") >= 0).select(*balls.columns, d2.alias("d2"), *[F.pmod(F.col(f"c{x}") + F.col(f"d{x}"), F.lit(n)).alias(x) for x in "ijk"])
 
 
 def shell_profile(cumulative: DataFrame, key: str = "group_id", value: str = "value") -> DataFrame:

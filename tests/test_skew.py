@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import masks, stats
+from skyweave.operators import masks, stack, stats
 
 BOX = 100.0
 
@@ -97,3 +97,18 @@ def test_fewer_rows_before_the_union(spark):
     """A ball of radius r has about r^2 lines and r^3 cells."""
     centres = spark.createDataFrame([(1, 20, 20, 20, 9.0)], "group_id long, ci int, cj int, ck int, r double")
     assert masks.ball_spans(centres, 40).count() * 9 < masks.ball_cells(centres, 40).count()
+
+
+def test_shells_send_no_exploded_cells(spark):
+    """The cells of all balls are many times Spark's estimate of them: the driver must not gather them for a broadcast."""
+    n = 20
+    objects = spark.range(500).select(F.col("id").alias("group_id"), *[(F.col("id") * m % 100).cast("double").alias(f"pos_{x}") for x, m in zip("xyz", (7, 11, 13), strict=True)])
+    field = spark.range(n**3).selectExpr("CAST(id % 20 AS INT) AS i", "CAST(id DIV 20 % 20 AS INT) AS j", "CAST(id DIV 400 AS INT) AS k", "1.0D AS value")
+    radii = [2.0, 6.0, 16.0]
+    got = stack.shell_profile(stack.sphere_profiles(field, objects, n, BOX, radii, 1.0))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    d = np.arange(-4, 5)
+    q = d[:, None, None] ** 2 + d[None, :, None] ** 2 + d[None, None, :] ** 2
+    balls = [int((q <= (r / BOX * n) ** 2).sum()) for r in radii]
+    rows = got.collect()
+    assert len(rows) == 2 * 500 and {(r["inner"], r["outer"], r["value"]) for r in rows} == {(2.0, 6.0, balls[1] - balls[0]), (6.0, 16.0, balls[2] - balls[1])}
