@@ -112,3 +112,28 @@ def test_shells_send_no_exploded_cells(spark):
     balls = [int((q <= (r / BOX * n) ** 2).sum()) for r in radii]
     rows = got.collect()
     assert len(rows) == 2 * 500 and {(r["inner"], r["outer"], r["value"]) for r in rows} == {(2.0, 6.0, balls[1] - balls[0]), (6.0, 16.0, balls[2] - balls[1])}
+
+
+@pytest.mark.parametrize("unit", [1.0, None])
+def test_spheres_of_one_cell_share_a_ball(spark, monkeypatch, unit):
+    """300 objects of one cell explode one ball; an object without a key or a place, or listed twice, has its rows."""
+    n, radii = 20, [0.6, 1.0] if unit is None else [6.0, 10.0]
+    r = np.random.default_rng(4)
+    field = r.integers(1, 9, (n, n, n)).astype(float)
+    rows = spark.createDataFrame([(*map(int, at), float(v)) for at, v in np.ndenumerate(field)], "i int, j int, k int, value double")
+    crowd = [(i, 99.0, 1.0, 50.0, 10.0) for i in range(300)]
+    odd = [(300, 40.0, 40.0, 40.0, 10.0), (300, 60.0, 10.0, 20.0, 10.0), (None, 70.0, 70.0, 70.0, 10.0), (301, None, 1.0, 1.0, 10.0)]
+    objects = spark.createDataFrame(crowd + odd, "group_id long, pos_x double, pos_y double, pos_z double, group_rad double")
+    made, held = [], stack._cells_with_distance
+    monkeypatch.setattr(stack, "_cells_with_distance", lambda *a: made.append(held(*a)) or made[-1])
+    got = [(x["group_id"], x["radius"], x["value"]) for x in stack.sphere_profiles(rows, objects, n, BOX, radii, unit).collect()]
+    d = np.arange(-2, 3)
+    want = {(key, x): 0.0 for key, *_ in crowd + odd for x in radii}
+    for key, *at, own in crowd + odd:
+        if None not in at:
+            near = np.rint(np.array(at) / BOX * n).astype(int)
+            around = field[np.ix_(*[(c + d) % n for c in near])]
+            for x in radii:
+                want[key, x] += around[d[:, None, None] ** 2 + d[None, :, None] ** 2 + d[None, None, :] ** 2 <= (x * (unit or own) / BOX * n) ** 2].sum()
+    assert len(got) == len(want) and {(key, x): v for key, x, v in got} == want
+    assert made[0].count() == 5 * 33  # the crowd's ball and those of the other four
