@@ -111,7 +111,8 @@ def sphere_profiles(field3d: DataFrame, objects: DataFrame, n: int, box: float,
 
     Objects of one cell and radius share a ball. Its cells are joined once and counted to the first radius that holds
     them, objects look the shells up, and a running sum over radii gives every ball. A ball's cells are many more than
-    Spark's estimate, which takes an exploded row for one, so that join is by sorting and sends no side whole.
+    Spark's estimate, which takes an exploded row for one, so that join is by sorting and sends no side whole; so is the
+    look-up, whose shells grow with the objects.
     """
     radii = sorted(float(r) for r in radii)
     own = F.col("group_rad") if unit is None else F.lit(float(unit))
@@ -124,7 +125,7 @@ def sphere_profiles(field3d: DataFrame, objects: DataFrame, n: int, box: float,
         first = F.when(F.col("d2") <= (F.col("r") * F.lit(radii[i] / radii[-1])) * (F.col("r") * F.lit(radii[i] / radii[-1])), F.lit(i)).otherwise(first)
     got = cells.withColumn("shell", first).join(field3d.hint("merge"), ["i", "j", "k"]).groupBy(*at, "shell").agg(*[F.sum(v).alias(v) for v in values])
     shells_ = F.broadcast(spark.createDataFrame(list(enumerate(radii)), "shell int, radius double"))
-    every = placed.crossJoin(shells_).join(got, [*at, "shell"], "left").groupBy(key, "shell", "radius").agg(*[F.sum(F.coalesce(v, F.lit(0.0))).alias(v) for v in values])
+    every = placed.crossJoin(shells_).join(got.hint("merge"), [*at, "shell"], "left").groupBy(key, "shell", "radius").agg(*[F.sum(F.coalesce(v, F.lit(0.0))).alias(v) for v in values])
     upto = Window.partitionBy(key).orderBy("shell").rowsBetween(Window.unboundedPreceding, 0)
     return every.select(key, "radius", *[F.sum(v).over(upto).alias(v) for v in values])
 

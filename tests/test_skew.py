@@ -114,6 +114,18 @@ def test_shells_send_no_exploded_cells(spark):
     assert len(rows) == 2 * 500 and {(r["inner"], r["outer"], r["value"]) for r in rows} == {(2.0, 6.0, balls[1] - balls[0]), (6.0, 16.0, balls[2] - balls[1])}
 
 
+def test_spheres_send_no_shells(spark):
+    """A table that proves small while it runs may still be broadcast: the balls' shells grow with the objects."""
+    n = 20
+    objects = spark.range(2000).select(F.col("id").alias("group_id"), *[(F.col("id") * m % 100).cast("double").alias(f"pos_{x}") for x, m in zip("xyz", (7, 11, 13), strict=True)])
+    field = spark.range(n**3).selectExpr("CAST(id % 20 AS INT) AS i", "CAST(id DIV 20 % 20 AS INT) AS j", "CAST(id DIV 400 AS INT) AS k", "1.0D AS value")
+    got = stack.sphere_profiles(field, objects, n, BOX, [2.0, 6.0], 1.0)
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == 2 * 2000 and set(rows) == {(i, r, v) for i in range(2000) for r, v in ((2.0, 1.0), (6.0, 7.0))}
+    final, _ = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")
+    assert "isFinalPlan=true" in final and "BroadcastHashJoin" not in final
+
+
 @pytest.mark.parametrize("unit", [1.0, None])
 def test_spheres_of_one_cell_share_a_ball(spark, monkeypatch, unit):
     """300 objects of one cell explode one ball; an object without a key or a place, or listed twice, has its rows."""
